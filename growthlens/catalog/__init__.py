@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .base import REGISTRY
 
-AREAS = ("site", "audit")
+AREAS = ("site", "audit", "search")
 
 
 def _load() -> None:

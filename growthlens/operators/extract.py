@@ -56,69 +56,77 @@ def word_count(html: Column) -> Column:
     return F.size(F.regexp_extract_all(visible_text(html), F.lit(r"(?U)\S+"), F.lit(0)))
 
 
-@F.pandas_udf("array<string>")
-def decode_entities(values: pd.Series) -> pd.Series:
-    return values.map(lambda xs: None if xs is None else [None if x is None else html_lib.unescape(x) for x in xs])
+def decode_entities(values: Column) -> Column:
+    """Resolve character references in an array of short texts."""
 
+    @F.pandas_udf("array<string>")
+    def decode(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda xs: None if xs is None else [None if x is None else html_lib.unescape(x) for x in xs])
 
-def _type_list(kind) -> list[str]:
-    items = kind if isinstance(kind, list) else re.split(r"\s*,\s*", "" if kind is None else str(kind))
-    return [t for t in (re.split(r"[/#:]", str(i).strip())[-1] for i in items) if t]
+    return decode(values)
 
 
-def _texts(value) -> list[str]:
-    """Non-blank strings of a url-like value given as text, list or node."""
-    if isinstance(value, dict):
-        value = next((value[k] for k in ("url", "@id") if isinstance(value.get(k), str) and value[k].strip()), None)
-    items = value if isinstance(value, list) else [value]
-    return [i.strip() for i in items if isinstance(i, str) and i.strip()]
+NODE = "struct<type string, id string, is_org boolean, org_props array<string>, urls array<string>>"
 
 
-def _filled(value) -> bool:
-    if value is None:
-        return False
-    return bool(value.strip()) if isinstance(value, str) else not (isinstance(value, (list, dict)) and not value)
-
-
-def _entity(node: dict) -> dict:
-    kind, node_id = node.get("@type"), node.get("@id")
-    is_org = any(t in fixed.ORG_TYPES for t in _type_list(kind))
-    return {
-        "type": ", ".join(map(str, kind)) if isinstance(kind, list) else None if kind is None else str(kind),
-        "id": node_id if isinstance(node_id, str) else None,
-        "is_org": is_org,
-        "org_props": [p for p in fixed.ORG_PROPS if _filled(node.get(p))] if is_org else [],
-        "urls": _texts(node.get("url")) if is_org else [],
-    }
-
-
-@F.pandas_udf(
-    "struct<nodes array<struct<type string, id string, is_org boolean, org_props array<string>, urls array<string>>>,"
-    " errors array<string>>"
-)
-def json_ld_nodes(blobs: pd.Series) -> pd.DataFrame:
+def json_ld_nodes(blobs: Column) -> Column:
     """Every nested object with @type or @id, in document order, and parse errors."""
-    out = []
-    for row in blobs:
-        nodes, errors = [], []
-        for blob in [] if row is None else row:
-            if not blob or not blob.strip():
-                continue
-            try:
-                pending = [json.loads(blob.strip())]
-            except json.JSONDecodeError as exc:
-                errors.append(f"JSON-LD parse error: {exc.msg}")
-                continue
-            while pending:
-                node = pending.pop()
-                if isinstance(node, dict):
-                    if "@type" in node or "@id" in node:
-                        nodes.append(_entity(node))
-                    node = [v for k, v in node.items() if k != "@context"]
-                if isinstance(node, list):
-                    pending.extend(v for v in reversed(node) if isinstance(v, (dict, list)))
-        out.append({"nodes": nodes, "errors": errors})
-    return pd.DataFrame(out, columns=["nodes", "errors"])
+    org_types, org_props = frozenset(fixed.ORG_TYPES), fixed.ORG_PROPS
+
+    def type_names(kind):
+        items = kind if isinstance(kind, list) else str("" if kind is None else kind).split(",")
+        return {re.split(r"[/#:]", str(i).strip())[-1] for i in items}
+
+    def texts(value):
+        """Non-blank strings of a url-like value given as text, list or node."""
+        if isinstance(value, dict):
+            named = [value[k] for k in ("url", "@id") if isinstance(value.get(k), str) and value[k].strip()]
+            value = named[:1]
+        items = value if isinstance(value, list) else [value]
+        return [i.strip() for i in items if isinstance(i, str) and i.strip()]
+
+    def filled(value):
+        if isinstance(value, str):
+            return bool(value.strip())
+        return len(value) > 0 if isinstance(value, (list, dict)) else value is not None
+
+    def entity(node):
+        kind, node_id = node.get("@type"), node.get("@id")
+        is_org = not org_types.isdisjoint(type_names(kind))
+        shown = ", ".join(map(str, kind)) if isinstance(kind, list) else kind
+        return {
+            "type": None if shown is None else str(shown),
+            "id": node_id if isinstance(node_id, str) else None,
+            "is_org": is_org,
+            "org_props": [p for p in org_props if is_org and filled(node.get(p))],
+            "urls": texts(node.get("url")) if is_org else [],
+        }
+
+    def nodes_of(blob):
+        found, pending = [], [json.loads(blob)]
+        while pending:
+            node = pending.pop()
+            if isinstance(node, dict):
+                if "@type" in node or "@id" in node:
+                    found.append(entity(node))
+                node = [v for k, v in node.items() if k != "@context"]
+            pending.extend(v for v in reversed(node) if isinstance(v, (dict, list)))
+        return found
+
+    @F.pandas_udf(f"struct<nodes array<{NODE}>, errors array<string>>")
+    def walk(rows: pd.Series) -> pd.DataFrame:
+        out = []
+        for row in rows:
+            nodes, errors = [], []
+            for blob in (b.strip() for b in ([] if row is None else row) if b and b.strip()):
+                try:
+                    nodes += nodes_of(blob)
+                except json.JSONDecodeError as exc:
+                    errors.append(f"JSON-LD parse error: {exc.msg}")
+            out.append({"nodes": nodes, "errors": errors})
+        return pd.DataFrame(out, columns=["nodes", "errors"])
+
+    return walk(blobs)
 
 
 def _meta(tags: Column, key: str, value: str) -> Column:

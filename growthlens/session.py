@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
+# Static settings of sessions created here: no call-site capture while plans are built.
+START_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -29,7 +31,7 @@ def get_session(app: str = "growthlens", master: str | None = None, **conf) -> S
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    for key, value in {**RUNTIME_CONF, **START_CONF, **conf}.items():
         builder = builder.config(key, str(value))
     return builder.getOrCreate()
 
