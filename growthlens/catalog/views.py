@@ -71,7 +71,7 @@ SELECT site, crawl_pos, code, url, severity FROM (
 SELECT CASE WHEN l_partkey%10=0 THEN concat('acme widgets ',l_partkey%30) ELSE concat('widget q',l_partkey%300) END AS query,
   concat('https://example.com/p/',l_suppkey%40) AS page, CASE l_linestatus WHEN 'O' THEN 'MOBILE' ELSE 'DESKTOP' END AS device,
   l_returnflag AS country, CAST(l_shipdate AS DATE) AS date,
-  CASE WHEN l_partkey%7=3 THEN 0 ELSE CAST(floor(CAST(l_quantity AS DECIMAL(12,2))*CAST(l_discount AS DECIMAL(4,2))) AS BIGINT) END AS clicks,
+  CASE WHEN l_partkey%300%7=3 THEN 0 ELSE CAST(floor(CAST(l_quantity AS DECIMAL(12,2))*CAST(l_discount AS DECIMAL(4,2))) AS BIGINT) END AS clicks,
   CAST(floor(l_quantity*10) AS BIGINT) AS impressions,
   CAST((l_partkey*7)%40+1+l_linenumber%3 AS DOUBLE)+l_tax AS position FROM lineitem""",
     "v_rank": """
