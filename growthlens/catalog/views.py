@@ -73,7 +73,7 @@ SELECT CASE WHEN l_partkey%10=0 THEN concat('acme widgets ',l_partkey%30) ELSE c
   l_returnflag AS country, CAST(l_shipdate AS DATE) AS date,
   CASE WHEN l_partkey%300%7=3 THEN 0 ELSE CAST(floor(CAST(l_quantity AS DECIMAL(12,2))*CAST(l_discount AS DECIMAL(4,2))) AS BIGINT) END AS clicks,
   CAST(floor(l_quantity*10) AS BIGINT) AS impressions,
-  CAST((l_partkey*7)%40+1+l_linenumber%3 AS DOUBLE)+l_tax AS position FROM lineitem""",
+  CAST((l_partkey%300*7)%40+1+l_linenumber%3 AS DOUBLE)+l_tax AS position FROM lineitem""",
     "v_rank": """
 SELECT concat('d',l_suppkey%4) AS domain, CAST(date_trunc('month',l_shipdate) AS DATE) AS month,
   CASE l_partkey%6 WHEN 0 THEN concat('best k',l_partkey%(400+l_suppkey%4*100)) WHEN 1 THEN concat('k',l_partkey%(400+l_suppkey%4*100),' pricing')
@@ -141,6 +141,12 @@ SELECT event_id, user_id, ts, event_type, CAST(value AS DECIMAL(18,2)) AS value,
   concat('/page/',event_id%40) AS page, props FROM events""",
     "v_touch": """
 SELECT event_id, user_id, ts, event_type='purchase' AS is_conversion, concat('ch',event_id%5) AS channel, CAST(value AS DECIMAL(18,2)) AS value FROM events""",
+    "v_stage_history": """
+SELECT l_orderkey AS deal_id, CAST(l_shipdate AS DATE) AS changed_on, (l_linenumber*10000+l_partkey)*1000000+CAST(floor(l_extendedprice) AS BIGINT) AS seq,
+  CASE l_linenumber%7 WHEN 0 THEN 'New Lead' WHEN 1 THEN 'Consultation' WHEN 2 THEN 'Estimating' WHEN 3 THEN 'Proposal Presented' WHEN 4 THEN 'Closed Won'
+    WHEN 5 THEN 'Closed Lost' ELSE 'Disqualified' END AS stage,
+  CASE (l_linenumber+l_suppkey%3)%8 WHEN 0 THEN 'concept' WHEN 1 THEN 'pre-production' WHEN 2 THEN 'captured' WHEN 3 THEN 'editing' WHEN 4 THEN 'pre-approval'
+    WHEN 5 THEN 'approved' WHEN 6 THEN 'scheduled' ELSE 'published' END AS status FROM lineitem""",
     "v_ideas": """
 SELECT p_partkey AS idea_id, CAST(p_size%10+1 AS INT) AS impact, CAST(p_partkey%10+1 AS INT) AS fit, CAST((p_partkey*7)%10+1 AS INT) AS search_potential,
   CAST((p_size*3)%10+1 AS INT) AS resources, p_brand AS theme FROM part""",

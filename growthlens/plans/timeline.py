@@ -34,16 +34,22 @@ def previous(df: DataFrame, keys, order, bucket: Column, values: dict[str, str])
     return joined.select(*df.columns, *[F.col(f"__prev.{name}").alias(name) for name in values])
 
 
-def running_sum(df: DataFrame, keys, order, bucket: Column, value: Column, name: str) -> DataFrame:
-    """Add the inclusive running sum of ``value`` along the order of each key."""
-    b = df.withColumn(_B, bucket).withColumn("__v", value.cast("bigint"))
-    totals = b.groupBy(*keys, _B).agg(F.sum("__v").alias("__t"))
+def running_sums(df: DataFrame, keys, order, bucket: Column, values: dict[str, Column]) -> DataFrame:
+    """Add inclusive running sums (whole numbers) along the order of each key."""
+    b = df.withColumn(_B, bucket).select("*", *[v.cast("bigint").alias(f"__v_{n}") for n, v in values.items()])
+    totals = b.groupBy(*keys, _B).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in values])
     before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*keys, _B, F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__carry"))
+    carry = totals.select(
+        *keys, _B, *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__c_{n}") for n in values]
+    )
     upto = _local(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = b.withColumn("__run", F.sum("__v").over(upto))
+    rows = b.select("*", *[F.sum(f"__v_{n}").over(upto).alias(f"__r_{n}") for n in values])
     joined = rows.join(carry, [*keys, _B], "inner")
-    return joined.select(*df.columns, (F.col("__run") + F.col("__carry")).alias(name))
+    return joined.select(*df.columns, *[(F.col(f"__r_{n}") + F.col(f"__c_{n}")).alias(n) for n in values])
+
+
+def running_sum(df: DataFrame, keys, order, bucket: Column, value: Column, name: str) -> DataFrame:
+    return running_sums(df, keys, order, bucket, {name: value})
 
 
 def row_numbers(df: DataFrame, keys, order, bucket: Column, name: str) -> DataFrame:
