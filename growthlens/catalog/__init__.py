@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .base import REGISTRY
 
-AREAS = ("site", "audit", "search")
+AREAS = ("site", "audit", "changes", "search", "answers", "web", "ads", "content", "leads", "ops", "copy")
 
 
 def _load() -> None:

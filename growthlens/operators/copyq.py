@@ -1 +1,255 @@
-def near_duplicates(*a): raise NotImplementedError
+"""Copy corpus quality: checked lines, lint hits, word rates, quotes, duplicates."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import fixed
+from ..functions.numbers import ratio
+from ..functions.text import collapse_ws
+from ..functions.urls import strip_blanks
+from ..plans.groups import first_n
+
+HASHTAGS = r"^#[A-Za-z0-9_]+(?:\s+#[A-Za-z0-9_]+)*\s*$"
+
+
+def _any_of(line: Column, words) -> Column:
+    hit = F.lit(False)
+    for w in words:
+        hit = hit | F.contains(line, F.lit(w))
+    return hit
+
+
+def copy_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key, line_no, line`` of every line that counts as copy.
+
+    Front matter, fences, quotes, hashtag and link lines are out; headings switch sections on
+    and off. All of it happens inside the row: headings cut the line array into stretches, and
+    only stretches that are on are exploded. Nothing is shuffled, a text is never cut short.
+    """
+    text = F.regexp_replace("text", r"(\r\n|\r|\n)$", "")
+    d = docs.select(key, F.split(text, r"\r\n|\r|\n").alias("lines"))
+    d = d.withColumn("n", F.size("lines")).withColumn("bare", F.transform("lines", strip_blanks))
+    closing = F.array_position(F.slice(F.col("bare"), F.lit(2), F.greatest(F.col("n") - 1, F.lit(0))), "---")
+    start = F.when(F.col("bare")[0] != "---", 0).when(closing == 0, F.col("n")).otherwise(closing.cast("int") + 1)
+    explicit = F.exists("bare", lambda x: x.startswith("##") & _any_of(F.lower(x), fixed.COPY_HEADINGS))
+    d = d.withColumn("start", start).withColumn("explicit", explicit)
+
+    def switch(x: Column, i: Column) -> Column:
+        low = F.lower(x)
+        state = (
+            F.when(_any_of(low, fixed.INTERNAL_HEADINGS), False)
+            .when(_any_of(low, fixed.COPY_HEADINGS), True)
+            .when(F.col("explicit"), False)
+        )
+        return F.when(x.startswith("#") & (i >= F.col("start")), F.struct(i.alias("at"), state.alias("on")))
+
+    marks = F.filter(F.transform("bare", switch), lambda m: m["on"].isNotNull())
+    first = F.array(F.struct(F.col("start").alias("at"), (~F.col("explicit")).alias("on")))
+    d = d.withColumn("marks", F.concat(first, marks))
+    spans = F.transform(
+        "marks",
+        lambda m, k: F.struct(m["at"].alias("a"), F.coalesce(F.get("marks", k + 1)["at"], F.col("n")).alias("b"), m["on"].alias("on")),
+    )
+    on = d.select(key, "lines", F.explode(F.filter(spans, lambda s: s["on"] & (s["b"] > s["a"]))).alias("s"))
+    rows = on.select(
+        key, "s.a", F.posexplode(F.slice("lines", F.col("s.a") + 1, F.col("s.b") - F.col("s.a"))).alias("p", "line")
+    ).withColumn("x", strip_blanks("line"))
+    x = F.col("x")
+    skipped = (
+        x.startswith("```") | x.startswith(">") | x.startswith("**Hashtags:**") | x.rlike(HASHTAGS)
+        | x.startswith("http://") | x.startswith("https://") | (x.startswith("[") & F.contains(x, F.lit("](http")))
+    )
+    return rows.filter(~skipped).select(key, (F.col("a") + F.col("p") + 1).alias("line_no"), "line")
+
+
+def _java(pattern: str, sensitive: bool) -> str:
+    return ("(?U)" if sensitive else "(?iuU)") + pattern
+
+
+def lint_hits(lines: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row per line and pattern it hits.
+
+    The patterns are literals in one projection, each compiled once; there is no join with a
+    pattern table. A cheap scan for the words' stems skips most lines first.
+    """
+    hits = F.filter(
+        F.array(*[F.when(F.col("line").rlike(_java(p, cs)), F.lit(name)) for name, p, cs in fixed.LINT_PATTERNS]),
+        lambda h: h.isNotNull(),
+    )
+    return lines.filter(F.lower("line").rlike(STEMS)).select(key, "line_no", F.explode(hits).alias("pattern"))
+
+
+# Every lint pattern needs one of these texts in the lower-cased line.
+STEMS = (
+    r'—|:|here is |that\'s the whole|whether|not only|,\s*(?:under|high|ensur|reflect|symbol|foster)|how much\?|planning a'
+    r"|delv|testament|pivotal|crucial|vital|robust|seamless|landscape|tapestry|holistic|foster|bolster|underscor"
+    r"|moreover|furthermore|plethora|myriad|paramount|transformative|groundbreaking|cutting-edge|comprehensive|navigating"
+)
+
+
+def lint_summary(docs: DataFrame, hits: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Hits per document; clean documents stay in with 0."""
+    per = hits.groupBy(key).agg(F.count("*").alias("hits"), F.countDistinct("pattern").alias("patterns"))
+    j = docs.select(key).join(per, key, "left")
+    n = F.coalesce("hits", F.lit(0))
+    return j.select(key, n.alias("hits"), F.coalesce("patterns", F.lit(0)).alias("patterns"), (n == 0).alias("clean"))
+
+
+def lint_totals(summary: DataFrame) -> DataFrame:
+    return summary.agg(
+        F.count_if("clean").alias("clean_files"), F.count_if(~F.col("clean")).alias("dirty_files"), F.sum("hits").alias("total_hits")
+    )
+
+
+def _words_pattern(words) -> str:
+    return r"(?U)\b(?:" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + r")\b"
+
+
+def word_rates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Avoid-list words and phrases per document and per 1,000 words, by kind. Row-local."""
+    low = docs.select(key, F.lower(F.col("text")).alias("low"))
+    kinds = {**fixed.AVOID_WORDS, "phrase": fixed.AVOID_PHRASES}
+    words = F.size(F.regexp_extract_all("low", F.lit(r"(?U)\S+"), F.lit(0)))
+    count = lambda ws: F.regexp_count("low", F.lit(_words_pattern(ws)))
+    c = low.select(key, words.alias("words"), *[count(ws).alias(kind) for kind, ws in kinds.items()])
+    total = F.lit(0)
+    for kind in kinds:
+        total = total + F.col(kind)
+    return c.withColumn("per_1000", ratio(total * 1000, F.col("words"), 2))
+
+
+def avoided_words(docs: DataFrame) -> DataFrame:
+    """Corpus counts per avoided word: only matches are exploded, never all tokens."""
+    def tagged(found: Column, kind: str) -> Column:
+        return F.transform(found, lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("word")))
+
+    out = None
+    for kind, ws in {**fixed.AVOID_WORDS, "phrase": fixed.AVOID_PHRASES}.items():
+        found = F.regexp_extract_all(F.lower(F.col("text")), F.lit(_words_pattern(ws)), F.lit(0))
+        part = tagged(found, kind)
+        out = part if out is None else F.concat(out, part)
+    return docs.select(F.explode(out).alias("w")).groupBy("w.kind", "w.word").agg(F.count("*").alias("n"))
+
+
+PARALLEL = r"(?iU)\b(?:not|isn't|aren't|wasn't)\b[^.!?\n]{1,80}?(?:,|;|\.|—)\s*(?:it's|it is|they're|but)\b"
+
+
+def parallelism_count(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """"Not X, it's Y" turns per caption; more than one breaks the rule."""
+    n = F.regexp_count("text", F.lit(PARALLEL))
+    return docs.select(key, n.alias("n"), (n <= 1).alias("ok"))
+
+
+def quote_traceability(copies: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Quoted lines (20+ characters) of a copy that do not occur in its source transcript.
+
+    ``copies``: doc_id, source_id, text; ``transcripts``: source_id, text.
+    """
+    norm = lambda c: F.lower(collapse_ws(F.regexp_replace(c, "[“”\"‘’']", "")))
+    quotes = copies.select("doc_id", "source_id", F.explode(F.regexp_extract_all("text", F.lit('[“"]([^“”"]{20,}?)[”"]'), F.lit(1))).alias("quote"))
+    src = transcripts.select("source_id", norm("text").alias("source_text"))
+    j = quotes.join(src, "source_id", "left")
+    return j.filter(~F.coalesce(F.contains("source_text", norm("quote")), F.lit(False))).select("doc_id", "source_id", "quote")
+
+
+def anonymise(docs: DataFrame, names: list[str], key: str = "doc_id") -> DataFrame:
+    """Names become ``[name]``; amounts keep two digits and lose their cents."""
+    text = F.col("text")
+    if names:
+        text = F.regexp_replace(text, r"(?iU)\b(?:" + "|".join(_quote(n) for n in names) + r")\b", "[name]")
+    text = F.regexp_replace(text, r"(?<=\$[0-9,]{1,15})\.[0-9]+", "")
+    return docs.select(key, F.regexp_replace(text, r"(?<=\$[0-9][0-9,]{1,14})[0-9]", "0").alias("text"))
+
+
+def _quote(name: str) -> str:
+    return re.sub(r"([\\.\[\]{}()*+?^$|-])", r"\\\1", name)
+
+
+def normalised(text) -> Column:
+    return F.lower(collapse_ws(text))
+
+
+def exact_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Groups of equal normalised texts: first document and number of copies.
+
+    Only hashes are shuffled, and they are combined map side.
+    """
+    h = docs.select(key, F.sha2(normalised("text"), 256).alias("h"))
+    return h.groupBy("h").agg(F.min(key).alias("first_id"), F.count("*").alias("copies")).filter("copies > 1").drop("h")
+
+
+BINS = 16
+
+
+def shingle_sets(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key, s``: distinct hashes of the 3-word shingles of each whole text.
+
+    The word array is a column of its own: inside the lambda it is looked up, not rebuilt.
+    """
+    words = docs.select(key, F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"(?U)\w+"), F.lit(0)).alias("w"))
+    last = F.greatest(F.size("w") - 3, F.lit(0))
+    grams = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice("w", i + 1, F.lit(3))))
+    return words.select(key, F.array_distinct(grams).alias("s"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id") -> DataFrame:
+    """``key, first_id, jaccard``: documents close to an earlier one of their sketch group.
+
+    One minimum per hash bin (map-side combined) forms a sketch; two neighbouring minima form a
+    group key. Every member is compared with the first document of its group only, by exact
+    Jaccard over all shingles, so a group of n copies costs n comparisons, never n squared, and
+    no group is gathered. Equal texts are collapsed to their first document before.
+    """
+    rep = docs.groupBy(F.sha2(normalised("text"), 256).alias("h")).agg(F.min_by(F.struct(key, "text"), key).alias("r"))
+    sets = shingle_sets(rep.select(F.col(f"r.{key}").alias(key), F.col("r.text").alias("text")), key)
+    mins = (
+        sets.select(key, F.explode("s").alias("x"))
+        .groupBy(key, F.pmod("x", F.lit(BINS)).cast("int").alias("bin"))
+        .agg(F.min("x").alias("m"))
+    )
+    # each minimum takes part in two pairs: (bin, next bin) and (previous bin, bin)
+    halves = mins.select(
+        key, "m", F.explode(F.array(F.struct(F.col("bin").alias("band"), F.lit(0).alias("side")),
+                                    F.struct(F.pmod(F.col("bin") - 1, F.lit(BINS)).alias("band"), F.lit(1).alias("side")))).alias("b"),
+    )
+    bands = (
+        halves.groupBy(key, "b.band")
+        .agg(F.min(F.when(F.col("b.side") == 0, F.col("m"))).alias("m0"), F.min(F.when(F.col("b.side") == 1, F.col("m"))).alias("m1"))
+        .withColumn("g", F.xxhash64("m0", "m1"))
+    )
+    leads = bands.groupBy("band", "g").agg(F.min(key).alias("first_id"), F.count("*").alias("n")).filter("n > 1")
+    pairs = bands.join(leads, ["band", "g"]).filter(F.col(key) != F.col("first_id")).select(key, "first_id").distinct()
+    a = sets.select(key, F.col("s").alias("s1"))
+    b = sets.select(F.col(key).alias("first_id"), F.col("s").alias("s2"))
+    both = F.size(F.array_intersect("s1", "s2"))
+    jac = pairs.join(a, key).join(b, "first_id").select(
+        key, "first_id", F.try_divide(both.cast("double"), (F.size("s1") + F.size("s2") - both).cast("double")).alias("jaccard")
+    )
+    close = jac.filter(F.col("jaccard") >= threshold)
+    return close.groupBy(key).agg(F.min(F.struct("first_id", "jaccard")).alias("c")).select(key, "c.first_id", "c.jaccard")
+
+
+def unique_word_share(pages: DataFrame, key: str = "page_id", group: str = "template") -> DataFrame:
+    """Distinct words per page, and the share of them no other page of its template uses.
+
+    Words are counted per template with map-side combination; a word that a third of the pages
+    share is one row, and only the words of exactly one page are joined back.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"(?U)\w+"), F.lit(0)))
+    exploded = pages.select(group, key, F.explode(words).alias("w"))
+    alone = exploded.groupBy(group, "w").agg(F.count("*").alias("n"), F.min(key).alias(key)).filter("n = 1")
+    own = alone.groupBy(group, key).agg(F.count("*").alias("own"))
+    return (
+        pages.select(group, key, F.size(words).cast("bigint").alias("distinct_words"))
+        .join(own, [group, key], "left")
+        .select(group, key, "distinct_words", ratio(F.coalesce("own", F.lit(0)), F.col("distinct_words"), 4).alias("unique_share"))
+    )
+
+
+def sample_hits(hits: DataFrame, per_pattern: int = 3, key: str = "doc_id") -> DataFrame:
+    """The first hits per pattern for a report (a report limit)."""
+    return first_n(hits, ["pattern"], [key, "line_no"], per_pattern)

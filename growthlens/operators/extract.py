@@ -247,10 +247,10 @@ def link_counts(resolved: DataFrame, src: str = "url") -> DataFrame:
 def only_in_script(pages: DataFrame, phrases: list[str], key: str = "page_id") -> DataFrame:
     """Phrases present in the raw markup but absent from the visible text (C8)."""
     text = visible_text(F.col("html"))
-    found = F.filter(
-        F.array(*[F.lit(p) for p in phrases]),
-        lambda p: F.contains(F.col("html"), p) & ~F.contains(F.col("__text"), p),
-    )
+    hits = [
+        F.when(F.contains("html", F.lit(p)) & ~F.contains("__text", F.lit(p)), F.lit(p)) for p in phrases
+    ]
+    found = F.filter(F.array(*hits), lambda p: p.isNotNull())
     return pages.withColumn("__text", text).select(key, F.explode(found).alias("phrase"))
 
 
