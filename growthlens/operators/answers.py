@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text, urls
 from ..functions.numbers import ratio
+from ..plans.groups import unroll
 
 NEAR_CHARS = 300
 
@@ -125,11 +126,8 @@ def unverified_figures(answers: DataFrame, brand: list[str], facts: DataFrame, k
     """
     names = F.array(*[F.lit(n) for n in brand])
     # offsets need a regex engine with spans; everything after it is relational
-    near = (
-        answers.filter(F.contains("answer", F.lit("$")))
-        .select(*keys, F.explode(near_figures("answer", names)).alias("figure"))
-        .withColumn("money_key", text.money_key("figure"))
-    )
+    priced = answers.filter(F.contains("answer", F.lit("$")))
+    near = unroll(priced, keys, near_figures("answer", names), "figure").withColumn("money_key", text.money_key("figure"))
     known = facts.select(text.money_key("figure").alias("money_key")).distinct()
     return near.join(known, "money_key", "left_anti").select(*keys, "figure", F.lit("check by hand").alias("note"))
 
@@ -144,7 +142,7 @@ def mention_spans(answers: DataFrame, names: list[str], keys: list[str]) -> Data
             lambda b: [{"name": n, "start": m.start(), "end": m.end()} for n, p in patterns for m in p.finditer(b or "")]
         )
 
-    return answers.select(*keys, F.inline(spans("answer")))
+    return unroll(answers, keys, spans("answer"), "s").select(*keys, "s.*")
 
 
 def _rates() -> list[Column]:
@@ -180,14 +178,14 @@ def answer_cube(analyzed: DataFrame) -> DataFrame:
 
 
 def top_cited(analyzed: DataFrame) -> DataFrame:
-    good = analyzed.filter("error IS NULL").select(F.explode("cited_domains").alias("domain"))
+    good = unroll(analyzed.filter("error IS NULL"), [], F.col("cited_domains"), "domain")
     return good.groupBy("domain").agg(F.count("*").alias("answers"))
 
 
 def offsite_gap(analyzed: DataFrame, domains: list[str]) -> DataFrame:
     """Cited domains that are not ours and never appear in an answer naming the brand."""
     own = F.array(*[F.lit(d) for d in domains])
-    rows = analyzed.filter("error IS NULL").select("brand_mentioned", F.explode("cited_domains").alias("domain"))
+    rows = unroll(analyzed.filter("error IS NULL"), ["brand_mentioned"], F.col("cited_domains"), "domain")
     per = rows.groupBy("domain").agg(F.count("*").alias("answers"), F.bool_or("brand_mentioned").alias("named"))
     return per.filter(~F.col("named") & ~urls.host_in("domain", own)).drop("named")
 
@@ -215,7 +213,7 @@ def share_of_voice(analyzed: DataFrame, brand: str) -> DataFrame:
         F.when(F.col("brand_mentioned"), F.array(F.lit(brand))).otherwise(F.array().cast("array<string>")),
         F.col("competitors_mentioned"),
     )
-    per = analyzed.filter("error IS NULL").select(F.explode(named).alias("name")).groupBy("name").agg(F.count("*").alias("mentions"))
+    per = unroll(analyzed.filter("error IS NULL"), [], named, "name").groupBy("name").agg(F.count("*").alias("mentions"))
     return per.withColumn("share", ratio("mentions", per.agg(F.sum("mentions")).scalar(), 4))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, urls
 from ..functions.text import has_canonical_link, is_html_200, is_noindex, is_text_html
-from ..plans.groups import listed, stitched_list
+from ..plans.groups import listed, stitched_list, unroll
 from .linkgraph import broken_link_sources, inbound_degree, resolve, with_final, with_page_keys
 
 ISSUE_COLUMNS = ("site", "code", "severity", "url", "detail")
@@ -55,7 +55,7 @@ def _issue(code: str, when: Column, detail: Column, severity: Column | None = No
 
 def _unroll(rows: DataFrame, issues: list[Column], url: str = "url") -> DataFrame:
     found = F.filter(F.array(*issues), lambda x: x.isNotNull())
-    return rows.select("site", F.col(url).alias("url"), F.explode(found).alias("i")).select(
+    return unroll(rows, ["site", F.col(url).alias("url")], found, "i").select(
         "site", "i.code", "i.severity", "url", "i.detail"
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixed, urls
-from ..plans.groups import first_n
+from ..plans.groups import first_n, unroll
 from .audit import severity_rank
 
 SOURCES = ("crawl", "lighthouse", "gsc", "ai")  # fixed values: snapshot sources
@@ -114,7 +114,7 @@ def _bullets(df: DataFrame, seq: int, *pairs) -> DataFrame:
         F.when(cond, F.struct(weight.cast("double").alias("weight"), F.lit(seq + i).alias("seq"), line.alias("line")))
         for i, (cond, weight, line) in enumerate(pairs)
     ]
-    return df.select("site", F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("b")).select("site", "b.*")
+    return unroll(df, ["site"], F.filter(F.array(*items), lambda x: x.isNotNull()), "b").select("site", "b.*")
 
 
 def headline(changes: DataFrame, speed: DataFrame | None = None, search: DataFrame | None = None, ai: DataFrame | None = None, top: int = 5) -> DataFrame:

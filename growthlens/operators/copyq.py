@@ -11,7 +11,7 @@ from ..functions import fixed
 from ..functions.numbers import ratio
 from ..functions.text import collapse_ws
 from ..functions.urls import strip_blanks
-from ..plans.groups import first_n
+from ..plans.groups import first_n, unroll, unroll_with_pos
 
 HASHTAGS = r"^#[A-Za-z0-9_]+(?:\s+#[A-Za-z0-9_]+)*\s*$"
 
@@ -54,10 +54,9 @@ def copy_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         "marks",
         lambda m, k: F.struct(m["at"].alias("a"), F.coalesce(F.get("marks", k + 1)["at"], F.col("n")).alias("b"), m["on"].alias("on")),
     )
-    on = d.select(key, "lines", F.explode(F.filter(spans, lambda s: s["on"] & (s["b"] > s["a"]))).alias("s"))
-    rows = on.select(
-        key, "s.a", F.posexplode(F.slice("lines", F.col("s.a") + 1, F.col("s.b") - F.col("s.a"))).alias("p", "line")
-    ).withColumn("x", strip_blanks("line"))
+    on = unroll(d, [key, "lines"], F.filter(spans, lambda s: s["on"] & (s["b"] > s["a"])), "s")
+    stretch = F.slice("lines", F.col("s.a") + 1, F.col("s.b") - F.col("s.a"))
+    rows = unroll_with_pos(on, [key, "s.a"], stretch, "p", "line").withColumn("x", strip_blanks("line"))
     x = F.col("x")
     skipped = (
         x.startswith("```") | x.startswith(">") | x.startswith("**Hashtags:**") | x.rlike(HASHTAGS)
@@ -80,7 +79,7 @@ def lint_hits(lines: DataFrame, key: str = "doc_id") -> DataFrame:
         F.array(*[F.when(F.col("line").rlike(_java(p, cs)), F.lit(name)) for name, p, cs in fixed.LINT_PATTERNS]),
         lambda h: h.isNotNull(),
     )
-    return lines.filter(F.lower("line").rlike(STEMS)).select(key, "line_no", F.explode(hits).alias("pattern"))
+    return unroll(lines.filter(F.lower("line").rlike(STEMS)), [key, "line_no"], hits, "pattern")
 
 
 # Every lint pattern needs one of these texts in the lower-cased line.
@@ -132,7 +131,7 @@ def avoided_words(docs: DataFrame) -> DataFrame:
         found = F.regexp_extract_all(F.lower(F.col("text")), F.lit(_words_pattern(ws)), F.lit(0))
         part = tagged(found, kind)
         out = part if out is None else F.concat(out, part)
-    return docs.select(F.explode(out).alias("w")).groupBy("w.kind", "w.word").agg(F.count("*").alias("n"))
+    return unroll(docs, [], out, "w").groupBy("w.kind", "w.word").agg(F.count("*").alias("n"))
 
 
 PARALLEL = r"(?iU)\b(?:not|isn't|aren't|wasn't)\b[^.!?\n]{1,80}?(?:,|;|\.|—)\s*(?:it's|it is|they're|but)\b"
@@ -150,7 +149,7 @@ def quote_traceability(copies: DataFrame, transcripts: DataFrame) -> DataFrame:
     ``copies``: doc_id, source_id, text; ``transcripts``: source_id, text.
     """
     norm = lambda c: F.lower(collapse_ws(F.regexp_replace(c, "[“”\"‘’']", "")))
-    quotes = copies.select("doc_id", "source_id", F.explode(F.regexp_extract_all("text", F.lit('[“"]([^“”"]{20,}?)[”"]'), F.lit(1))).alias("quote"))
+    quotes = unroll(copies, ["doc_id", "source_id"], F.regexp_extract_all("text", F.lit('[“"]([^“”"]{20,}?)[”"]'), F.lit(1)), "quote")
     src = transcripts.select("source_id", norm("text").alias("source_text"))
     j = quotes.join(src, "source_id", "left")
     return j.filter(~F.coalesce(F.contains("source_text", norm("quote")), F.lit(False))).select("doc_id", "source_id", "quote")
@@ -192,7 +191,7 @@ def shingle_sets(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     words = docs.select(key, F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"(?U)\w+"), F.lit(0)).alias("w"))
     last = F.greatest(F.size("w") - 3, F.lit(0))
-    grams = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice("w", i + 1, F.lit(3))))
+    grams = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
     return words.select(key, F.array_distinct(grams).alias("s"))
 
 
@@ -207,7 +206,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id"
     rep = docs.groupBy(F.sha2(normalised("text"), 256).alias("h")).agg(F.min_by(F.struct(key, "text"), key).alias("r"))
     sets = shingle_sets(rep.select(F.col(f"r.{key}").alias(key), F.col("r.text").alias("text")), key)
     mins = (
-        sets.select(key, F.explode("s").alias("x"))
+        unroll(sets, [key], F.col("s"), "x")
         .groupBy(key, F.pmod("x", F.lit(BINS)).cast("int").alias("bin"))
         .agg(F.min("x").alias("m"))
     )
@@ -240,7 +239,7 @@ def unique_word_share(pages: DataFrame, key: str = "page_id", group: str = "temp
     share is one row, and only the words of exactly one page are joined back.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"(?U)\w+"), F.lit(0)))
-    exploded = pages.select(group, key, F.explode(words).alias("w"))
+    exploded = unroll(pages, [group, key], words, "w")
     alone = exploded.groupBy(group, "w").agg(F.count("*").alias("n"), F.min(key).alias(key)).filter("n = 1")
     own = alone.groupBy(group, key).agg(F.count("*").alias("own"))
     return (

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, urls
 from ..functions.text import collapse_ws
+from ..plans.groups import unroll, unroll_with_pos
 
 COMMENT = r"(?s)<!--.*?(?:-->|$)"
 SCRIPT = r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)"
@@ -216,7 +217,7 @@ def raw_hrefs(pages: DataFrame, keep=("url",)) -> DataFrame:
     """``keep..., pos, href`` for every anchor, straight from the markup (no Python at all)."""
     tags = open_tags(visible(F.col("html")), "a")
     hrefs = F.filter(F.transform(tags, lambda t: attribute(t, "href")), lambda h: h != "")
-    return pages.select(*keep, F.posexplode(hrefs).alias("pos", "href"))
+    return unroll_with_pos(pages, keep, hrefs, "pos", "href")
 
 
 def resolve_links(anchors: DataFrame, base: str = "url", site: str = "url") -> DataFrame:
@@ -251,7 +252,7 @@ def only_in_script(pages: DataFrame, phrases: list[str], key: str = "page_id") -
         F.when(F.contains("html", F.lit(p)) & ~F.contains("__text", F.lit(p)), F.lit(p)) for p in phrases
     ]
     found = F.filter(F.array(*hits), lambda p: p.isNotNull())
-    return pages.withColumn("__text", text).select(key, F.explode(found).alias("phrase"))
+    return unroll(pages.withColumn("__text", text), [key], found, "phrase")
 
 
 def unbacked_numbers(files: DataFrame, pages: DataFrame) -> DataFrame:
@@ -261,11 +262,11 @@ def unbacked_numbers(files: DataFrame, pages: DataFrame) -> DataFrame:
     """
     from ..functions.text import money_figures, money_key
 
-    claimed = files.select("site", F.explode(F.array_distinct(money_figures("text"))).alias("figure")).withColumn(
+    claimed = unroll(files, ["site"], F.array_distinct(money_figures("text")), "figure").withColumn(
         "money_key", money_key("figure")
     )
     rendered = (
-        pages.select("site", F.explode(money_figures(visible_text(F.col("html")))).alias("f"))
+        unroll(pages, ["site"], money_figures(visible_text(F.col("html"))), "f")
         .select("site", money_key("f").alias("money_key"))
         .distinct()
     )

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import fixed
 from ..functions.numbers import ratio
 from ..plans import timeline
+from ..plans.groups import unroll
 from .web import with_micros
 
 MONEY = "decimal(18,2)"
@@ -174,7 +175,7 @@ def triage(leads: DataFrame, today, stale_days: int = 30) -> DataFrame:
         lambda x: x.isNotNull(),
     )
     aged = leads.withColumn("old", F.date_diff(today, F.col("lead_date")) > stale_days)
-    return aged.select("lead_id", F.explode(found).alias("finding"))
+    return unroll(aged, ["lead_id"], found, "finding")
 
 
 def stage_moves(history: DataFrame) -> DataFrame:

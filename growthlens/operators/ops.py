@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import fixed
 from ..functions.text import format_family
 from ..plans import timeline
+from ..plans.groups import unroll
 from .web import PII
 
 SEED, JITTER_MIN, SLOTS_PER_DAY = 17, 20, 2
@@ -64,7 +65,7 @@ def note_validation(notes: DataFrame, required=fixed.NOTE_REQUIRED) -> DataFrame
         checks.append(F.when((stem == "") | ~F.col("content_id").eqNullSafe(built), F.lit("id does not match file name")))
     if "source_footage" in notes.columns:
         checks.append(F.when((F.col("status") == "captured") & blank("source_footage"), F.lit("captured without footage")))
-    return notes.select("content_id", F.explode(F.filter(F.array(*checks), lambda x: x.isNotNull())).alias("violation"))
+    return unroll(notes, ["content_id"], F.filter(F.array(*checks), lambda x: x.isNotNull()), "violation")
 
 
 def backfill_gap(catalogue: DataFrame, target: DataFrame) -> DataFrame:

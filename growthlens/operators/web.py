@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from ..functions import text, urls
 from ..functions.numbers import ratio
 from ..plans import timeline
+from ..plans.groups import unroll
 
 SESSION_GAP_S, ENGAGED_S = 30 * 60, 10
 REPORT_ROWS = 25
@@ -279,7 +280,7 @@ PII = {  # fixed values: what personal data looks like in a property
 def pii_scan(df: DataFrame, body: str, keys: list[str]) -> DataFrame:
     """Rows whose text holds values that look like personal data, and of which kind."""
     kinds = F.filter(F.array(*[F.when(F.col(body).rlike(p), F.lit(k)) for k, p in PII.items()]), lambda x: x.isNotNull())
-    return df.select(*keys, F.explode(kinds).alias("kind"))
+    return unroll(df, keys, kinds, "kind")
 
 
 def utm_audit(df: DataFrame, url: str = "url") -> DataFrame:

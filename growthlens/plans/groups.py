@@ -7,6 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def unroll(df: DataFrame, keep, items: Column, name: str) -> DataFrame:
+    """One row per element of a computed array (elements are never NULL).
+
+    A plain explode makes Spark infer a filter on the array's size and push it down with the
+    whole expression inlined, which builds every array twice and rebuilds outer columns inside
+    lambdas for every element. The outer form with a check on the element does not.
+    """
+    return df.select(*keep, F.explode_outer(items).alias(name)).filter(F.col(name).isNotNull())
+
+
+def unroll_with_pos(df: DataFrame, keep, items: Column, pos: str, name: str) -> DataFrame:
+    return df.select(*keep, F.posexplode_outer(items).alias(pos, name)).filter(F.col(name).isNotNull())
+
+
 def first_n(df: DataFrame, keys, order, n: int) -> DataFrame:
     """The first ``n`` rows per group.
 
