@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .base import REGISTRY
 
-AREAS = ("site", "audit", "changes", "search", "answers", "web", "ads", "content", "leads", "ops", "copy")
+AREAS = (
+    "site", "audit", "changes", "search", "answers", "web", "ads", "content", "leads", "ops", "copy", "reports", "streams",
+)
 
 
 def _load() -> None:
