@@ -65,7 +65,8 @@ def crawl_site_files(docs: DataFrame) -> DataFrame:
 def ingest_notes(docs: DataFrame) -> DataFrame:
     """One line per file that is not valid JSON; the run goes on with the others."""
     name = F.element_at(F.split("file_path", "/"), -1)
-    return docs.filter(F.col(CORRUPT).isNotNull()).select(F.concat(name, F.lit(" is not valid JSON and was skipped.")).alias("note")).distinct()
+    note = F.concat(name, F.lit(" is not valid JSON and was skipped.")).alias("note")
+    return docs.filter(F.col(CORRUPT).isNotNull()).select("site", note).distinct()
 
 
 SEARCH = "rows array<struct<keys:array<string>,clicks:double,impressions:double,ctr:double,position:double>>"
