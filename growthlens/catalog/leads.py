@@ -106,12 +106,12 @@ def time_to_lead(t):
 
 
 @query(
-    "pipeline_stages",
+    "deal_stages",
     """SELECT lead_status, CASE WHEN lead_status IN ('Won','Lost','Disqualified') THEN 'closed' ELSE 'open' END AS kind, count(*) AS leads,
        CAST(sum(revenue) AS DECIMAL(18,2)) AS value FROM v_leads GROUP BY 1,2""",
     L,
 )
-def pipeline_stages(t):
+def deal_stages(t):
     return leads.pipeline_stages(t.v_leads)
 
 

@@ -9,8 +9,8 @@ C = ("v_content",)
 ORDER = "['concept','pre-production','captured','editing','pre-approval','approved','scheduled','published']"
 
 
-@query("pipeline_board", f"SELECT status, count(*) AS n, min(date_published) AS next_date, CAST(list_position({ORDER}, status) AS INTEGER) AS position FROM v_content GROUP BY 1", C)
-def pipeline_board(t):
+@query("status_board", f"SELECT status, count(*) AS n, min(date_published) AS next_date, CAST(list_position({ORDER}, status) AS INTEGER) AS position FROM v_content GROUP BY 1", C)
+def status_board(t):
     return ops.pipeline_board(t.v_content)
 
 

@@ -12,6 +12,7 @@ from ..functions.numbers import ratio
 from ..functions.text import collapse_ws
 from ..functions.urls import strip_blanks
 from ..plans.groups import first_n, unroll, unroll_with_pos
+from ..session import cut_lineage
 
 # Lines that are never copy.
 SKIPPED = r"^\s*(?:```|>|\*\*Hashtags:\*\*|https?://)"
@@ -209,14 +210,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id"
     One minimum per hash bin (map-side combined) forms a sketch; two neighbouring minima form a
     group key. Every member is compared with the first document of its group only, by exact
     Jaccard over all shingles, so a group of n copies costs n comparisons, never n squared, and
-    no group is gathered. Equal texts are collapsed to their first document before.
+    no group is gathered. Of equal texts only the first document takes part. Texts themselves
+    are not shuffled: sketches are, and the shingle sets of documents that form a pair.
     """
-    rep = docs.groupBy(F.sha2(normalised("text"), 256).alias("h")).agg(F.min_by(F.struct(key, "text"), key).alias("r"))
-    sets = shingle_sets(rep.select(F.col(f"r.{key}").alias(key), F.col("r.text").alias("text")), key)
+    hashes = docs.select(key, F.sha2(normalised("text"), 256).alias("h"))
+    firsts = hashes.groupBy("h").agg(F.min(key).alias(key)).select(key)
+    sets = shingle_sets(docs, key)
     mins = (
         unroll(sets, [key], F.col("s"), "x")
         .groupBy(key, F.pmod("x", F.lit(BINS)).cast("int").alias("bin"))
         .agg(F.min("x").alias("m"))
+        .join(firsts, key, "left_semi")
     )
     # each minimum takes part in two pairs: (bin, next bin) and (previous bin, bin)
     halves = mins.select(
@@ -230,6 +234,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id"
     )
     leads = bands.groupBy("band", "g").agg(F.min(key).alias("first_id"), F.count("*").alias("n")).filter("n > 1")
     pairs = bands.join(leads, ["band", "g"]).filter(F.col(key) != F.col("first_id")).select(key, "first_id").distinct()
+    pairs = cut_lineage(pairs)  # read twice below, and its real size decides how it is joined
+    members = pairs.select(key).union(pairs.select(F.col("first_id").alias(key))).distinct()
+    sets = sets.join(members, key, "left_semi")
     a = sets.select(key, F.col("s").alias("s1"))
     b = sets.select(F.col(key).alias("first_id"), F.col("s").alias("s2"))
     both = F.size(F.array_intersect("s1", "s2"))

@@ -21,12 +21,25 @@ def unroll_with_pos(df: DataFrame, keep, items: Column, pos: str, name: str) ->
     return df.select(*keep, F.posexplode_outer(items).alias(pos, name)).filter(F.col(name).isNotNull())
 
 
+# Largest group limit that Spark cuts before the shuffle by itself, and the salts used beyond it.
+GROUP_LIMIT, SALTS = 1000, 512
+
+
 def first_n(df: DataFrame, keys, order, n: int) -> DataFrame:
     """The first ``n`` rows per group.
 
     Spark cuts each map task to ``n`` rows per group before the shuffle (window group limit),
-    so a group that holds a third of the data moves only ``n`` rows per task.
+    so a group that holds a third of the data moves only ``n`` rows per task. Beyond the size
+    Spark does this for, a salted first round cuts the group in parallel.
     """
+    if n > GROUP_LIMIT:
+        names = [c for c, t in df.dtypes if not t.startswith("map")]
+        salted = df.withColumn("__salt", F.pmod(F.xxhash64(*names), F.lit(SALTS)))
+        df = _cut(salted, [*keys, "__salt"], order, n).drop("__salt")
+    return _cut(df, keys, order, n)
+
+
+def _cut(df: DataFrame, keys, order, n: int) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")
 

@@ -86,8 +86,9 @@ def enrich(log: DataFrame, site_config: DataFrame, on: str = "site") -> DataFram
 def funnel_state(events: DataFrame, steps: list[str], timeout_ms: int = 86_400_000, late: str = "10 minutes") -> DataFrame:
     """Steps reached per user, kept as keyed state that expires in event time.
 
-    Emits a row whenever a user gets further. Each key's state is two numbers; its rows come as
-    an iterator of batches and are never held together.
+    Emits a row whenever a user gets further. The state of a key is two numbers. Within a
+    micro-batch rows come unordered, so the times of the open steps are kept as plain integer
+    arrays until the batch of the key is complete; ``maxFilesPerTrigger`` bounds them.
     """
     order = {s: i for i, s in enumerate(steps)}
 
@@ -96,12 +97,16 @@ def funnel_state(events: DataFrame, steps: list[str], timeout_ms: int = 86_400_0
             state.remove()
             return
         done, last = state.get if state.exists else (0, -1)
-        start = done
+        start, times = done, {i: [] for i in range(done, len(order))}
         for batch in batches:
-            hits = batch.assign(step=batch["event_type"].map(order)).dropna(subset=["step"]).sort_values("us")
-            for step, us in zip(hits["step"].astype(int), hits["us"]):
-                if step == done and us > last:
-                    done, last = done + 1, int(us)
+            step = batch["event_type"].map(order)
+            for i, kept in times.items():
+                kept.append(batch["us"].to_numpy()[(step == i).to_numpy()])
+        for i, kept in times.items():
+            later = [int(t[t > last].min()) for t in kept if (t > last).any()]
+            if not later:
+                break
+            done, last = i + 1, min(later)
         state.update((done, last))
         # a timeout has to lie behind the watermark
         state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + timeout_ms)

@@ -114,3 +114,9 @@ def test_copy_lines_rules(spark):
     assert [r.quote for r in q.collect()] == ["this was never said by them"]
     anon = copyq.anonymise(spark.createDataFrame([(1, "Jo Smith paid $12,345.67 and $7")], "doc_id int, text string"), ["Jo Smith"]).first().text
     assert anon == "[name] paid $12,000 and $7"
+
+
+def test_first_n_beyond_the_group_limit(spark):
+    e = spark.range(6000).select((F.col("id") % 2).alias("k"), F.col("id").alias("t"))
+    got = groups.first_n(e, ["k"], [F.desc("t")], 1500)
+    assert got.count() == 3000 and got.agg(F.min("t")).first()[0] == 3000
