@@ -188,7 +188,8 @@ def demand_without_page(rows: DataFrame, sitemap_keys: DataFrame, home_key: str,
 
     ``sitemap_keys``: url_key.
     """
-    per_page = rows.groupBy("query", urls.url_key("page").alias("url_key")).agg(F.sum("impressions").alias("impressions"))
+    # keys are formed after the first aggregation, on far fewer rows
+    per_page = rows.groupBy("query", "page").agg(F.sum("impressions").alias("impressions")).withColumn("url_key", urls.url_key("page"))
     known = sitemap_keys.select("url_key").distinct().withColumn("listed", F.lit(True))
     per = (
         per_page.join(known, "url_key", "left")
