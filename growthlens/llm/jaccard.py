@@ -7,9 +7,10 @@ sufficient prefix (in one global order, frequent groups last), so two linked tex
 Under a root, points are packed by size into nodes with an upper corner each; nodes and then points
 whose bound is too small are cut, and the pairs that survive are verified by exact overlap.
 
-Only links between different sets matter for the classes, so the forest is searched in two steps:
-every point against the first of its root (n pairs for n copies), then, under roots that still
-hold several classes, points of different classes against each other.
+Only links between different classes matter, so the forest is searched in steps: every point
+against the first of its root (n pairs for n copies); then, twice, points outside the largest class
+of a root against one member of it, drawn anew for every root; at last and exhaustively, under
+roots that still hold several classes, all points of different classes against each other.
 """
 
 from __future__ import annotations
@@ -29,14 +30,16 @@ from .common import connected_components, shingle_set, ship_by_value, signature
 NUM, DEN = 80, 100
 #: Hash groups of the frequency table: one byte each, so what is broadcast has a fixed size.
 HEAT_BITS = 22
-#: A point has one group for about eight shingles: 2**6 to 2**12 groups.
-LEAST_BITS, MOST_BITS = 6, 12
+#: A point has one group for two to four shingles: 2**6 to 2**14 groups.
+LEAST_BITS, MOST_BITS = 6, 14
+#: Draws from the largest class; they only save work for the last step.
+ROUNDS = 2
 #: Points of a node, and points of a root that meet in one task.
 NODE, BLOCK = 32, 2048
 
 
 def level(n: int) -> int:
-    return min(MOST_BITS, max(LEAST_BITS, (n >> 3).bit_length()))
+    return min(MOST_BITS, max(LEAST_BITS, (n >> 2).bit_length()))
 
 
 def point(values: np.ndarray) -> np.ndarray:
@@ -223,9 +226,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     first = _verified(_bounded(sized.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), reps), src, reps)
     links = cut_lineage(first)
     roots = cut_lineage(connected_components(links))
-    second = cut_lineage(_between_classes(cells, roots, reps))
-    if not second.isEmpty():
-        links = links.union(_verified(second, src, reps))
+    for round_ in range(ROUNDS):
+        more = cut_lineage(_verified(_bounded(_to_largest_class(cells, roots, round_), reps), src, reps))
+        links = links.union(more)
+        roots = cut_lineage(connected_components(links))
+    last = cut_lineage(_between_classes(cells, roots, reps))
+    if not last.isEmpty():
+        links = links.union(_verified(last, src, reps))
         roots = cut_lineage(connected_components(links))
     # smallest key of every class
     named = reps.select("id", "doc_id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -265,13 +272,32 @@ def _verified(pairs: DataFrame, src: DataFrame, reps: DataFrame) -> DataFrame:
     return j.select("a", "b", "sa", "sb").mapInArrow(verify, "a bigint, b bigint")
 
 
+def _labelled(cells: DataFrame, roots: DataFrame) -> DataFrame:
+    return cells.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def _to_largest_class(cells: DataFrame, roots: DataFrame, round_: int) -> DataFrame:
+    """Under each root of several classes: those outside the largest with one member of it.
+
+    Which member depends on the root and the round, so a point meets as many as it has roots.
+    """
+    member = cut_lineage(_labelled(cells.select("key", "id", "n"), roots))
+    drawn = F.min_by(F.struct("id", "n"), F.xxhash64("id", "key", F.lit(round_))).alias("lead")
+    classes = cut_lineage(member.groupBy("key", "root").agg(F.count("*").alias("c"), drawn))
+    largest = classes.groupBy("key").agg(
+        F.max(F.struct("c", "root", "lead")).alias("most"), F.count("*").alias("classes")
+    ).filter("classes > 1").select("key", F.col("most.root").alias("lead_root"), "most.lead")
+    j = member.join(cut_lineage(largest), "key").filter("root <> lead_root")
+    j = j.filter(f"least(n, lead.n) * {DEN} >= greatest(n, lead.n) * {NUM}")
+    return j.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
+
+
 def _between_classes(cells: DataFrame, roots: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs of different classes that the trees under their common roots cannot rule out.
 
     The first of each root has met all the others already.
     """
-    member = cells.filter("id <> lead").select("key", "id", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    member = cut_lineage(member)
+    member = cut_lineage(_labelled(cells.filter("id <> lead").select("key", "id", "n"), roots))
     open_keys = member.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("c"))
     open_keys = cut_lineage(open_keys.filter("r0 <> r1").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb")))
     m = member.join(open_keys, "key").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
