@@ -34,10 +34,10 @@ l AS (SELECT q.m, lvl, CASE WHEN o.o < q.m THEN o.o END AS o FROM q LEFT JOIN o
 b AS (SELECT m, count(*) AS n_quoted, count(o) AS n_linked, min(CASE WHEN o IS NOT NULL THEN lvl END) AS lvl FROM l GROUP BY m),
 r AS (SELECT b.m, any_value(n_quoted) AS n_quoted, any_value(n_linked) AS n_linked, max(l.o) AS reply_to
       FROM b LEFT JOIN l ON l.m = b.m AND l.lvl = b.lvl GROUP BY b.m),
-up(m, at, depth) AS (
+up(m, node, depth) AS (
   SELECT t.m, t.m, 0 FROM t UNION ALL
-  SELECT up.m, r.reply_to, up.depth + 1 FROM up JOIN r ON r.m = up.at WHERE r.reply_to IS NOT NULL),
-top AS (SELECT m, max(depth) AS depth, arg_max(at, depth) AS root FROM up GROUP BY m)
+  SELECT up.m, r.reply_to, up.depth + 1 FROM up JOIN r ON r.m = up.node WHERE r.reply_to IS NOT NULL),
+top AS (SELECT m, max(depth) AS depth, arg_max(node, depth) AS root FROM up GROUP BY m)
 SELECT pp.m AS message_id, r.reply_to, top.root, CAST(top.depth AS BIGINT) AS depth, coalesce(r.n_quoted, 0) AS n_quoted,
        coalesce(r.n_linked, 0) AS n_linked, array_to_string(pp.xs, chr(10) || chr(10)) AS body
 FROM pp JOIN top ON top.m = pp.m LEFT JOIN r ON r.m = pp.m
