@@ -54,7 +54,8 @@ def remove_repeated_chunks(
     Repeated rows (equal key and text) count once and are treated alike. NULL texts stay NULL with 0
     lines; a text that goes entirely becomes empty; rows with a NULL key keep their text but
     count as no occurrence. Only hashes are shuffled for the count; the texts of chunks that occur
-    twice are compared, and one more shuffle brings the lists of removed chunks to their texts.
+    twice are compared, and one more shuffle brings the lists of removed chunks to their texts. Both joins
+    are asked to shuffle, so the plan is one and the same at every size.
     """
     src = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
     parts = unroll_with_pos(
@@ -67,13 +68,13 @@ def remove_repeated_chunks(
     place = F.struct("k", "th", "pos")
     seen = parts.select("h", place.alias("p")).groupBy("h").agg(F.min("p").alias("p0"), F.max("p").alias("p1"))
     twice = cut_lineage(seen.filter("p0 <> p1").select("h"))
-    again = cut_lineage(parts.join(twice, "h", "left_semi").select("h", "k", "th", "pos", "c"))
+    again = cut_lineage(parts.join(twice.hint("merge"), "h", "left_semi").select("h", "k", "th", "pos", "c"))
     # equal bytes, not only equal hashes; one row per chunk
     first = cut_lineage(again.groupBy("h", "c").agg(F.min(place).alias("first")))
     gone = again.join(first, ["h", "c"]).filter(place != F.col("first"))
     lists = cut_lineage(gone.select("k", "th", "pos").distinct().groupBy("k", "th").agg(F.collect_list("pos").alias("_gone")))
     rows = docs.withColumn("_k", F.col(key)).withColumn("_th", F.xxhash64(F.col(text))).join(
-        lists.select(F.col("k").alias("_k"), F.col("th").alias("_th"), "_gone"), ["_k", "_th"], "left"
+        lists.select(F.col("k").alias("_k"), F.col("th").alias("_th"), "_gone").hint("merge"), ["_k", "_th"], "left"
     )
     cut = chunked(rows.withColumn("_orig", F.col(text)).withColumn("text", F.when(F.col("_gone").isNotNull(), F.col(text))), window, modulus)
     kept = F.filter("_chunks", lambda c, i: ~F.array_contains("_gone", i))
