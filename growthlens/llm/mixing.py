@@ -52,19 +52,20 @@ def period_slots(share: dict[str, int]) -> dict[str, list[int]]:
 
 def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[dict]:
     """Phases of the schedule: slots before it, and per source shares, blocks before it and slots."""
-    left, used, start, out = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0, []
+    left, used = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0)
+    start, phase, out = 0, 0, []
     while left:
         share = integer_shares({s: weights[s] for s in left}, period)
         slots, h = period_slots(share), sum(share.values())
         length = min((n - 1) // share[s] * h + slots[s][(n - 1) % share[s]] + 1 for s, n in left.items())
-        out += [{"source": s, "phase": len(out), "start": start, "share": share[s], "period": h, "before": used[s], "slots": slots[s]} for s in left]
+        out += [{"source": s, "phase": phase, "start": start, "share": share[s], "period": h, "before": used[s], "slots": slots[s]} for s in left]
         for s in list(left):
             took = length // h * share[s] + sum(x < length % h for x in slots[s])
             used[s] += took
             left[s] -= took
             if left[s] <= 0:
                 del left[s]
-        start += length
+        start, phase = start + length, phase + 1
     return out
 
 
