@@ -2,7 +2,7 @@
 
 A rolling hash over the characters cuts every text into chunks, so a passage that several documents share
 is cut into the same chunks in all of them. A chunk is encoded once per Python worker and its ids
-are kept, up to a fixed amount of memory. Encoding a chunk alone can differ from encoding it in
+are kept, up to a fixed amount of memory; within a new chunk so are the ids of its words. Encoding a chunk alone can differ from encoding it in
 its place only near its ends: the pre-tokeniser never lets a token run from a non-space over to a
 space. So a chunk's ids are kept from its first such place to its last, and a join of chunks is
 repaired by re-encoding what lies between the safe places around it: there both sides agree with
@@ -14,8 +14,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections import OrderedDict
+from collections import ChainMap, OrderedDict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,11 @@ WINDOW, LEAST, MEAN = 16, 512, 1024
 #: Characters of cached chunks per Python worker (ids take about as many bytes).
 CACHE_CHARS = 24_000_000
 
+#: Encoded words per Python worker.
+CACHE_WORDS = 250_000
+
+#: Where a space is no safe place: after another space character.
+_SPACES = re.compile(r"\s ")
 #: A place that no token crosses: before a space or line break that follows a non-space.
 _SAFE = re.compile(r"(?<=\S)(?=[ \n])")
 
@@ -62,10 +68,24 @@ class ChunkEncoder:
         tokenizer.no_padding()
         self.tokenizer = tokenizer
         self.kept: OrderedDict[bytes, tuple[int, np.ndarray, int]] = OrderedDict()
+        self.words: dict[str, list[int]] = {}
         self.chars = self.encoded = self.reused = 0
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32) if text else np.empty(0, np.int32)
+        """Ids of a text that starts and ends at safe places, from those of its words with a space before."""
+        if not text:
+            return np.empty(0, np.int32)
+        head, *words = [text] if _SPACES.search(text) else text.split(" ")
+        known = self.words
+        if fresh := [w for w in dict.fromkeys(words) if w not in known]:
+            made = self.tokenizer.encode_batch_fast([" " + w for w in fresh], add_special_tokens=False)
+            made = zip(fresh, [x.ids for x in made])
+            if len(known) < CACHE_WORDS:
+                known.update(made)
+            else:  # words that come early are the frequent ones; others are encoded each time
+                known = ChainMap(dict(made), known)
+        first = self.tokenizer.encode(head, add_special_tokens=False).ids if head else []
+        return np.array([*first, *chain.from_iterable(map(known.__getitem__, words))], np.int32)
 
     def _core(self, chunk: str) -> tuple[int, np.ndarray, int] | None:
         """First and last safe place of a chunk and the ids between them; None with under two places."""
