@@ -7,7 +7,8 @@ from .base import query
 
 
 def _events(t):
-    return jobs.read_events(t.spark, t.sf_dir, "events.parquet")
+    # the table may be one file or a folder of part files; a pattern is taken for either, a plain path for a folder only
+    return jobs.read_events(t.spark, f"{t.sf_dir}/events.parque[t]", "*.parquet")
 
 
 @query(

@@ -22,8 +22,16 @@ from ..session import shared_folder
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def read_events(spark: SparkSession, folder: str, glob: str = "events*.parquet", max_files: int = 64) -> DataFrame:
-    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", glob).option("maxFilesPerTrigger", max_files).parquet(folder)
+def read_events(spark: SparkSession, folder: str, glob: str = "events*.parquet", max_files: int | None = None) -> DataFrame:
+    """Landed events of a folder, or of one file. A backlog is read in one trigger.
+
+    With ``max_files`` per trigger a backlog comes in arbitrary order, and rows behind the watermark of
+    an earlier trigger would be dropped; set it only where files land in the order of their events.
+    """
+    reader = spark.readStream.schema(EVENTS).option("pathGlobFilter", glob)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    raw = reader.parquet(folder)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
