@@ -8,17 +8,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut_lineage
 from .common import mixed, ship_by_value
 
 #: Code points of a shingle; one of 2**BITS hashes is kept.
@@ -90,37 +89,64 @@ def compared(doc_id, text: str, kept: np.ndarray, after: str, kept_after: np.nda
     )
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare each row with the one after it; the first and the last row also leave as raw text."""
-    names = ["doc_id", *_OUT, "part", "is_first", "raw"]
-    types = (*_TYPES, pa.int32(), pa.bool_(), pa.string())
-    part, before, first = TaskContext.get().partitionId(), None, None
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    for batch in batches:
+        yield [(p, i, t.as_py()) for p, i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))]
 
-    def packed(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    edge = lambda row, is_first: (row[0], *[None] * 7, part, is_first, row[1])
-    for batch in batches:
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], ["doc_id", *_OUT])
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compare each row with the one after it in its stretch; a stretch's last row is left out."""
+    before = None
+    for given in _in_order(batches):
         rows = []
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-            t = t.as_py() or ""
-            now = (i, t, kept_hashes(t))
-            if before is None:
-                first = now
-            else:
-                rows.append((*compared(*before, now[1], now[2]), None, None, None))
+        for part, i, text in given:
+            now = (part, i, text, kept_hashes(text))
+            if before is not None and before[0] == part:
+                rows.append(compared(*before[1:], text, now[3]))
             before = now
         if rows:
-            yield packed(rows)
+            yield _packed(rows)
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per stretch: its first text, its last row."""
+
+    def edge(part, first, i, last):
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first]), pa.array([i], pa.int64()), pa.array([last])],
+                                          ["part", "first", "doc_id", "last"])
+
+    first = before = None
+    for given in _in_order(batches):
+        for row in given:
+            if before is None or before[0] != row[0]:
+                if before is not None:
+                    yield edge(before[0], first, *before[1:])
+                first = row[2]
+            before = row
     if before is not None:
-        yield packed([edge(first, True), edge(before, False)])
+        yield edge(before[0], first, *before[1:])
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [compared(i, a, kept_hashes(a), b, kept_hashes(b)) for i, a, b in zip(*[c.to_pylist() for c in batch.columns])]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], ["doc_id", *_OUT])
+            yield _packed(rows)
+
+
+def _stretch(bounds: list[int]) -> Column:
+    """How many of the sorted bounds lie below ``doc_id``: first whole blocks of them, then within one."""
+    if not bounds:
+        return F.lit(0)
+    block = math.isqrt(len(bounds)) + 1
+    below = lambda xs: F.size(F.filter(xs, lambda x: x < F.col("doc_id")))
+    whole = below(F.lit(bounds[block - 1 :: block]).cast("array<bigint>"))
+    within = F.slice(F.lit(bounds).cast("array<bigint>"), whole * block + 1, block)
+    return F.when(F.col("doc_id").isNull(), 0).otherwise(whole * block + below(within))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -129,22 +155,24 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     The edited text has its last ``n // 2`` code points replaced by the first as many of the next row by
     ascending key (the first row after the last). NULL texts count as empty; equal keys follow one another
     in the order of their texts; NULL keys come first. A single row is its own next one. ``held_by_next``
-    estimates how much of a document its successor contains. Rows are put in order by one range
-    partitioning; a partition's last row meets the next partition's first in a second, small step.
+    estimates how much of a document its successor contains. Quantiles of the keys (one number per shuffle
+    partition) cut the rows into stretches; the texts are shuffled once, and both the rows within a stretch
+    and the ends of neighbouring stretches are compared from that one shuffle.
     """
     src = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ranged = src.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    made = cut_lineage(ranged.mapInArrow(_neighbours, f"{_DDL}, part int, is_first boolean, raw string"))
-    edges = made.filter("part IS NOT NULL")
-    # one row per range partition: which partition comes next, the last one wraps around
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / n for i in range(1, n)]
+    found = src.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * n))).first()[0] if shares else None
+    bounds = sorted(set(found or []))
+    ranged = src.select(_stretch(bounds).alias("part"), "doc_id", "text").repartitionById(len(bounds) + 1, F.col("part"))
+    ranged = ranged.sortWithinPartitions("part", "doc_id", "text")
+    within = ranged.mapInArrow(_neighbours, _DDL)
+    # one row per stretch: the last one wraps around to the first
     order = Window.orderBy("part")
-    parts = edges.filter("is_first").select("part")
-    after = parts.select("part", F.coalesce(F.lead("part").over(order), F.first("part").over(order)).alias("after"))
-    firsts = edges.filter("is_first").select(F.col("part").alias("after"), F.col("raw").alias("b"))
-    lasts = edges.filter("NOT is_first").select("part", "doc_id", F.col("raw").alias("a"))
-    joins = lasts.join(after, "part").join(firsts, "after").select("doc_id", "a", "b").mapInArrow(_across, _DDL)
-    out = made.filter("part IS NULL").select("doc_id", *_OUT).unionByName(joins)
-    return out.withColumnRenamed("doc_id", key)
+    after = F.coalesce(F.lead("first").over(order), F.first("first").over(order))
+    ends = ranged.mapInArrow(_edges, "part int, first string, doc_id bigint, last string")
+    ends = ends.select("doc_id", "last", after.alias("after")).mapInArrow(_across, _DDL)
+    return within.unionByName(ends).withColumnRenamed("doc_id", key)
 
 
 ship_by_value(__name__)
