@@ -31,9 +31,9 @@ def ads_keywords(t):
     return ads.keywords(t.v_ads)
 
 
-@query("ads_search_terms", f"SELECT search_term, {M} FROM v_ads WHERE status <> 'REMOVED' GROUP BY 1 ORDER BY impressions DESC, search_term LIMIT 50", A)
+@query("ads_search_terms", f"SELECT search_term, {M} FROM v_ads WHERE status <> 'REMOVED' GROUP BY 1", A)
 def ads_search_terms(t):
-    return ads.search_terms(t.v_ads, top=50)
+    return ads.search_terms(t.v_ads, top=None)
 
 
 @query("ads_report", "SELECT date, channel, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(cost_micros) AS BIGINT) AS cost_micros FROM v_ads GROUP BY date, channel", A)

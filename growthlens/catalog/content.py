@@ -202,7 +202,7 @@ def email_segments(t):
 
 @query(
     "ab_test",
-    """WITH p AS (SELECT user_id % 2 AS arm, user_id, bool_or(event_type='purchase') AS hit FROM v_events WHERE value > 25 GROUP BY 1,2),
+    """WITH p AS (SELECT user_id % 2 AS arm, user_id, bool_or(event_type='purchase') AS hit FROM v_events GROUP BY 1,2),
        w AS (SELECT CAST(count(*) FILTER (WHERE arm=0) AS DOUBLE) AS n0, CAST(count(*) FILTER (WHERE arm=0 AND hit) AS DOUBLE) AS x0,
          CAST(count(*) FILTER (WHERE arm=1) AS DOUBLE) AS n1, CAST(count(*) FILTER (WHERE arm=1 AND hit) AS DOUBLE) AS x1 FROM p),
        z AS (SELECT *, (x1/n1 - x0/n0) / nullif(sqrt(((x0+x1)/(n0+n1)) * (1.0 - (x0+x1)/(n0+n1)) * (1.0/n0 + 1.0/n1)), 0) AS zz FROM w)
@@ -210,7 +210,7 @@ def email_segments(t):
     ("v_events",),
 )
 def ab_test(t):
-    return content.ab_test(t.v_events.filter("value > 25").withColumn("arm", F.col("user_id") % 2), "arm", "purchase")
+    return content.ab_test(t.v_events.withColumn("arm", F.col("user_id") % 2), "arm", "purchase")
 
 
 @query(

@@ -48,14 +48,14 @@ def lab_error_rows(t):
 @query(
     "top_pages_merged",
     f"""{SESS}, w AS (SELECT replace(page, '/page/', 'https://example.com/p/') AS k, count(DISTINCT (user_id, session_no)) AS sessions, count(*) FILTER (WHERE event_type='view') AS views FROM se GROUP BY 1),
-        s AS (SELECT {q.url_key('page')} AS k, sum(clicks) AS clicks, sum(impressions) AS impressions FROM v_search WHERE position > 30 GROUP BY 1)
+        s AS (SELECT {q.url_key('page')} AS k, sum(clicks) AS clicks, sum(impressions) AS impressions FROM v_search GROUP BY 1)
         SELECT k AS url_key, CAST(coalesce(sessions,0) AS BIGINT) AS sessions, CAST(coalesce(views,0) AS BIGINT) AS views, CAST(coalesce(clicks,0) AS BIGINT) AS clicks,
           CAST(coalesce(impressions,0) AS BIGINT) AS impressions FROM w FULL OUTER JOIN s USING (k)""",
     ("v_events", "v_search"),
 )
 def top_pages_merged(t):
     pages = web.top_pages(web.sessionize(t.v_events)).withColumn("url", F.regexp_replace("page", "^/page/", "https://example.com/p/"))
-    return report.top_pages_merged(pages, search.search_report(t.v_search.filter("position > 30"), ["page"]))
+    return report.top_pages_merged(pages, search.search_report(t.v_search, ["page"]))
 
 
 @query(

@@ -28,9 +28,9 @@ def search_by_device_country(t):
     return search.search_report(t.v_search, ["device", "country"])
 
 
-@query("search_top_pages", f"SELECT page, {M} FROM v_search GROUP BY ALL ORDER BY clicks DESC, impressions DESC, page LIMIT 25", S)
+@query("search_top_pages", f"SELECT page, {M} FROM v_search GROUP BY ALL", S)
 def search_top_pages(t):
-    return search.search_report(t.v_search, ["page"], top=25)
+    return search.search_report(t.v_search, ["page"])
 
 
 @query(
