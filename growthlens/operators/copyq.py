@@ -196,12 +196,14 @@ BINS = 16
 def shingle_sets(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key, s``: distinct hashes of the 3-word shingles of each whole text.
 
+    A text of one or two words is one shingle; a text without words, or none, has no shingles.
     The word array is a column of its own: inside the lambda it is looked up, not rebuilt.
     """
     words = docs.select(key, F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"(?U)\w+"), F.lit(0)).alias("w"))
     last = F.greatest(F.size("w") - 3, F.lit(0))
     grams = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
-    return words.select(key, F.array_distinct(grams).alias("s"))
+    none = F.array().cast("array<bigint>")
+    return words.select(key, F.when(F.size("w") > 0, F.array_distinct(grams)).otherwise(none).alias("s"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id") -> DataFrame:

@@ -120,3 +120,11 @@ def test_first_n_beyond_the_group_limit(spark):
     e = spark.range(6000).select((F.col("id") % 2).alias("k"), F.col("id").alias("t"))
     got = groups.first_n(e, ["k"], [F.desc("t")], 1500)
     assert got.count() == 3000 and got.agg(F.min("t")).first()[0] == 3000
+
+
+def test_near_duplicates_without_words(spark):
+    rows = [(1, "!!!"), (2, "???"), (3, "--- ..."), (4, ""), (5, None), (6, "one two"), (7, "One, two!")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sizes = {r.doc_id: len(r.s) for r in copyq.shingle_sets(docs).collect()}
+    assert sizes == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 1, 7: 1}
+    assert [(r.doc_id, r.first_id, r.jaccard) for r in copyq.near_duplicates(docs).collect()] == [(7, 6, 1.0)]
