@@ -4,6 +4,8 @@ A text is the set of its 5-word shingles. Every shingle hashes into a group, and
 are a point; for two points the sum of the coordinate minima is an upper bound of the overlap. All
 points form a forest: its roots are shingles, and a point hangs under the roots of its own shortest
 sufficient prefix (in one global order, frequent groups last), so two linked texts share a root.
+Under their first common root they share no more than what each has from there on, so every search
+leaves out pairs for which that ``rest`` is too small: a pair of several roots is met once or seldom.
 Under a root, points are packed by size into nodes with an upper corner each; nodes and then points
 whose bound is too small are cut, and the pairs that survive are verified by exact overlap.
 
@@ -34,8 +36,8 @@ HEAT_BITS = 22
 LEAST_BITS, MOST_BITS = 6, 14
 #: Draws from the largest class; they only save work for the last step.
 ROUNDS = 2
-#: Points of a node, and points of a root that meet in one task.
-NODE, BLOCK = 32, 2048
+#: Points of a node, points of a root that meet in one task, and counts compared at once.
+NODE, BLOCK, AT_ONCE = 32, 2048, 1 << 20
 
 
 def level(n: int) -> int:
@@ -63,34 +65,40 @@ def folded(p: np.ndarray, bits: int) -> np.ndarray:
     return p.reshape(len(p), 1 << bits, -1).sum(axis=2, dtype=np.int32)
 
 
-def bounded_pairs(points: list[np.ndarray], n: np.ndarray, tag: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs with different tags that the size and the summed minima cannot rule out.
+def bounded_pairs(
+    points: list[np.ndarray], n: np.ndarray, tag: np.ndarray, rest: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs with different tags that the size, the rest and the summed minima cannot rule out.
 
-    Each pair comes once; the points need not be sorted.
+    Each pair comes once; the points need not be sorted. Without ``rest``, all of a point counts.
     """
+    rest = n if rest is None else rest
     order = np.argsort(n, kind="stable")
     bits = np.array([len(p).bit_length() - 1 for p in points])
     for b in np.unique(bits):
-        own = [i for i in order if b <= bits[i] <= b + 1]  # linked sizes differ by a quarter at most
+        own = order[(bits[order] == b) | (bits[order] == b + 1)]  # linked sizes differ by a quarter at most
         m = np.concatenate([folded(points[i][None, :], b) for i in own])
-        size, here, mark = n[own].astype(np.int64), bits[own] == b, tag[own]
+        size, left, here, mark = n[own].astype(np.int64), rest[own].astype(np.int64), bits[own] == b, tag[own]
         ends = np.arange(0, len(own), NODE)
         corner = np.maximum.reduceat(m, ends, axis=0)
         for node, start in enumerate(ends):
-            least = size[start]
+            stop = min(start + NODE, len(own))
             # queries: all points from this node's first on; the node's points are the smaller side
-            q = np.arange(start, np.searchsorted(size, size[min(start + NODE, len(own)) - 1] * DEN // NUM, "right"))
-            if not len(q):
-                continue
-            need = -(-(size[q] + least) * NUM // (NUM + DEN))
-            q = q[np.minimum(m[q], corner[node]).sum(axis=1) >= need]
-            for x in range(start, min(start + NODE, len(own))):
-                y = q[(q > x) & (size[q] * NUM <= size[x] * DEN) & (mark[q] != mark[x]) & (here[q] | here[x])]
-                if len(y):
-                    y = y[np.minimum(m[y], m[x]).sum(axis=1) * (NUM + DEN) >= NUM * (size[y] + size[x])]
-                if len(y):
-                    back = np.asarray(own)
-                    yield np.full(len(y), back[x]), back[y]
+            q = np.arange(start, np.searchsorted(size, size[stop - 1] * DEN // NUM, "right"))
+            if stop - start < len(own):  # a single node has nothing to rule out
+                need = -(-(size[q] + size[start]) * NUM // (NUM + DEN))
+                q = q[np.minimum(m[q], corner[node]).sum(axis=1) >= need]
+            x = np.arange(start, stop)[:, None]
+            need = NUM * (size[x] + size[q])
+            meet = (q > x) & (size[q] * NUM <= size[x] * DEN) & (mark[q] != mark[x]) & (here[q] | here[x])
+            meet &= np.minimum(left[x], left[q]) * (NUM + DEN) >= need
+            i, j = np.nonzero(meet)
+            step = max(1, AT_ONCE >> int(b))
+            for k in range(0, len(i), step):
+                u, v = i[k : k + step], j[k : k + step]
+                ok = np.minimum(m[start + u], m[q[v]]).sum(axis=1) * (NUM + DEN) >= need[u, v]
+                if ok.any():
+                    yield own[start + u[ok]], own[q[v[ok]]]
 
 
 # ----------------------------------------------------------------- row-local steps
@@ -124,7 +132,7 @@ def posting_maker(heat):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, done = np.frombuffer(heat.value, np.uint8), set()
         for batch in batches:
-            keys, ids, sizes = [], [], []
+            keys, ids, sizes, rests = [], [], [], []
             for t in batch.column(0):
                 s = shingle_set(t.as_py())
                 if len(s) and (i := signature(s)) not in done:  # copies within a task post once
@@ -132,10 +140,11 @@ def posting_maker(heat):
                     keys.append(in_order(s, table).view(np.int64))
                     ids.append(i)
                     sizes.append(len(s))
+                    rests.append(np.arange(len(s), len(s) - len(keys[-1]), -1, dtype=np.int32))
             if keys:
                 reps = [len(k) for k in keys]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(ids, reps)),
-                                                  pa.array(np.repeat(np.array(sizes, np.int32), reps))], ["key", "id", "n"])
+                                                  pa.array(np.repeat(np.array(sizes, np.int32), reps)), pa.array(np.concatenate(rests))], ["key", "id", "n", "rest"])
 
     return make
 
@@ -172,10 +181,10 @@ def search_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of different classes under each root; rows come sorted by cell, a cell is bounded."""
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, n, root = (t.column(c).to_numpy() for c in ("id", "n", "root"))
+        ids, n, rest, root = (t.column(c).to_numpy() for c in ("id", "n", "rest", "root"))
         side = t.column("side").to_numpy()
         pts = [np.frombuffer(p, np.uint16) for p in t.column("point").to_pylist()]
-        for x, y in bounded_pairs(pts, n, root):
+        for x, y in bounded_pairs(pts, n, root, rest):
             if side.any():  # of two blocks that meet, pairs within a block belong to another cell
                 keep = side[x] != side[y]
                 x, y = x[keep], y[keep]
@@ -183,17 +192,17 @@ def search_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a, b = ids[x], ids[y]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    rest = None
+    open_ = None
     for batch in batches:
         t = pa.Table.from_batches([batch])
-        t = t if rest is None else pa.concat_tables([rest, t])
+        t = t if open_ is None else pa.concat_tables([open_, t])
         cell = np.stack([t.column(c).to_numpy() for c in ("key", "bi", "bj")])
         cuts = [0, *(np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1)]
         for i, j in zip(cuts, cuts[1:]):
             yield from pairs(t.slice(i, j - i))
-        rest = t.slice(cuts[-1])
-    if rest is not None:
-        yield from pairs(rest)
+        open_ = t.slice(cuts[-1])
+    if open_ is not None:
+        yield from pairs(open_)
 
 
 # ----------------------------------------------------------------- the join
@@ -216,14 +225,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     reps = cut_lineage(
         made.filter("id IS NOT NULL").groupBy("id", "n").agg(F.min("doc_id").alias("doc_id"), F.min("point").alias("point"))
     )
-    postings = src.select("text").mapInArrow(posting_maker(heat), "key bigint, id bigint, n int")
+    postings = src.select("text").mapInArrow(posting_maker(heat), "key bigint, id bigint, n int, rest int")
     w = Window.partitionBy("key")
-    cells = postings.select(
-        "key", "id", "n", F.min(F.struct("id", "n")).over(w).alias("lead"), F.max("id").over(w).alias("top")
-    ).filter("lead.id <> top").select("key", "id", F.col("n").cast("bigint").alias("n"), F.col("lead.id").alias("lead"), F.col("lead.n").cast("bigint").alias("lead_n"))
+    cells = postings.select("key", "id", "n", "rest", F.min(F.struct("id", "n", "rest")).over(w).alias("lead"), F.max("id").over(w).alias("top"))
+    cells = cells.filter("lead.id <> top").drop("top")
     cells = cut_lineage(cells)
-    sized = cells.filter(f"id <> lead AND least(n, lead_n) * {DEN} >= greatest(n, lead_n) * {NUM}")
-    first = _verified(_bounded(sized.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), reps), src, reps)
+    first = _verified(_bounded(_with_lead(cells.filter("id <> lead.id")), reps), src, reps)
     links = cut_lineage(first)
     roots = cut_lineage(connected_components(links))
     for round_ in range(ROUNDS):
@@ -272,6 +279,13 @@ def _verified(pairs: DataFrame, src: DataFrame, reps: DataFrame) -> DataFrame:
     return j.select("a", "b", "sa", "sb").mapInArrow(verify, "a bigint, b bigint")
 
 
+def _with_lead(rows: DataFrame) -> DataFrame:
+    """Each row with the ``lead`` of its root, where sizes and rests allow a link."""
+    fits = f"""least(n, lead.n) * {DEN}L >= greatest(n, lead.n) * {NUM}L
+               AND least(rest, lead.rest) * {NUM + DEN}L >= (CAST(n AS BIGINT) + lead.n) * {NUM}L"""
+    return rows.filter(fits).select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
+
+
 def _labelled(cells: DataFrame, roots: DataFrame) -> DataFrame:
     return cells.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
@@ -281,15 +295,13 @@ def _to_largest_class(cells: DataFrame, roots: DataFrame, round_: int) -> DataFr
 
     Which member depends on the root and the round, so a point meets as many as it has roots.
     """
-    member = cut_lineage(_labelled(cells.select("key", "id", "n"), roots))
-    drawn = F.min_by(F.struct("id", "n"), F.xxhash64("id", "key", F.lit(round_))).alias("lead")
+    member = cut_lineage(_labelled(cells.select("key", "id", "n", "rest"), roots))
+    drawn = F.min_by(F.struct("id", "n", "rest"), F.xxhash64("id", "key", F.lit(round_))).alias("lead")
     classes = cut_lineage(member.groupBy("key", "root").agg(F.count("*").alias("c"), drawn))
     largest = classes.groupBy("key").agg(
         F.max(F.struct("c", "root", "lead")).alias("most"), F.count("*").alias("classes")
     ).filter("classes > 1").select("key", F.col("most.root").alias("lead_root"), "most.lead")
-    j = member.join(cut_lineage(largest), "key").filter("root <> lead_root")
-    j = j.filter(f"least(n, lead.n) * {DEN} >= greatest(n, lead.n) * {NUM}")
-    return j.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
+    return _with_lead(member.join(cut_lineage(largest), "key").filter("root <> lead_root"))
 
 
 def _between_classes(cells: DataFrame, roots: DataFrame, reps: DataFrame) -> DataFrame:
@@ -297,14 +309,14 @@ def _between_classes(cells: DataFrame, roots: DataFrame, reps: DataFrame) -> Dat
 
     The first of each root has met all the others already.
     """
-    member = cut_lineage(_labelled(cells.filter("id <> lead").select("key", "id", "n"), roots))
+    member = cut_lineage(_labelled(cells.filter("id <> lead.id").select("key", "id", "n", "rest"), roots))
     open_keys = member.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("c"))
     open_keys = cut_lineage(open_keys.filter("r0 <> r1").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb")))
     m = member.join(open_keys, "key").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     # every block meets itself and every other block once
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")
-    m = m.select("key", "id", "n", "root", "blk", other).select(
-        "key", "id", "n", "root", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), (F.col("blk") > F.col("o")).cast("int").alias("side")
+    m = m.select("key", "id", "n", "rest", "root", "blk", other).select(
+        "key", "id", "n", "rest", "root", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"), (F.col("blk") > F.col("o")).cast("int").alias("side")
     )
     m = m.join(reps.select("id", "point"), "id")
     m = m.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
