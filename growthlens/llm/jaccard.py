@@ -32,7 +32,7 @@ from .common import connected_components, shingle_set, ship_by_value, signature
 NUM, DEN = 80, 100
 #: Hash groups of the frequency table: one byte each, so what is broadcast has a fixed size.
 HEAT_BITS = 22
-#: A point has one group for two to four shingles: 2**6 to 2**14 groups.
+#: A point has one group for one or two shingles: 2**6 to 2**14 groups.
 LEAST_BITS, MOST_BITS = 6, 14
 #: Draws from the largest class; they only save work for the last step.
 ROUNDS = 2
@@ -41,7 +41,7 @@ NODE, BLOCK, AT_ONCE = 32, 2048, 1 << 20
 
 
 def level(n: int) -> int:
-    return min(MOST_BITS, max(LEAST_BITS, (n >> 2).bit_length()))
+    return min(MOST_BITS, max(LEAST_BITS, (n >> 1).bit_length()))
 
 
 def point(values: np.ndarray) -> np.ndarray:
@@ -49,6 +49,16 @@ def point(values: np.ndarray) -> np.ndarray:
     return np.bincount((values >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16)
 
 
+def packed(p: np.ndarray) -> bytes:
+    """Counts in one byte each where they fit, as nearly always; the first byte says how wide they are."""
+    width = 1 if p.max() < 256 else 2
+    return bytes([width]) + p.astype(f"u{width}").tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"u{b[0]}", offset=1)
+
+
 def prefix_length(n: int) -> int:
     """Linked sets overlap in at least NUM/DEN of the larger one, so they share one of so many."""
     return n - -(-NUM * n // DEN) + 1
@@ -62,7 +72,7 @@ def in_order(values: np.ndarray, heat: np.ndarray) -> np.ndarray:
 
 def folded(p: np.ndarray, bits: int) -> np.ndarray:
     """A point with fewer groups: neighbours summed up. ``p`` has one row per point."""
-    return p.reshape(len(p), 1 << bits, -1).sum(axis=2, dtype=np.int32)
+    return p if p.shape[1] == 1 << bits else p.reshape(len(p), 1 << bits, -1).sum(axis=2, dtype=np.uint32)
 
 
 def bounded_pairs(
@@ -118,7 +128,7 @@ def make_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = shingle_set(t.as_py())
             if len(s):
                 np.add.at(seen, (s >> np.uint64(64 - HEAT_BITS)).astype(np.int64), 1)
-            rows.append((i, len(s), signature(s) if len(s) else None, point(s).tobytes() if len(s) else None, None, None))
+            rows.append((i, len(s), signature(s) if len(s) else None, packed(point(s)) if len(s) else None, None, None))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _MADE)] if rows else [pa.array([], f.type) for f in _MADE], schema=_MADE)
     mean = seen.mean()
     hot = np.flatnonzero(seen > mean + 4 * np.sqrt(mean) + 3)
@@ -161,7 +171,7 @@ def cut_by_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for pa_, pb in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist()):
-            x, y = np.frombuffer(pa_, np.uint16)[None, :], np.frombuffer(pb, np.uint16)[None, :]
+            x, y = unpacked(pa_)[None, :], unpacked(pb)[None, :]
             bits = min(x.shape[1], y.shape[1]).bit_length() - 1
             keep.append(bool(np.minimum(folded(x, bits), folded(y, bits)).sum() * (NUM + DEN) >= NUM * (int(x.sum()) + int(y.sum()))))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -183,7 +193,7 @@ def search_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
         ids, n, rest, root = (t.column(c).to_numpy() for c in ("id", "n", "rest", "root"))
         side = t.column("side").to_numpy()
-        pts = [np.frombuffer(p, np.uint16) for p in t.column("point").to_pylist()]
+        pts = [unpacked(p) for p in t.column("point").to_pylist()]
         for x, y in bounded_pairs(pts, n, root, rest):
             if side.any():  # of two blocks that meet, pairs within a block belong to another cell
                 keep = side[x] != side[y]
