@@ -186,8 +186,7 @@ def text_functions(t):
 
 @query(
     "submission_list",
-    f"""SELECT url FROM (SELECT DISTINCT url FROM pages WHERE {q.host('url')} = (SELECT {q.host('url')} FROM pages ORDER BY url LIMIT 1))
-        ORDER BY url LIMIT 10000""",
+    f"""SELECT DISTINCT url FROM pages WHERE {q.host('url')} = (SELECT {q.host('url')} FROM pages ORDER BY url LIMIT 1)""",
 )
 def submission_list(t):
     from ..operators.search import submission_list as job

@@ -16,7 +16,7 @@ from ..functions.numbers import ratio, weighted_position
 from ..plans.groups import first_n
 
 WINDOW_DAYS, WINDOW_LAG = 28, 3
-SUBMIT_CAP, ROW_CAP, INFO_CAP = 10_000, 25_000, 20
+ROW_CAP, INFO_CAP = 25_000, 20
 
 
 def measures() -> list[Column]:
@@ -309,9 +309,9 @@ def attach_url_info(pages: DataFrame, infos: DataFrame) -> DataFrame:
     return joined.unionByName(orphaned.withColumn("page", F.col("url_info.url")), allowMissingColumns=True).drop("k")
 
 
-def submission_list(candidates: DataFrame, cap: int = SUBMIT_CAP) -> DataFrame:
-    """Distinct URLs on exactly the site's host, at most one request's worth (a report limit)."""
-    return candidates.filter(urls.on_exact_host("url", "site")).select("url").distinct().orderBy("url").limit(cap)
+def submission_list(candidates: DataFrame) -> DataFrame:
+    """All distinct URLs on exactly the site's host."""
+    return candidates.filter(urls.on_exact_host("url", "site")).select("url").distinct()
 
 
 def changed_urls(prev: DataFrame, curr: DataFrame, content: list[str]) -> DataFrame:
