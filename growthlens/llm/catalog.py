@@ -75,7 +75,7 @@ LEFT JOIN (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id) m ON m.doc_id
 """
 
 def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = linechunks.remove_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    clean = linechunks.remove_repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return clean.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 

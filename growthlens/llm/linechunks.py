@@ -1,14 +1,19 @@
-"""Line dedup by content-defined chunks: DataFrame functions only.
+"""Line dedup: DataFrame functions only.
 
-A rolling hash over the hashes of neighbouring lines decides where a chunk of lines ends, so equal
-stretches of lines are cut alike wherever they stand. Chunks of several lines that occur more than
-once anywhere are compared byte by byte; the first occurrence stays, the others go.
+``remove_repeated_passages`` slides over every two neighbouring lines, so a passage of two lines or
+more is found whole, whatever stands around it. Two pairs of lines are equal when the SHA-256 of
+their bytes is; the first occurrence stays, the others go.
+
+``remove_repeated_chunks`` is the coarser form: a rolling hash over the hashes of neighbouring lines
+decides where a chunk of lines ends. Chunks of several lines that occur more than once anywhere are compared
+byte by byte. The edges of a shared passage, and most passages of a few lines, stay with it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plans.groups import unroll_with_pos
 from ..session import cut_lineage
@@ -86,3 +91,60 @@ def remove_repeated_chunks(
     cut = cut.withColumn("n_removed", (F.col("n_lines") - left).cast("bigint"))
     fields = [F.col("_clean").alias(c) if c == text else F.col(c) for c in docs.columns]
     return cut.select(*fields, "n_lines", "n_removed")
+
+
+def line_pairs(docs: DataFrame) -> DataFrame:
+    """``k, th, pos, d, w0, w1``: digest and words of lines ``pos`` and ``pos + 1`` (from 0) of every text."""
+    lines = docs.withColumn("th", F.xxhash64("text")).withColumn("_l", F.split("text", "\n"))
+    lines = lines.withColumn("_w", F.transform("_l", lambda x: F.regexp_count(x, F.lit(r"\S+"))))
+    pair = lambda x, i: F.struct(
+        F.unhex(F.sha2(F.concat_ws("\n", x, F.get("_l", i + 1)), 256)).alias("d"), F.get("_w", i).alias("w0"), F.get("_w", i + 1).alias("w1")
+    )
+    items = F.transform(F.slice("_l", F.lit(1), F.size("_l") - 1), pair)
+    return unroll_with_pos(lines.filter("text IS NOT NULL"), ["k", "th"], items, "pos", "p").select("k", "th", "pos", "p.*")
+
+
+def remove_repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """``docs`` with ``text`` freed of repeated passages, plus ``n_lines``, ``n_removed`` (lines).
+
+    Texts are cut at ``\\n``. A passage is a run of two lines or more, ``least_words`` words in all, of which
+    every two neighbouring lines also stand, as neighbours, at a smaller (key, position). Its lines go; but
+    the first occurrence of two lines that occur again stays whole, so whatever goes is still there to
+    read. Rows keep all other columns. Repeated rows (equal key and text) count once and are treated
+    alike. NULL texts stay NULL with 0 lines; a text that goes entirely becomes empty; rows with a NULL
+    key keep their text but count as no occurrence. Digests are shuffled for the count, and one more shuffle
+    brings the lists of removed lines to their texts. Both joins are asked to shuffle, so the plan is
+    one and the same at every size.
+    """
+    pairs = line_pairs(docs.select(F.col(key).alias("k"), F.col(text).alias("text")).filter("k IS NOT NULL"))
+    place = F.struct("k", "th", "pos")
+    # places per pair, counted with map-side combination
+    seen = pairs.select("d", place.alias("p")).groupBy("d").agg(F.min("p").alias("p0"), F.max("p").alias("p1"))
+    twice = cut_lineage(seen.filter("p0 <> p1").select("d", "p0"))
+    again = pairs.join(twice.hint("merge"), "d").select("k", "th", "pos", "w0", "w1", (place == F.col("p0")).alias("first")).distinct()
+    # all that follows works within one text
+    own = Window.partitionBy("k", "th").orderBy("pos")
+    near = lambda f, off: F.coalesce((f("pos").over(own) == F.col("pos") + off) & f("first").over(own), F.lit(False))
+    again = again.withColumn("_stays0", near(F.lag, -1)).withColumn("_stays1", near(F.lead, 1)).filter("NOT first")
+    again = again.withColumn("_run", F.col("pos") - F.row_number().over(own))
+    none = F.array().cast("array<int>")
+    at = F.concat(F.when(F.col("_stays0"), none).otherwise(F.array("pos")), F.when(F.col("_stays1"), none).otherwise(F.array(F.col("pos") + 1)))
+    runs = again.withColumn("_at", at).groupBy("k", "th", "_run").agg(
+        (F.sum("w0") + F.max_by("w1", "pos")).alias("_words"), F.flatten(F.collect_list("_at")).alias("_at")
+    )
+    lists = runs.filter(F.col("_words") >= least_words).groupBy("k", "th").agg(F.flatten(F.collect_list("_at")).alias("_at"))
+    lists = cut_lineage(lists.select("k", "th", F.array_sort(F.array_distinct("_at")).alias("_gone")).filter(F.size("_gone") > 0))
+    rows = docs.withColumn("_k", F.col(key)).withColumn("_th", F.xxhash64(F.col(text))).join(
+        lists.select(F.col("k").alias("_k"), F.col("th").alias("_th"), "_gone").hint("merge"), ["_k", "_th"], "left"
+    )
+    # the stretches between removed lines, so the work grows with the lines of a text and not with their square
+    cut = rows.withColumn("_l", F.when(F.col("_gone").isNotNull(), F.split(text, "\n")))
+    cut = cut.withColumn("_edge", F.concat(F.array(F.lit(-1)), "_gone", F.array(F.size("_l"))))
+    stretch = lambda e, j: F.slice("_l", e + 2, F.get("_edge", j + 1) - e - 1)
+    cut = cut.withColumn("_kept", F.flatten(F.transform(F.slice("_edge", F.lit(1), F.size("_edge") - 1), stretch)))
+    cut = cut.withColumn("_clean", F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n")))
+    count = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"))) + 1
+    cut = cut.withColumn("n_lines", F.coalesce(count, F.lit(0)).cast("bigint"))
+    cut = cut.withColumn("n_removed", F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("bigint"))
+    fields = [F.col("_clean").alias(c) if c == text else F.col(c) for c in docs.columns]
+    return cut.select(*fields, "n_lines", "n_removed")

@@ -186,6 +186,62 @@ def test_line_chunks_equal_brute_force(spark, docs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def passages_by_brute_force(rows):
+    """Texts without repeated passages: every two neighbouring lines are looked up in all texts."""
+    places, gone, stays = defaultdict(list), defaultdict(set), defaultdict(set)
+    texts = {(k, t): t.split("\n") for k, t in rows if k is not None and t is not None}
+    for (k, t), lines in texts.items():
+        for p in range(len(lines) - 1):
+            places[lines[p], lines[p + 1]].append((k, p, t))
+    firsts = {pair: min(at) for pair, at in places.items() if len(at) > 1}
+    for (k, t), lines in texts.items():
+        first = [firsts.get((lines[p], lines[p + 1])) for p in range(len(lines) - 1)]
+        again = [f is not None and f != (k, p, t) for p, f in enumerate(first)]
+        for p, f in enumerate(first):
+            if f == (k, p, t):
+                stays[k, t] |= {p, p + 1}
+        for run in re.finditer("x+", "".join(".x"[a] for a in again)):
+            span = range(run.start(), run.end() + 1)
+            if sum(len(lines[p].split()) for p in span) >= 5:
+                gone[k, t] |= {*span}
+    return [(k, t if (k, t) not in texts else "\n".join(x for p, x in enumerate(texts[k, t]) if p not in gone[k, t] - stays[k, t])) for k, t in rows]
+
+
+def test_planted_passages_go_whole(docs):
+    rng = np.random.default_rng(11)
+    unlike = lambda n: [f"u{rng.integers(1 << 60)} {prose(6, rng)}" for _ in range(n)]
+    rows, want, n_gone = [], {}, 0
+    for n in range(2, 7):
+        for i in range(6):
+            passage = unlike(n)
+            for copy in range(3):
+                k, before, after = len(rows), unlike(int(rng.integers(0, 4))), unlike(int(rng.integers(0, 4)))
+                rows.append((k, "\n".join([*before, *passage, *after])))
+                want[k] = "\n".join([*before, *after]) if copy else rows[-1][1]
+                n_gone += n * (copy > 0)
+    got = linechunks.remove_repeated_passages(docs(rows)).collect()
+    assert {r.doc_id: r.text for r in got} == want and sum(r.n_removed for r in got) == n_gone
+    assert all(r.n_lines == dict(rows)[r.doc_id].count("\n") + 1 for r in got)
+
+
+def test_passages_equal_brute_force(docs):
+    rng = np.random.default_rng(12)
+    few = ["", "one", "two words", "a line of six words here", "é ü\t ß", *[prose(4, rng) for _ in range(12)]]
+    rows = [(i, "\n".join(rng.choice(few, rng.integers(1, 12)))) for i in range(60)]
+    rows += [(70, rows[3][1]), (70, rows[3][1]), (70, "another text\nof one key"), (None, rows[4][1]), (71, None), (72, ""), (73, "\n\n\n"), (74, "x\n" * 3000),
+             (80, "z z z z z\na a a a a"), (81, "z z z z z\na a a a a\nb b b b b"), (82, "a a a a a\nb b b b b"), (83, "q w\ne r"), (84, "q w\ne r"),
+             (85, "i j\nk l\nm n"), (86, "i j\nk l\nm n")]
+    got = linechunks.remove_repeated_passages(docs(rows))
+    assert got.columns == [*docs([]).columns, "n_lines", "n_removed"]
+    out = [(r.doc_id, r.text) for r in got.collect()]
+    assert sorted(out, key=str) == sorted(passages_by_brute_force(rows), key=str)
+    # the first two lines that occur again stay whole; a short pair stays, a longer run of short lines goes
+    assert {k: t for k, t in out if k in range(80, 90)} == dict(rows[-7:]) | {81: "a a a a a\nb b b b b", 82: "", 86: ""}
+    assert linechunks.remove_repeated_passages(docs([])).count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 # ------------------------------------------------------------------ 6 LM scoring
 
 
