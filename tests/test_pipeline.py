@@ -1,0 +1,24 @@
+"""The order that the mixing stage decides lasts to the last stage, whatever files lie between."""
+
+from pathlib import Path
+
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+
+
+def test_mixed_order_reaches_the_result(spark, tmp_path):
+    rows = [(i, f"text {i} " + "word " * (i * 37 % 200), "en", f"s{i % 7 % 3}", 1) for i in range(400)]
+    docs = spark.createDataFrame([*rows, (None, "t", "en", None, 1), (5, None, "en", "s1", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    assert mixed.columns == docs.columns
+    mixed.write.option("maxRecordsPerFile", 30).parquet(f"{tmp_path}/mixed")
+    files = sorted(str(p) for p in Path(tmp_path, "mixed").glob("part-*.parquet"))
+    assert len(files) > 10
+    schedule = [(r.doc_id, r.source) for f in files for r in spark.read.parquet(f).collect()]
+    # the files once as they lie, once dealt out anew
+    read = spark.read.parquet(f"{tmp_path}/mixed")
+    for again in (read, read.repartition(5, F.xxhash64("text"))):
+        out = corpus_pipeline.encode(spark, again, "").select("doc_id", "source", "slot", "in_block", "n_tokens").collect()
+        assert [(r.doc_id, r.source) for r in sorted(out, key=lambda r: (r.slot, r.in_block))] == schedule
+        assert len({(r.slot, r.in_block) for r in out}) == len(schedule) == 402
