@@ -13,6 +13,8 @@ from .common import remainder, table
 
 #: Public byte-level vocabulary; a path that every executor can read.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+#: Target weights of the given sources: unequal, and 210 in all.
+TARGET_WEIGHTS = {f"src{i}": 20 - i for i in range(20)}
 
 #: A-Z to lower case and nothing else; words between 0x20 and 0x09-0x0D.
 SQL_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
@@ -88,7 +90,7 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), TARGET_WEIGHTS)
 
 
 def op9_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from growthlens.llm import ann, bpe, fingerprints, jaccard, linechunks, mixing, neural, pii, quotes, toxicity
-from growthlens.llm.catalog import VOCABULARY
+from growthlens.llm.catalog import TARGET_WEIGHTS, VOCABULARY
 from growthlens.llm.common import connected_components
 
 RNG = np.random.default_rng(5)
@@ -340,6 +341,45 @@ def test_pfair_stays_within_a_block(docs):
     assert mixing.mix(docs([])).count() == 0
 
 
+def off_target(blocks, weights, period):
+    """Largest distance of a source from its own target weight, in blocks, over all slots of all phases."""
+    plan, left, worst, end = mixing.phases(blocks, weights, period), dict(blocks), 0, 0
+    for phase in range(plan[-1]["phase"] + 1):
+        own = [p for p in plan if p["phase"] == phase]
+        until = min([p["start"] for p in plan if p["phase"] == phase + 1], default=sum(blocks.values()))
+        total, slot_of = sum(Fraction(str(weights[p["source"]])) for p in own), {}
+        for p in own:
+            for n in range(left[p["source"]]):
+                slot = p["start"] + n // p["share"] * p["period"] + (p["slots"][n % p["share"]] if n % p["share"] < len(p["slots"]) else until)
+                if slot >= until:
+                    break
+                assert slot not in slot_of
+                slot_of[slot] = p["source"]
+        assert sorted(slot_of) == list(range(own[0]["start"], until)) and own[0]["start"] == end
+        seen, end = Counter(), until
+        for t, slot in enumerate(sorted(slot_of), 1):
+            seen[slot_of[slot]] += 1
+            worst = max(worst, *(abs(seen[p["source"]] - t * Fraction(str(weights[p["source"]])) / total) for p in own))
+        left = {s: n - seen[s] for s, n in left.items()}
+    assert not any(left.values())
+    return worst
+
+
+def test_pfair_keeps_the_given_weights(docs):
+    assert off_target({"a": 2000, "b": 2000, "c": 2100}, {"a": 1, "b": 1, "c": 1}, 1000) < 1
+    assert off_target({"a": 5000, "b": 4000, "c": 5}, {"a": 0.5995, "b": 0.4, "c": 0.0005}, 1000) < 1
+    assert off_target({"a": 900, "b": 1500, "c": 1300, "d": 40}, {"a": 0.123456789, "b": 0.31, "c": 1 / 3, "d": 0.01}, 1000) < 1
+    assert off_target({f"s{i}": 150 + i for i in range(20)}, {f"s{i}": 20 - i for i in range(20)}, 1000) < 1
+    # weights whose least common period is beyond 64 bits
+    rows = [(i, None, "abc"[i % 3]) for i in range(300)]
+    out = mixing.mix(docs(rows), {"a": 0.1234567890123457, "b": 1e-9, "c": 12.000000000000002}, block_docs=4).collect()
+    assert len({(r.slot, r.in_block) for r in out}) == 300 and {r.slot for r in out} == set(range(75))
+
+
+def test_registered_weights_are_unequal():
+    assert len(set(TARGET_WEIGHTS.values())) > 1
+
+
 # ------------------------------------------------------------------ 9 fingerprints
 
 
