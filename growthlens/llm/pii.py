@@ -1,9 +1,10 @@
 """Personal data: spans by pattern, and terms that give a protected value away.
 
-Emails, addresses, cards and phones are found by pattern. Then the corpus decides which terms near
-such a value disclose it: with pointwise mutual information PMI(t; e) between term and value and
-the value's own information IC(e) = log(N / rows of e), a term whose PMI reaches ``SHARE`` of
-IC(e) tells nearly as much as the value itself, so it is generalised like the value.
+Emails, addresses, cards and phones are found by pattern. Then the corpus decides which terms of the
+texts with such a value disclose it: with pointwise mutual information PMI(t; e) between term and
+value over whole texts and the value's own information IC(e) = log(N / rows of e), a term whose PMI
+reaches ``SHARE`` of IC(e) tells nearly as much as the value itself, so it is generalised like the
+value wherever it stands.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from .common import ship_by_value
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of a value, least number of different texts that hold both, share of the
-#: value's information from which a term is disclosing.
-AROUND, LEAST_TEXTS, SHARE = 6, 3, 0.9
+#: Least number of different texts that hold both value and term, share of the value's information
+#: from which a term is disclosing.
+LEAST_TEXTS, SHARE = 3, 0.9
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -34,6 +35,7 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_AROUND_WORDS = ".,;:!?()[]\"'"
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -86,34 +88,45 @@ def hash64(x: bytes) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def terms_around(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, str, int, int]]:
-    """``(span number, term, start, end)`` of the words near each span that no span overlaps."""
-    for k, (a, _, b) in enumerate(spans):
-        # a window of characters bounds the work in a text without spaces
-        left = [(m.start() + lo, m.end() + lo) for lo in [max(0, a - 40 * AROUND)] for m in _WORD.finditer(text[lo:a])][-AROUND:]
-        right = [(m.start() + b, m.end() + b) for m in _WORD.finditer(text[b : b + 40 * AROUND])][:AROUND]
-        for x, y in [*left, *right]:
-            term = text[x:y].strip(".,;:!?()[]\"'").lower()
-            if len(term) >= 3 and not any(x < d and c < y for c, _, d in spans):
-                x += text[x:y].lower().find(term) if term in text[x:y].lower() else 0
-                yield k, term, x, min(y, x + len(term))
+def terms_of(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """``(term, start, end)`` of the words that no span overlaps, in their order."""
+    taken, k, end = sorted((a, b) for a, _, b in spans), 0, -1
+    for m in _WORD.finditer(text):
+        x, y = m.span()
+        while k < len(taken) and taken[k][0] < y:
+            end = max(end, taken[k][1])
+            k += 1
+        if end > x:
+            continue
+        word = m[0].lstrip(_AROUND_WORDS)
+        x, word = y - len(word), word.rstrip(_AROUND_WORDS)
+        term = word.lower()
+        if len(term) >= 3:
+            yield term, x, x + len(word)
+
+
+def term_set(text: str, spans: list[tuple[int, int, int]]) -> set[int]:
+    """Hashes of the text's terms."""
+    if spans:
+        return {hash64(t.encode()) for t in {t for t, _, _ in terms_of(text, spans)}}
+    return {hash64(t.encode()) for t in {w.strip(_AROUND_WORDS).lower() for w in set(_WORD.findall(text))} if len(t) >= 3}
 
 
 _FOUND = ("row_id bigint, text_hash bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, "
-          "base string, near array<struct<e: bigint, t: bigint, a: int, b: int>>, term bigint, df bigint")
-_NEAR = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
+          "base string, held array<bigint>, terms array<bigint>, term bigint, df bigint")
+_HASHES = pa.list_(pa.int64())
 _SCHEMA = pa.schema([("row_id", pa.int64()), ("text_hash", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()),
-                     ("base", pa.string()), ("near", _NEAR), ("term", pa.int64()), ("df", pa.int64())])
+                     ("base", pa.string()), ("held", _HASHES), ("terms", _HASHES), ("term", pa.int64()), ("df", pa.int64())])
 #: Distinct terms that a task counts before it hands them over.
 FLUSH = 400_000
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans and nearby terms of every text; besides, in how many texts each term stands."""
+    """Spans of every text, values and terms of a text with values; besides, in how many rows each term stands."""
     counts: Counter = Counter()
 
     def handed_over() -> pa.RecordBatch:
-        cols = [pa.nulls(len(counts), f.type) for f in list(_SCHEMA)[:9]]
+        cols = [pa.nulls(len(counts), f.type) for f in list(_SCHEMA)[:-2]]
         out = pa.RecordBatch.from_arrays([*cols, pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], schema=_SCHEMA)
         counts.clear()
         return out
@@ -124,13 +137,11 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = t.as_py() or ""
             spans = base_spans(t)
             named = listed(spans)
-            near = [
-                {"e": hash64(f"{KINDS[spans[k][1]]}:{t[spans[k][0]:spans[k][2]].lower()}".encode()), "t": hash64(w.encode()), "a": a, "b": b}
-                for k, w, a, b in terms_around(t, spans)
-            ]
+            terms = term_set(t, spans)
+            held = [*{hash64(f"{KINDS[k]}:{t[a:b].lower()}".encode()) for a, k, b in spans}]
             per = Counter(k for _, k, _ in spans)
-            rows.append((i, hash64(t.encode()), *[per[k] for k in range(4)], hashlib.sha256(named.encode()).hexdigest(), named, near, None, None))
-            counts.update({hash64(s.encode()) for w in set(t.lower().split()) if len(s := w.strip(".,;:!?()[]\"'")) >= 3})
+            rows.append((i, hash64(t.encode()), *[per[k] for k in range(4)], hashlib.sha256(named.encode()).hexdigest(), named, held or None, [*terms] if held else None, None, None))
+            counts.update(terms)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
         if len(counts) > FLUSH:
@@ -139,6 +150,64 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield handed_over()
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``e, t, co, texts`` of different texts ``n, es, terms``: rows and texts that hold both, summed up in the task."""
+    both: dict[tuple[int, int], list[int]] = {}
+
+    def handed_over() -> pa.RecordBatch:
+        cols = [*zip(*both), *zip(*both.values())]
+        both.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["e", "t", "co", "texts"])
+
+    for batch in batches:
+        for n, es, terms in zip(*(batch.column(i) for i in range(3))):
+            n, terms = n.as_py(), terms.as_py()
+            for e in es.as_py():
+                for t in terms:
+                    c = both.setdefault((e, t), [0, 0])
+                    c[0] += n
+                    c[1] += 1
+                if len(both) > FLUSH:
+                    yield handed_over()
+    if both:
+        yield handed_over()
+
+
+#: Bits of the map that leaves out most words before the join with the disclosing terms; it loses none of them.
+MAP_BITS = 1 << 23
+
+
+def _marks(bits: bytes):
+    """Where the terms stand whose bit is set: ``row_id, t, a, b``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, known = [], {}
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                t = t.as_py() or ""
+                for term, a, b in terms_of(t, base_spans(t)):
+                    h = known.get(term)
+                    if h is None:
+                        h = known[term] = hash64(term.encode())
+                    at = h % MAP_BITS
+                    if bits[at >> 3] >> (at & 7) & 1:
+                        rows.append((i, h, a, b))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["row_id", "t", "a", "b"])
+
+    return run
+
+
+def _bit_map(terms: DataFrame) -> bytes:
+    """One bit per remainder of a term's hash; of a fixed size, whatever the number of terms."""
+    bits = bytearray(MAP_BITS // 8)
+    at = F.pmod("t", F.lit(MAP_BITS))
+    packed = terms.groupBy(F.shiftright(at, 15).alias("k")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("m"))
+    for r in packed.collect():
+        bits[r["k"] * 4096 : (r["k"] + 1) * 4096] = r["m"]
+    return bytes(bits)
+
+
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Put the disclosing terms among the base spans, by start."""
     for batch in batches:
@@ -154,30 +223,35 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_email, n_ip, n_card, n_phone, base_sha256, spans``: one row per row of ``docs``.
 
-    ``spans`` lists ``kind:start:end`` (code points, end exclusive), base kinds and disclosing ``term``s.
-    NULL texts count as empty: no spans. NULL keys and repeated rows are kept as they are. A
-    value seen in fewer than ``LEAST_TEXTS`` different texts discloses through no term, however often its
-    text is copied. Counts cover all rows; texts themselves are never shuffled.
+    ``spans`` lists ``kind:start:end`` (code points, end exclusive), base kinds and disclosing ``term``s:
+    every word of every text that is one, except within a base span. NULL texts count as empty: no
+    spans. NULL keys and repeated rows are kept as they are. A value seen in fewer than ``LEAST_TEXTS``
+    different texts discloses through no term, however often its text is copied. Counts are exact and
+    cover all rows; texts themselves are never shuffled.
     """
     src = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     rows = src.select(F.xxhash64("doc_id", "text").alias("row_id"), "text", "doc_id")
     found = cut_lineage(rows.select("row_id", "text").mapInArrow(_find, _FOUND))
     made = found.filter("row_id IS NOT NULL").drop("term", "df")
     total = made.count()
-    near = made.filter(F.size("near") > 0).select("row_id", "text_hash", F.explode("near").alias("x")).select("row_id", "text_hash", "x.e", "x.t", "x.a", "x.b")
-    # rows and different texts of each value and term, and of each value
-    once = near.groupBy("e", "t", "text_hash", "row_id").agg(F.count("*").alias("c"))
-    pairs = once.groupBy("e", "t").agg(F.count("*").alias("co"), F.min("text_hash").alias("x0"), F.approx_count_distinct("text_hash", 0.05).alias("texts"))
+    # every different text once, with its number of rows
+    texts = cut_lineage(made.filter("held IS NOT NULL").groupBy("text_hash").agg(F.count("*").alias("n"), F.first("held").alias("held"), F.first("terms").alias("terms")))
+    held = texts.select("text_hash", "n", F.explode("held").alias("e"))
+    values = held.groupBy("e").agg(F.count("*").alias("texts"), F.sum("n").alias("de"))
+    values = cut_lineage(values.filter(f"texts >= {LEAST_TEXTS}").select("e", "de"))
+    often = held.join(values, "e", "left_semi").groupBy("text_hash").agg(F.collect_list("e").alias("es"))
+    both = texts.join(often, "text_hash").select("n", "es", "terms").mapInArrow(_together, "e bigint, t bigint, co bigint, texts bigint")
+    pairs = both.groupBy("e", "t").agg(F.sum("co").alias("co"), F.sum("texts").alias("texts"))
     pairs = cut_lineage(pairs.filter(f"texts >= {LEAST_TEXTS}").select("e", "t", "co"))
-    values = once.groupBy("e", "row_id").agg(F.count("*").alias("c")).groupBy("e").agg(F.count("*").alias("de"))
     terms = found.filter("term IS NOT NULL").select(F.col("term").alias("t"), "df").join(pairs.select("t").distinct(), "t", "left_semi")
     terms = terms.groupBy("t").agg(F.sum("df").alias("dt"))
     told = pairs.join(values, "e").join(terms, "t")
     pmi = F.log(F.col("co") * F.lit(float(max(total, 1))) / (F.col("de") * F.col("dt")))
-    told = cut_lineage(told.filter(pmi >= SHARE * F.log(F.lit(float(max(total, 1))) / F.col("de"))).select("e", "t"))
-    extra = near.join(told, ["e", "t"]).groupBy("row_id").agg(F.collect_set(F.struct("a", "b")).alias("extra"))
+    told = cut_lineage(told.filter(pmi >= SHARE * F.log(F.lit(float(max(total, 1))) / F.col("de"))).select("t").distinct())
+    marks = rows.select("row_id", "text").mapInArrow(_marks(_bit_map(told)), "row_id bigint, t bigint, a int, b int")
+    extra = marks.join(told, "t").groupBy("row_id").agg(F.collect_set(F.struct("a", "b")).alias("extra"))
     ids = rows.select("row_id", "doc_id").groupBy("row_id").agg(F.min("doc_id").alias("doc_id"))
-    out = made.drop("near", "text_hash").join(extra, "row_id", "left").join(ids, "row_id")
+    out = made.drop("held", "terms", "text_hash").join(extra, "row_id", "left").join(ids, "row_id")
     names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
     kind = dict(src.dtypes)["doc_id"]
     ddl = f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"

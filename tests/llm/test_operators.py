@@ -314,6 +314,22 @@ def test_disclosing_terms(docs):
     assert pii.find_personal_data(docs([])).count() == 0
 
 
+def test_disclosing_terms_go_wherever_they_stand(docs):
+    rng = np.random.default_rng(21)
+    far = lambda: prose(40, rng)
+    rows = [(i, f"Zorglub, {far()} boss@corp.example.com {far()} (zorglub) {far()} zorglub") for i in range(30)]
+    rows += [(100 + i, f"{far()} today ZORGLUB\tsays {far()}") for i in range(2)] + [(200 + i, f"{far()} today says {far()}") for i in range(200)]
+    rows += [(500, "rare@x.example.org quux one"), (501, "rare@x.example.org quux two"), (502, "rare@x.example.org quux one")]
+    rows += [(510 + i, f"seen@x.example.org xyzzy {i * 1001}") for i in range(3)]
+    for r in pii.find_personal_data(docs(rows)).collect():
+        text = dict(rows)[r.doc_id]
+        spans = [(int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s) if k == "term"]
+        assert [s for s in spans if text[s[0] : s[1]].lower() == "zorglub"] == [m.span() for m in re.finditer("(?i)zorglub", text)]
+        # three different texts are enough, two are not
+        assert ("xyzzy" in {text[a:b] for a, b in spans}) == (510 <= r.doc_id) and "quux" not in {text[a:b] for a, b in spans}
+        assert "today" not in {text[a:b] for a, b in spans}
+
+
 # ------------------------------------------------------------------ 8 mixing
 
 
