@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprints, jaccard, linechunks, mixing, neural, pii, quotes, toxicity
+from . import ann, bpe, fingerprints, jaccard, linechunks, mixing, neural, pii, quotes, toxicity, trie, warc, whitening
 from .common import remainder, table
 
 #: Public byte-level vocabulary; a path that every executor can read.
@@ -101,13 +101,71 @@ def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+#: CRC-32 of the decimal id, bit by bit.
+SQL_CRC32 = """xor(4294967295, list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ord(s) AS BIGINT)),
+  lambda crc, c: list_reduce([xor(crc, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384)), 4294967295))"""
+OP11_SQL = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS p FROM t),
+h AS (SELECT conv_id, conv_id - conv_id % 20 AS b, {SQL_CRC32} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT h.conv_id, o.p AS d, o.role, o.text FROM h JOIN o ON o.conv_id = h.b WHERE o.p <= h.h
+  UNION ALL
+  SELECT o.conv_id, o.p - h.h + least(h.h, (SELECT count(*) FROM o AS f WHERE f.conv_id = h.b)), o.role, o.text
+  FROM h JOIN o ON o.conv_id = h.conv_id WHERE o.p > h.h),
+k AS (
+  SELECT conv_id, d, string_agg(concat(length(role), ':', role, length(text), ':', text), '') OVER (PARTITION BY conv_id ORDER BY d) AS path,
+         len(regexp_extract_all(text, '[^ 	-]+')) AS words FROM r
+  UNION ALL SELECT conv_id, 0, '', 0 FROM h),
+e AS (SELECT conv_id, max(d) AS d FROM k GROUP BY conv_id),
+n AS (
+  SELECT d, path, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words, count(e_id) AS n_ends,
+         string_agg(CAST(e_id AS VARCHAR), ',' ORDER BY e_id) AS ends
+  FROM (SELECT k.*, e.conv_id AS e_id FROM k LEFT JOIN e ON e.conv_id = k.conv_id AND e.d = k.d) GROUP BY d, path),
+up AS (SELECT c.d, c.path, min(p.conv_id) AS parent FROM k JOIN n AS c ON c.conv_id = k.conv_id AND c.d = k.d + 1 AND starts_with(c.path, k.path)
+       JOIN n AS p ON p.d = k.d AND p.path = k.path GROUP BY c.d, c.path),
+below AS (SELECT k.d, k.path, sum(CASE WHEN n.n_ends = n.n_convs THEN 1 ELSE 0 END) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved
+          FROM n JOIN k ON k.conv_id = n.conv_id AND k.d <= n.d GROUP BY k.d, k.path),
+kids AS (SELECT k.d, k.path, count(*) AS n_children FROM n JOIN k ON k.conv_id = n.conv_id AND k.d = n.d - 1 GROUP BY k.d, k.path)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, up.parent AS parent_conv_id, n.n_convs, coalesce(kids.n_children, 0) AS n_children,
+       CAST(below.n_leaves AS BIGINT) AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM n LEFT JOIN up ON up.d = n.d AND up.path = n.path LEFT JOIN kids ON kids.d = n.d AND kids.path = n.path
+JOIN below ON below.d = n.d AND below.path = n.path
+"""
+
+
+def op12_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+OP12_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, encode(h) AS b, sha1(h) AS payload_digest FROM p),
+k AS (SELECT b, max(page_id) AS kept FROM q WHERE octet_length(b) >= 1000 GROUP BY b HAVING count(*) > 1)
+SELECT page_id, octet_length(q.b) AS payload_bytes, payload_digest,
+       CASE WHEN kept IS NOT NULL AND page_id IS DISTINCT FROM kept THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM kept THEN kept END AS refers_to
+FROM q LEFT JOIN k ON k.b = q.b
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quote_linking, op2_toxicity_ftrl, op3_bpe_chunks, op4_ngram_jaccard, op5_line_chunks, op6_log_bilinear,
-        op7_personal_data, op8_pfair_mixing, op9_scaled_sketch, op10_permutation_index,
+        op7_personal_data, op8_pfair_mixing, op9_scaled_sketch, op10_permutation_index, op11_prefix_trie, op12_warc_archive, op13_whitening,
     )
 }
 #: The others have no SQL twin: learned models, hashes that SQL lacks, a tokenizer, a schedule. Tests hold them
 #: against brute force.
-SQL: dict[str, str] = {"op1_quote_linking": OP1_SQL, "op4_ngram_jaccard": OP4_SQL}
+SQL: dict[str, str] = {
+    "op1_quote_linking": OP1_SQL, "op4_ngram_jaccard": OP4_SQL, "op11_prefix_trie": OP11_SQL, "op12_warc_archive": OP12_SQL,
+}
