@@ -1,9 +1,13 @@
 """Streams over the landed events, run to the end of what is there."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..streaming import jobs
+from ..session import shared_folder
+from ..streaming import jobs, snapshots
 from .base import query
+from .changes import CHANGES, HIT, KEYED, I
 
 
 def _events(t):
@@ -40,3 +44,37 @@ def stream_dedupe(t):
 def rt_active_users(t):
     paged = _events(t).withColumn("page", F.concat(F.lit("/page/"), F.col("event_id") % 40))
     return jobs.run_available(jobs.active_users(paged))[0]
+
+
+def _snapshots(t):
+    """Two snapshots that land in six files, three micro-batches, each with rows of both."""
+    both = [d.withColumn("snapshot", F.lit(s)) for s, d in (("2026-10-13", t.v_issues_prev), ("2026-10-20", t.v_issues_curr))]
+    base = f"{shared_folder(t.spark)}/growthlens/snapshots-{uuid.uuid4().hex}"
+    rows = snapshots.with_markers(both[0].unionByName(both[1]))
+    rows.repartition(6, "code", "url", "crawl_pos").write.parquet(f"{base}/landed")
+    job = snapshots.IssueChanges(t.spark, f"{base}/state")
+    job.run(t.spark.readStream.schema(snapshots.ISSUES).option("maxFilesPerTrigger", 2).parquet(f"{base}/landed"), f"{base}/checkpoint")
+    return job
+
+
+@query(
+    "stream_issue_changes",
+    f"""{CHANGES} SELECT site, '2026-10-20' AS snapshot, '2026-10-13' AS before, n_new, n_resolved, n_persisting, n_new_high, n_current FROM ch
+        UNION ALL SELECT site, '2026-10-13', NULL, count(DISTINCT (code, url_key)), 0, 0, count(DISTINCT (code, url_key)) FILTER (WHERE severity = 'high'),
+          count(DISTINCT (code, url_key)) FROM p GROUP BY site""",
+    I,
+)
+def stream_issue_changes(t):
+    return _snapshots(t).summary()
+
+
+@query(
+    "stream_issue_rows",
+    f"""{KEYED}, f AS (SELECT site, 'new' AS change, code, url_key, url, severity, crawl_pos FROM c WHERE NOT EXISTS ({HIT.format(t='p', s='c')})
+          UNION ALL SELECT site, 'resolved', code, url_key, url, severity, crawl_pos FROM p WHERE NOT EXISTS ({HIT.format(t='c', s='p')}))
+        SELECT site, '2026-10-20' AS snapshot, '2026-10-13' AS before, change, code, url_key, url, severity, crawl_pos FROM f
+        UNION ALL SELECT site, '2026-10-13', NULL, 'new', code, url_key, url, severity, crawl_pos FROM p""",
+    I,
+)
+def stream_issue_rows(t):
+    return _snapshots(t).changes()

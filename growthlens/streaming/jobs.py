@@ -16,7 +16,6 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.numbers import ratio
 from ..operators import answers as answer_jobs
-from ..operators import changes
 from ..session import shared_folder
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -131,33 +130,6 @@ def funnel_state(events: DataFrame, steps: list[str], timeout_ms: int = 86_400_0
     )
 
 
-def issue_changes_sink(state_path: str, out_path: str, pos: str = "crawl_pos"):
-    """``foreachBatch`` function: new and resolved issues of each arriving snapshot.
-
-    The state table is written per batch id, so a replayed batch reads the state before it and
-    overwrites its own output: the result is the same after a failure.
-    """
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        curr = batch.select("site", "code", "url", "severity", pos)
-        seen = curr.select("site").distinct()
-        try:
-            prev = spark.read.parquet(f"{state_path}/batch={batch_id - 1}")
-        except Exception as exc:  # no state yet: the first snapshot is the baseline
-            if batch_id > 0 and "PATH_NOT_FOUND" not in str(exc):
-                raise
-            prev = curr.filter(F.lit(False))
-        mine = prev.join(seen, "site", "left_semi")
-        new = changes.issues_new(mine, curr, pos).withColumn("change", F.lit("new"))
-        gone = changes.issues_resolved(mine, curr, pos).withColumn("change", F.lit("resolved"))
-        new.unionByName(gone).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-        others = prev.join(seen, "site", "left_anti")
-        others.unionByName(curr).write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
-
-    return merge
-
-
 def run_available(df: DataFrame, out: str | None = None, timeout_s: int = 600) -> tuple[DataFrame, StreamingQuery]:
     """Process everything that has landed, in append mode, and read the result table."""
     spark = df.sparkSession

@@ -53,16 +53,6 @@ def test_mentions_equal_their_batch_twin(spark, tmp_path):
     assert str(answers.engine_summary(batch).filter("engine = 'e0'").first().cost_usd) == "0.006000"
 
 
-def test_issue_changes_sink(spark, tmp_path):
-    sink = jobs.issue_changes_sink(str(tmp_path / "s"), str(tmp_path / "o"))
-    mk = lambda *urls: spark.createDataFrame([("s", "c", u, "high", 1) for u in urls], "site string, code string, url string, severity string, crawl_pos bigint")
-    sink(mk("https://a/1", "https://a/2"), 0)
-    sink(mk("https://a/2", "https://a/3"), 1)
-    sink(mk("https://a/2", "https://a/3"), 1)  # a replay changes nothing
-    got = {(r.change, r.url) for r in spark.read.parquet(str(tmp_path / "o" / "batch=1")).collect()}
-    assert got == {("new", "https://a/3"), ("resolved", "https://a/1")}
-
-
 def test_enrich_is_a_left_join(spark, tmp_path):
     static = spark.createDataFrame([("s", "Acme")], "site string, brand string")
     log = spark.createDataFrame([("s", 1), ("t", 2)], "site string, n int")
