@@ -201,6 +201,11 @@ def funnel(events: DataFrame, steps: list[str]) -> DataFrame:
     """Users per step and the rate against the step before."""
     t = funnel_times(events, steps)
     counts = t.agg(*[F.count(f"t{i}").alias(f"n{i}") for i in range(1, len(steps) + 1)])
+    return funnel_rates(counts, steps)
+
+
+def funnel_rates(counts: DataFrame, steps: list[str]) -> DataFrame:
+    """One row of counts ``n1, n2, ...`` as one row per step."""
     rows = [
         F.struct(
             F.lit(i).alias("step_no"),

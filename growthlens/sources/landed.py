@@ -327,6 +327,10 @@ def read_ai_log(spark: SparkSession, path: str) -> DataFrame:
     return log.withColumn("cost_micros", F.col("cost_usd") * 1_000_000)
 
 
-def stream_ai_log(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
-    log = spark.readStream.schema(AI_LOG).option("maxFilesPerTrigger", max_files).json(path)
+def stream_ai_log(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """The same log as a stream. A backlog is read in one trigger, as with a limit rows may come behind the watermark."""
+    reader = spark.readStream.schema(AI_LOG)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    log = reader.json(path)
     return log.withColumn("cost_micros", F.col("cost_usd") * 1_000_000)

@@ -7,15 +7,17 @@ by watermarks, and results go to file sinks or ``foreachBatch`` merges that can
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.numbers import ratio
 from ..operators import answers as answer_jobs
+from ..operators import web
 from ..session import shared_folder
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -34,15 +36,17 @@ def read_events(spark: SparkSession, folder: str, glob: str = "events*.parquet",
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def active_users(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Users by page over sliding 30-minute windows; distinct counts are sketches on a stream."""
-    w = F.window("ts", "30 minutes", "5 minutes")
-    return (
-        events.withWatermark("ts", late)
-        .groupBy(w.alias("w"), "page")
-        .agg(F.approx_count_distinct("user_id", 0.02).alias("active_users"))
-        .select(F.unix_seconds("w.start").alias("window_start"), "page", "active_users")
-    )
+def active_users(events: DataFrame, late: str = "10 minutes", length: str = "30 minutes", step: str = "5 minutes") -> DataFrame:
+    """Users by page over sliding windows, counted exactly by two operators in a row.
+
+    The first keeps one row per user, page and window, the second counts the rows that it closes. Windows end
+    at different steps, so a tumbling window of one step around its end stands for each.
+    """
+    once = events.withWatermark("ts", late).groupBy(F.window("ts", length, step).alias("w"), "page", "user_id").agg(F.count("*").alias("n"))
+    end = F.window(F.window_time("w"), step).alias("e")
+    users = once.groupBy(end, "page").agg(F.count("user_id").alias("active_users"))
+    start = F.unix_seconds(F.col("e.end")) - F.unix_seconds(F.lit(0).cast("timestamp") + F.expr(f"INTERVAL {length}"))
+    return users.select(start.alias("window_start"), "page", "active_users")
 
 
 def daily_counts(events: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -90,59 +94,118 @@ def enrich(log: DataFrame, site_config: DataFrame, on: str = "site") -> DataFram
     return log.join(site_config, on, "left")
 
 
-def funnel_state(events: DataFrame, steps: list[str], timeout_ms: int = 86_400_000, late: str = "10 minutes") -> DataFrame:
-    """Steps reached per user, kept as keyed state that expires in event time.
+#: Setting of queries with state of their own.
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
 
-    Emits a row whenever a user gets further. The state of a key is two numbers. Within a
-    micro-batch rows come unordered, so the times of the open steps are kept as plain integer
-    arrays until the batch of the key is complete; ``maxFilesPerTrigger`` bounds them.
+class FunnelSteps(StatefulProcessor):
+    """How far each user is: rows wait under the millisecond of their event time until the watermark has passed it.
+
+    A timer per millisecond takes its rows out again, in the order of event time whatever the order of arrival, and
+    moves the user on. What is kept of a user is the last step with its time, and one entry per waiting millisecond.
     """
-    order = {s: i for i, s in enumerate(steps)}
-
-    def advance(key, batches: Iterator[pd.DataFrame], state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        done, last = state.get if state.exists else (0, -1)
-        start, times = done, {i: [] for i in range(done, len(order))}
-        for batch in batches:
-            step = batch["event_type"].map(order)
-            for i, kept in times.items():
-                kept.append(batch["us"].to_numpy()[(step == i).to_numpy()])
-        for i, kept in times.items():
-            later = [int(t[t > last].min()) for t in kept if (t > last).any()]
-            if not later:
-                break
-            done, last = i + 1, min(later)
-        state.update((done, last))
-        # a timeout has to lie behind the watermark
-        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + timeout_ms)
-        if done > start:
+
+    def __init__(self, steps: list[str]):
+        self.steps = {s: sum(1 << i for i, x in enumerate(steps) if x == s) for s in steps}
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.reached = handle.getValueState("reached", "steps_done int, last_us bigint")
+        self.waiting = handle.getMapState("waiting", "ms bigint", "rows string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            batch = batch[batch["event_type"] != END_TYPE]
+            marks = pd.DataFrame({"us": batch["us"], "mark": batch["event_type"].map(self.steps)})
+            for ms, part in marks.groupby(batch["us"] // 1000):
+                told = [f"{us}:{mark}" for us, mark in set(zip(part["us"].tolist(), part["mark"].tolist()))]
+                before = self.waiting.getValue((int(ms),))
+                if before is None:
+                    self.handle.registerTimer(int(ms) + 1)
+                self.waiting.updateValue((int(ms),), (" ".join(told + ([before[0]] if before else [])),))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        ms = (expiredTimerInfo.getExpiryTimeInMs() - 1,)
+        done, last = self.reached.get() if self.reached.exists() else (0, -(1 << 62))
+        before = done
+        for us, mark in sorted(tuple(map(int, x.split(":"))) for x in self.waiting.getValue(ms)[0].split()):
+            if us > last and mark >> done & 1:
+                done, last = done + 1, us
+        self.waiting.removeKey(ms)
+        if done > before:
+            self.reached.update((done, last))
             yield pd.DataFrame({"user_id": [key[0]], "steps_done": [done], "last_us": [last]})
 
-    timed = events.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+
+def funnel_state(events: DataFrame, steps: list[str], late: str = "10 minutes") -> DataFrame:
+    """``user_id, steps_done, last_us`` for every millisecond in which a user gets further, each step strictly after the one before.
+
+    Equal to the batch funnel once the watermark has passed; runs with the settings ``ROCKS`` only.
+    """
+    timed = events.withWatermark("ts", late).withColumn("us", F.unix_micros("ts")).filter(F.col("event_type").isin(*steps, END_TYPE))
     return (
         timed.select("user_id", "event_type", "us", "ts")
         .groupBy("user_id")
-        .applyInPandasWithState(
-            advance, "user_id bigint, steps_done int, last_us bigint", "done int, last bigint", "append", "EventTimeTimeout"
-        )
+        .transformWithStateInPandas(FunnelSteps([*steps]), "user_id bigint, steps_done int, last_us bigint", "append", "eventTime")
     )
 
 
-def run_available(df: DataFrame, out: str | None = None, timeout_s: int = 600) -> tuple[DataFrame, StreamingQuery]:
-    """Process everything that has landed, in append mode, and read the result table."""
+def funnel(reached: DataFrame, steps: list[str]) -> DataFrame:
+    """Users per step and the rate against the step before, from the rows that ``funnel_state`` has given."""
+    counts = reached.groupBy("user_id").agg(F.max("steps_done").alias("d"))
+    counts = counts.agg(*[F.count_if(F.col("d") >= i).alias(f"n{i}") for i in range(1, len(steps) + 1)])
+    return web.funnel_rates(counts, steps)
+
+
+#: Event time of the row that ends a bounded stream (within what pandas can hold), and its type, which tells it from real rows.
+THE_END, END_TYPE = "2200-01-01 00:00:00", "end of input"
+#: Stateful operators in a row that are closed one after the other.
+CHAIN = 2
+
+
+def run_bounded(spark: SparkSession, folder: str, job: Callable[[DataFrame], DataFrame], glob: str = "events*.parquet", conf: dict | None = None) -> DataFrame:
+    """Result of a streaming ``job`` over landed events that are complete: what is open at their end is closed.
+
+    After everything has been read, one more row is taken in whose event time moves the watermark past any real row, so
+    sessions, windows and days that wait for later rows come out. Its own groups never close, and no further event
+    can follow. Each operator of a chain closes what the one before it has handed on in the batch before.
+    """
+    base = f"{shared_folder(spark)}/growthlens/stream-{uuid.uuid4().hex}"
+    schema = spark.createDataFrame([], EVENTS)
+    schema.write.parquet(f"{base}/end")
+
+    def events() -> DataFrame:
+        return read_events(spark, folder, glob).unionByName(read_events(spark, f"{base}/end", "*.parquet"))
+
+    out, _ = run_available(job(events()), base, conf=conf)
+    for _ in range(CHAIN):
+        last = spark.createDataFrame([(END_TYPE,)], "event_type string").withColumn("ts", F.lit(THE_END).cast("timestamp_ntz"))
+        schema.unionByName(last, allowMissingColumns=True).write.mode("append").parquet(f"{base}/end")
+        out, _ = run_available(job(events()), base, conf=conf)
+    return out
+
+
+def run_available(df: DataFrame, out: str | None = None, timeout_s: int | None = None, conf: dict | None = None) -> tuple[DataFrame, StreamingQuery]:
+    """Process everything that has landed, in append mode, and read the result table. ``conf`` holds for this query only."""
     spark = df.sparkSession
     base = out or f"{shared_folder(spark)}/growthlens/stream-{uuid.uuid4().hex}"
-    query = (
-        df.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", f"{base}/table")
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    if not query.awaitTermination(timeout_s):
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    try:
+        for k, v in (conf or {}).items():
+            spark.conf.set(k, v)
+        query = (
+            df.writeStream.outputMode("append")
+            .format("parquet")
+            .option("path", f"{base}/table")
+            .option("checkpointLocation", f"{base}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    if query.awaitTermination(timeout_s) is False:
         query.stop()
         raise TimeoutError("stream did not finish in time")
     return spark.read.schema(df.schema).parquet(f"{base}/table"), query
