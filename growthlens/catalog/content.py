@@ -61,12 +61,13 @@ def underperformers(t):
 
 @query(
     "performance_score",
-    f"""{BASE}, h AS (SELECT *, count(*) OVER w - 1 AS history, sum(u) OVER w - u AS s FROM m WHERE engagement_rate IS NOT NULL
-          WINDOW w AS (PARTITION BY platform ORDER BY date_published, content_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    f"""{BASE}, r AS (SELECT * FROM m WHERE engagement_rate IS NOT NULL),
+        h AS (SELECT a.content_id, a.platform, a.engagement_rate, count(b.content_id) AS history, count(b.content_id) FILTER (WHERE b.u < a.u) AS less
+          FROM r a LEFT JOIN r b ON b.platform = a.platform AND (b.date_published, b.content_no) < (a.date_published, a.content_no) GROUP BY ALL),
         lim AS (SELECT *, CASE platform WHEN 'Instagram' THEN 1 WHEN 'LinkedIn' THEN 2 ELSE 0.5 END AS a, CASE platform WHEN 'Instagram' THEN 3 WHEN 'LinkedIn' THEN 4 ELSE 1 END AS g,
           CASE platform WHEN 'Instagram' THEN 6 WHEN 'LinkedIn' THEN 8 ELSE 3 END AS e FROM h)
-        SELECT content_id, platform, engagement_rate, history, CAST(CASE WHEN history < 10 THEN CASE WHEN engagement_rate >= e THEN 9 WHEN engagement_rate >= g THEN 7 WHEN engagement_rate >= a THEN 5 ELSE 2 END
-          WHEN s = 0 THEN 5 ELSE least(10, greatest(1, (u * 5 * history) // s)) END AS INTEGER) AS performance_score FROM lim""",
+        SELECT content_id, platform, engagement_rate, history, CAST(CASE WHEN history = 0 THEN CASE WHEN engagement_rate >= e THEN 9 WHEN engagement_rate >= g THEN 7 WHEN engagement_rate >= a THEN 5 ELSE 2 END
+          ELSE least(10, less * 10 // history + 1) END AS INTEGER) AS performance_score FROM lim""",
     C,
 )
 def performance_score(t):

@@ -8,11 +8,10 @@ from pyspark.sql.window import Window
 
 from ..functions.numbers import ratio
 from ..functions.text import benchmark_band
-from ..plans import timeline
+from ..plans import ranges, timeline
 from ..plans.groups import first_n, latest
 
 DIMS = ("format", "hook_used", "theme_topic", "cta_type", "platform")
-MIN_HISTORY = 10
 
 
 def interactions() -> Column:
@@ -82,21 +81,20 @@ def underperformers(measured: DataFrame, dim: str) -> DataFrame:
 
 
 def performance_score(measured: DataFrame, client: str = "platform") -> DataFrame:
-    """1 to 10 against the mean of earlier pieces (our rule: five times the ratio, clamped).
+    """1 to 10: the decile that a piece's rate takes among the client's earlier pieces.
 
-    With fewer than ten earlier pieces the platform's benchmark band decides instead.
+    1 when none of them is below it, 10 when nine tenths are. The first piece of a client has nothing before it, and the
+    platform's benchmark band decides. Earlier pieces are ranked in a tree over the running numbers, so one client,
+    month or rate with all pieces is many tasks.
     """
     m = measured.filter("engagement_rate IS NOT NULL").withColumn("__u", _rate_units())
-    run = timeline.running_sums(
-        m, [client], ["date_published", "content_no"], F.trunc("date_published", "month"),
-        {"__n": F.lit(1), "__s": F.col("__u")},
-    )
-    n, s = F.col("__n") - 1, F.col("__s") - F.col("__u")
-    relative = F.call_function("div", F.col("__u") * 5 * n, F.nullif(s, F.lit(0)))
-    clamped = F.least(F.lit(10), F.greatest(F.lit(1), F.coalesce(relative, F.lit(5))))
+    m = m.select("content_id", "content_no", "date_published", "platform", client, "engagement_rate", "__u") if client != "platform" else m
+    run = ranges.prefix_ranks(m, client, ["date_published", "content_no"], "__u", "__less", "__n")
+    n = F.col("__n") - 1
+    decile = F.least(F.lit(10), F.call_function("div", F.col("__less") * 10, F.nullif(n, F.lit(0))) + 1)
     band = benchmark_band("platform", "engagement_rate")
     by_band = F.when(band == "excellent", 9).when(band == "good", 7).when(band == "average", 5).otherwise(2)
-    score = F.when(n < MIN_HISTORY, by_band).otherwise(clamped)
+    score = F.when(n == 0, by_band).otherwise(decile)
     return run.select("content_id", client, "engagement_rate", n.alias("history"), score.cast("int").alias("performance_score"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import fixed
 from ..functions.text import format_family
-from ..plans import timeline
+from ..plans import ranges, timeline
 from ..plans.groups import unroll
 from .web import PII
 
@@ -129,14 +129,13 @@ def strip_cta(items: DataFrame) -> DataFrame:
 def backfill_schedule(items: DataFrame, taken: DataFrame, number: str = "content_no", seed: int = SEED) -> DataFrame:
     """Oldest first, two slots a day, seeded jitter of up to 20 minutes, taken slots skipped.
 
-    ``taken``: slot_index (day * 2 + slot). Item numbers come from bucketed running counts, not
-    from one global window. The n-th item gets the n-th free slot: a taken slot t (the j-th
-    taken) shifts every item from t - j on, which is a running count over items and breaks.
+    ``taken``: slot_index (day * 2 + slot). Items are numbered in ranges of the data, so a month, or a day, that holds all of
+    them is many tasks. The n-th item gets the n-th free slot: a taken slot t (the j-th taken) shifts every item from
+    t - j on, which is a running count over items and breaks.
     """
-    month = F.trunc("date_published", "month")
-    numbered = timeline.row_numbers(items, [], ["date_published", number], month, "n")
-    pos = numbered.select("content_id", F.col(number).alias("no"), (F.col("n") - 1).alias("pos"), F.lit(1).alias("kind"))
-    slots = timeline.row_numbers(taken.select("slot_index").distinct(), [], ["slot_index"], F.floor(F.col("slot_index") / 1024), "j")
+    numbered = ranges.numbered(items.select("content_id", "date_published", F.col(number).alias("no")), [], ["date_published", "no", "content_id"], "n")
+    pos = numbered.select("content_id", "no", (F.col("n") - 1).alias("pos"), F.lit(1).alias("kind"))
+    slots = ranges.numbered(taken.select("slot_index").filter("slot_index IS NOT NULL").distinct(), [], ["slot_index"], "j")
     breaks = slots.select(
         F.lit(None).cast("string").alias("content_id"),
         F.lit(None).cast("bigint").alias("no"),
@@ -144,7 +143,7 @@ def backfill_schedule(items: DataFrame, taken: DataFrame, number: str = "content
         F.lit(0).alias("kind"),
     )
     both = pos.withColumn("pos", F.col("pos").cast("bigint")).unionByName(breaks)
-    shifted = timeline.running_sum(both, [], ["pos", "kind", "no"], F.floor(F.col("pos") / 65536), (F.col("kind") == 0).cast("int"), "shift")
+    shifted = ranges.running(both, [], ["pos", "kind", "no", "content_id"], {"shift": (F.col("kind") == 0).cast("int")})
     index = F.col("pos") + F.col("shift")
     jitter = F.pmod(F.col("no") * 7919 + seed, F.lit(2 * JITTER_MIN + 1)) - JITTER_MIN
     return shifted.filter("kind = 1").select(
