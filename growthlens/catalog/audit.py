@@ -4,8 +4,11 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import audit, linkgraph
+from ..operators.copyq import near_duplicates
+from ..operators.extract import visible_text
 from . import sqlurl as q
 from .base import query
+from .copy import near_sql
 
 CRAWL = ("v_crawl", "v_links", "v_sitemap")
 
@@ -267,12 +270,11 @@ def crowded_targets(t):
     return audit.crowded_targets(_finals(t), 2).drop("site")
 
 
-@query(
-    "near_duplicate_pages",
-    None,
-)
-def near_duplicate_pages(t):
-    from ..operators.copyq import near_duplicates
-    from ..operators.extract import visible_text
+VISIBLE_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+  '(?is)<!--.*?-->','','g'),'(?is)<script[^>]*>.*?</script>','','g'),'(?is)<style[^>]*>.*?</style>','','g'),
+  '(?is)<title[^>]*>.*?</title>','','g'),'(?s)<[/!?a-zA-Z][^>]*>','','g')"""
 
-    return near_duplicates(t.pages.select(F.col("page_id").alias("doc_id"), visible_text(F.col("html")).alias("text")), 0.8)
+
+@query("near_duplicate_pages", near_sql(f"SELECT page_id AS doc_id, {VISIBLE_SQL} AS text FROM pages"))
+def near_duplicate_pages(t):
+    return near_duplicates(t.pages.select(F.col("page_id").alias("doc_id"), visible_text(F.col("html")).alias("text")))

@@ -93,9 +93,36 @@ def exact_duplicates(t):
     return copyq.exact_duplicates(t.documents)
 
 
-@query("near_duplicates", None)
+WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}\\p{Pc}]+')"
+
+
+def near_sql(source: str) -> str:
+    """Exact pairs by a join on shingles; ``source`` has doc_id and text."""
+    return f"""WITH src AS ({source}), f AS (SELECT min(doc_id) AS doc_id FROM src GROUP BY sha256(lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))))),
+      w AS (SELECT doc_id, {WORDS} AS w FROM src WHERE doc_id IN (SELECT doc_id FROM f)),
+      s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END)) AS g FROM w),
+      n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+      k AS (SELECT a.doc_id, b.doc_id AS first_id, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND b.doc_id < a.doc_id GROUP BY 1, 2),
+      j AS (SELECT k.*, x.n + y.n - k AS u FROM k JOIN n x ON x.doc_id = k.doc_id JOIN n y ON y.doc_id = k.first_id)
+      SELECT doc_id, min(first_id) AS first_id, arg_min(CAST(k AS DOUBLE) / u, first_id) AS jaccard FROM j WHERE 100 * k >= 80 * u GROUP BY doc_id"""
+
+
+@query("near_duplicates", near_sql("SELECT doc_id, text FROM documents"))
 def near_duplicates(t):
-    return copyq.near_duplicates(t.documents, 0.8)
+    return copyq.near_duplicates(t.documents)
+
+
+@query(
+    "shared_words",
+    f"""WITH w AS (SELECT doc_id, source, unnest(list_distinct({WORDS})) AS w FROM documents), n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY 1),
+        k AS (SELECT a.source, a.doc_id, b.doc_id AS partner_id, count(*) AS k FROM w a JOIN w b ON a.source = b.source AND a.w = b.w AND a.doc_id <> b.doc_id GROUP BY ALL),
+        j AS (SELECT k.*, x.n + y.n - k AS u FROM k JOIN n x USING (doc_id) JOIN n y ON y.doc_id = partner_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(k AS DOUBLE) / u DESC, partner_id) AS no FROM j WHERE 100 * k >= 80 * u)
+        SELECT source AS template, doc_id, partner_id, k AS shared_words, {half_even('k', 'u', 4)} AS shared_share FROM r WHERE no = 1""",
+)
+def shared_words(t):
+    return copyq.shared_words(t.documents.withColumnRenamed("source", "template"), 80, "doc_id")
 
 
 @query(

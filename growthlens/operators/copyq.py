@@ -11,6 +11,7 @@ from ..functions import fixed
 from ..functions.numbers import ratio
 from ..functions.text import collapse_ws
 from ..functions.urls import strip_blanks
+from ..plans import setjoin
 from ..plans.groups import first_n, unroll, unroll_with_pos
 from ..session import cut_lineage
 
@@ -193,60 +194,46 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 BINS = 16
 
 
-def shingle_sets(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key, s``: distinct hashes of the 3-word shingles of each whole text.
+def shingle_sets(docs: DataFrame, key: str = "doc_id", width: int = 5) -> DataFrame:
+    """``key, s``: distinct hashes of the ``width``-word shingles of each whole text.
 
-    A text of one or two words is one shingle; a text without words, or none, has no shingles.
-    The word array is a column of its own: inside the lambda it is looked up, not rebuilt.
+    A text of fewer words is one shingle; a text without words, or none, has no shingles. The word array is a column of
+    its own: inside the lambda it is looked up, not rebuilt.
     """
     words = docs.select(key, F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"(?U)\w+"), F.lit(0)).alias("w"))
-    last = F.greatest(F.size("w") - 3, F.lit(0))
-    grams = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
+    last = F.greatest(F.size("w") - width, F.lit(0))
+    grams = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(width)]))
     none = F.array().cast("array<bigint>")
     return words.select(key, F.when(F.size("w") > 0, F.array_distinct(grams)).otherwise(none).alias("s"))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id") -> DataFrame:
-    """``key, first_id, jaccard``: documents close to an earlier one of their sketch group.
+def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id") -> DataFrame:
+    """``key, first_id, jaccard``: documents close to an earlier one, with the earliest that is as close.
 
-    One minimum per hash bin (map-side combined) forms a sketch; two neighbouring minima form a
-    group key. Every member is compared with the first document of its group only, by exact
-    Jaccard over all shingles, so a group of n copies costs n comparisons, never n squared, and
-    no group is gathered. Of equal texts only the first document takes part. Texts themselves
-    are not shuffled: sketches are, and the shingle sets of documents that form a pair.
+    Exact Jaccard over all shingles, and no pair is lost: see ``plans.setjoin``. Of equal texts only the first document takes
+    part (``exact_duplicates`` lists the others), and of repeated ids the smallest text. NULL ids take no part.
     """
-    hashes = docs.select(key, F.sha2(normalised("text"), 256).alias("h"))
-    firsts = hashes.groupBy("h").agg(F.min(key).alias(key)).select(key)
-    sets = shingle_sets(docs, key)
-    mins = (
-        unroll(sets, [key], F.col("s"), "x")
-        .groupBy(key, F.pmod("x", F.lit(BINS)).cast("int").alias("bin"))
-        .agg(F.min("x").alias("m"))
-        .join(firsts, key, "left_semi")
-    )
-    # each minimum takes part in two pairs: (bin, next bin) and (previous bin, bin)
-    halves = mins.select(
-        key, "m", F.explode(F.array(F.struct(F.col("bin").alias("band"), F.lit(0).alias("side")),
-                                    F.struct(F.pmod(F.col("bin") - 1, F.lit(BINS)).alias("band"), F.lit(1).alias("side")))).alias("b"),
-    )
-    bands = (
-        halves.groupBy(key, "b.band")
-        .agg(F.min(F.when(F.col("b.side") == 0, F.col("m"))).alias("m0"), F.min(F.when(F.col("b.side") == 1, F.col("m"))).alias("m1"))
-        .withColumn("g", F.xxhash64("m0", "m1"))
-    )
-    leads = bands.groupBy("band", "g").agg(F.min(key).alias("first_id"), F.count("*").alias("n")).filter("n > 1")
-    pairs = bands.join(leads, ["band", "g"]).filter(F.col(key) != F.col("first_id")).select(key, "first_id").distinct()
-    pairs = cut_lineage(pairs)  # read twice below, and its real size decides how it is joined
-    members = pairs.select(key).union(pairs.select(F.col("first_id").alias(key))).distinct()
-    sets = sets.join(members, key, "left_semi")
-    a = sets.select(key, F.col("s").alias("s1"))
-    b = sets.select(F.col(key).alias("first_id"), F.col("s").alias("s2"))
-    both = F.size(F.array_intersect("s1", "s2"))
-    jac = pairs.join(a, key).join(b, "first_id").select(
-        key, "first_id", F.try_divide(both.cast("double"), (F.size("s1") + F.size("s2") - both).cast("double")).alias("jaccard")
-    )
-    close = jac.filter(F.col("jaccard") >= threshold)
-    return close.groupBy(key).agg(F.min(F.struct("first_id", "jaccard")).alias("c")).select(key, "c.first_id", "c.jaccard")
+    hashes = docs.filter(F.col(key).isNotNull()).select(key, F.sha2(normalised("text"), 256).alias("h"))
+    firsts = hashes.groupBy("h").agg(F.min(key).alias(key)).select(key).distinct()
+    one = docs.join(firsts, key, "left_semi").groupBy(key).agg(F.min("text").alias("text"))
+    found = setjoin.first_similar(shingle_sets(one, key).withColumnRenamed(key, "id"), percent)
+    jaccard = F.try_divide(F.col("both").cast("double"), F.col("either").cast("double"))
+    return found.select(F.col("id").alias(key), F.col("other").alias("first_id"), jaccard.alias("jaccard"))
+
+
+def shared_words(pages: DataFrame, percent: int = 80, key: str = "page_id", group: str = "template") -> DataFrame:
+    """``group, key, partner_id, shared_words, shared_share``: per page the page of its template that shares most of the words of both.
+
+    Shares are of the distinct words of the two pages together, and pages without a partner that shares ``percent`` of
+    them are left out; equal shares go to the smaller id. Words of different templates never meet. NULL keys take
+    no part; of repeated keys the smallest text counts.
+    """
+    one = pages.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(F.col(group).alias("g"), F.col("text").alias("t"))).alias("p")).select(key, "p.g", "p.t")
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("t")), F.lit(r"(?U)\w+"), F.lit(0)))
+    named = F.transform(F.coalesce(words, F.array().cast("array<string>")), lambda w: F.xxhash64(F.col("g"), w))
+    found = setjoin.best_similar(one.select(F.col(key).alias("id"), F.array_distinct(named).alias("s")), percent)
+    found = found.select(F.col("id").alias(key), F.col("other").alias("partner_id"), F.col("both").alias("shared_words"), ratio("both", "either", 4).alias("shared_share"))
+    return one.select(F.col("g").alias(group), key).join(found, key).select(group, key, "partner_id", "shared_words", "shared_share")
 
 
 def unique_word_share(pages: DataFrame, key: str = "page_id", group: str = "template") -> DataFrame:
