@@ -245,7 +245,7 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     listed = local.filter(F.size("ends") > 0).select(*KEY, "ends")
     listed = listed.repartition(n, *KEY).sortWithinPartitions(*KEY, F.col("ends")[0]).mapInArrow(_digests, "k1 bigint, k2 bigint, ends_sha256 string")
     out = nodes.join(_subtrees(nodes, rows, opened), KEY, "left").join(by_parent, KEY, "left").join(listed, KEY, "left")
-    out = out.join(parents, ["p1", "p2"], "left")
+    out = out.join(cut_lineage(parents), ["p1", "p2"], "left")  # a table, so that the join may split a node with very many children
     return out.select(
         "conv_id", "depth", "parent_conv_id", "n_convs", F.coalesce("n_children", F.lit(0)).alias("n_children"),
         F.coalesce("n_leaves", F.lit(1)).cast("bigint").alias("n_leaves"), F.coalesce("saved_tokens", F.lit(0)).cast("bigint").alias("saved_tokens"),
