@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from ..plans.groups import unroll_with_pos
 from ..session import cut_lineage
 
-#: Between two passages and between level and text while a message is one string; no text characters.
-_CUT, _LEVEL = "﷐", "﷑"
+#: Between two passages and between level and text while a message is one string. Should a text hold them, or
+#: the escape, they stand in it as the escape and a digit meanwhile.
+_CUT, _LEVEL, _ESCAPE = "﷐", "﷑", "﷒"
 _QUOTE = r"^((?:\s{0,3}>)+)[ ]?"
 #: A line that announces the quote after it (fixed values: English, German, French, Spanish).
 _ANNOUNCES = r"(?i)^.*\b(wrote|schrieb|a écrit|escribió)\s*:\s*$"
@@ -38,6 +39,18 @@ def passages(messages: DataFrame) -> DataFrame:
     return df.withColumn("_p", F.filter(F.split(joined, _CUT), lambda x: x != "")).drop("_l", "_v", "_t")
 
 
+def escaped(text: Column) -> Column:
+    for mark, digit in ((_ESCAPE, "2"), (_CUT, "0"), (_LEVEL, "1")):
+        text = F.replace(text, F.lit(mark), F.lit(_ESCAPE + digit))
+    return text
+
+
+def unescaped(text: Column) -> Column:
+    for mark, digit in ((_CUT, "0"), (_LEVEL, "1"), (_ESCAPE, "2")):
+        text = F.replace(text, F.lit(_ESCAPE + digit), F.lit(mark))
+    return text
+
+
 def normal(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
@@ -51,10 +64,11 @@ def link_quotes(messages: DataFrame, key: str = "message_id", text: str = "text"
     an empty line. Rows with a NULL key are left out, as nothing can refer to them. Of several rows with
     one key the smallest text counts. NULL and empty texts quote nothing and have an empty body.
     A passage found in several messages belongs to the smallest key; only messages with a smaller
-    key can be answered, so there are no rings. Keys must have an order that follows time.
+    key can be answered, so there are no rings. Keys must have an order that follows time. Any character may
+    stand in a text; other columns are ignored.
     """
     src = messages.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("m")).agg(F.min(text).alias("text"))
-    parts = cut_lineage(passages(src).select("m", "_p"))
+    parts = cut_lineage(passages(src.withColumn("text", escaped(F.col("text")))).select("m", "_p"))
     one = unroll_with_pos(parts, ["m"], F.col("_p"), "pos", "p").select(
         "m", "pos", F.substring_index("p", _LEVEL, 1).cast("int").alias("level"), F.md5(normal(F.substring_index("p", _LEVEL, -1)).cast("binary")).alias("h")
     )
@@ -68,7 +82,7 @@ def link_quotes(messages: DataFrame, key: str = "message_id", text: str = "text"
     places = _places(parts.select("m"), nodes.filter("reply_to IS NOT NULL").select("m", "reply_to"))
     own = F.filter("_p", lambda x: F.substring_index(x, _LEVEL, 1) == "0")
     body = F.array_join(F.transform(own, lambda x: F.substring_index(x, _LEVEL, -1)), "\n\n")
-    out = parts.select("m", F.coalesce(body, F.lit("")).alias("body")).join(nodes, "m", "left").join(places, "m", "left")
+    out = parts.select("m", F.coalesce(unescaped(body), F.lit("")).alias("body")).join(nodes, "m", "left").join(places, "m", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     return out.select(F.col("m").alias(key), "reply_to", F.coalesce("root", "m").alias("root"), zero("depth"), zero("n_quoted"), zero("n_linked"), "body")
 
