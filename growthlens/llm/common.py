@@ -36,6 +36,14 @@ def remainder(key: str | Column, by: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % by if isinstance(key, str) else F.crc32(key.cast("string").cast("binary")) % by
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name for a working column that no column of ``df`` has, upper or lower case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 # ----------------------------------------------------------------- words and shingles in numpy
 
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, remainder, ship_by_value
+from .common import mixed, remainder, ship_by_value, unused
 
 #: Coordinates: 2**BITS for words and as many for pairs (neighbours, and words with one between).
 BITS = 22
@@ -87,12 +87,13 @@ def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
     """Fit on labelled rows whose ``crc32(key) mod 5`` is not 0, at most ``TRAIN_ROWS`` of them.
 
-    Several labels of one key: the largest counts; NULL keys and labels teach nothing. The rows
+    Several labels of one key: the largest counts, and of several texts the smallest; NULL keys and labels teach nothing. The rows
     have a fixed number at most, so they may be broadcast and be fitted in one task.
     """
     known = labels.filter(F.col(label).isNotNull() & (remainder(key, 5) != 0)).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("toxic"))
     drawn = known.withColumn("h", F.xxhash64("k")).orderBy("h", "k").limit(TRAIN_ROWS)
-    src = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(drawn), "k").select("h", "toxic", "text")
+    src = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(drawn), "k")
+    src = src.groupBy("h", "toxic", "k").agg(F.min("text").alias("text")).drop("k")
     x = src.mapInArrow(_featured, "h bigint, toxic int, x binary").repartition(1).sortWithinPartitions("h", "x")
     model = x.mapInArrow(_fitted, "i int, w double").toArrow()
     if not model.num_rows:
@@ -101,10 +102,11 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return i[1:], w[1:], float(w[0])
 
 
-def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", keep: list[str] | None = None,
+          out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """``keep`` columns (the key by default), ``score`` (0 to 1) and ``predicted`` (score >= 0.5) per row.
 
-    The score depends on the text only. NULL and empty texts have the bias alone; without any
+    The two take the names ``out``; kept columns of these names give way to them. The score depends on the text only. NULL and empty texts have the bias alone; without any
     labelled row nothing is toxic. Repeated rows and NULL keys are scored like others.
     """
     names, weights, bias = learn(docs, labels, key, text, label)
@@ -118,12 +120,13 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             sums = np.array([b + float(dense[features(t.as_py())].sum(dtype=np.float64)) for t in batch.column(batch.num_columns - 1)])
             p = 1 / (1 + np.exp(-np.clip(sums, -30, 30)))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names[:-1], "score", "predicted"]
+                [*batch.columns[:-1], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names[:-1], *out]
             )
 
-    src = docs.select(*(keep or [key]), F.col(text).alias("_text"))
+    kept = [c for c in keep or [key] if c not in out]
+    src = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias(unused(docs, "text")))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]]
-    return src.mapInArrow(run, ", ".join([*fields, "score double", "predicted int"]))
+    return src.mapInArrow(run, ", ".join([*fields, f"`{out[0]}` double", f"`{out[1]}` int"]))
 
 
 ship_by_value(__name__)
