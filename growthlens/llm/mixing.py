@@ -89,7 +89,7 @@ def mix(
 ) -> DataFrame:
     """``docs`` plus ``block_no`` (in its source, from 1), ``slot`` (from 0) and ``in_block`` (from 1).
 
-    Sorted by (slot, in_block) the rows stand in mixed order. Within a source documents are
+    Sorted by (slot, in_block) the rows stand in mixed order. Columns of ``docs`` with these three names give way to them. Within a source documents are
     ordered by a hash of their key. ``weights`` maps sources to target weights, which are kept exactly; without it all
     sources weigh the same, and a source not named weighs as much as the least one named. A NULL source is a
     source of its own. Every row is kept, repeated ones too, whatever its key. Only one number per
@@ -98,14 +98,15 @@ def mix(
     """
     spark = docs.sparkSession
     named = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null")).alias("_s")
-    rest = F.xxhash64(*[F.col(c) for c, t in docs.dtypes if not t.startswith("map")]).alias("_r")
-    rows = docs.select("*", named, F.xxhash64(F.col(key)).alias("_m"), rest)
+    rest = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if not t.startswith("map")]).alias("_r")
+    # a document's columns travel as one, so that no name of theirs meets a working column
+    rows = docs.select(F.struct("*").alias("_doc"), named, F.xxhash64(F.col(key)).alias("_m"), F.col(key).alias("_k"), rest)
     counts = {r["_s"]: r["n"] for r in rows.groupBy("_s").agg(F.count("*").alias("n")).toLocalIterator()}
     blocks = {s: -(-n // block_docs) for s, n in counts.items()}
     given = {("null" if s is None else f"={s}"): Fraction(str(w)) for s, w in (weights or {}).items() if w > 0}
     plan = phases(blocks, {s: given.get(s, min(given.values(), default=Fraction(1))) for s in blocks}, period)
     # the high bits of a hash are ordered ranges of equal size, so a large source is numbered in 256 parts
-    numbered = row_numbers(rows, ["_s"], ["_m", key, "_r"], F.shiftright("_m", 56), "_i")
+    numbered = row_numbers(rows, ["_s"], ["_m", "_k", "_r"], F.shiftright("_m", 56), "_i")
     numbered = numbered.withColumn("block_no", F.floor((F.col("_i") - 1) / block_docs) + 1)
     table = _plan_table(spark, plan)
     # one row per source; beyond so many phase entries the join shuffles and splits the large sources
@@ -115,8 +116,9 @@ def mix(
     slot = F.col("_p.start") + F.floor(F.col("_nth") / F.col("_p.share")) * F.col("_p.period") + F.get(
         "_p.slots", F.pmod("_nth", F.col("_p.share")).cast("int")
     )
+    own = [F.col("_doc").getField(c).alias(c) for c in docs.columns if c not in ("block_no", "slot", "in_block")]
     return j.select(
-        *docs.columns, F.col("block_no").cast("bigint"), slot.cast("bigint").alias("slot"),
+        *own, F.col("block_no").cast("bigint"), slot.cast("bigint").alias("slot"),
         (F.pmod(F.col("_i") - 1, F.lit(block_docs)) + 1).cast("bigint").alias("in_block"),
     )
 
