@@ -110,7 +110,7 @@ def remove_repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "
     Texts are cut at ``\\n``. A passage is a run of two lines or more, ``least_words`` words in all, of which
     every two neighbouring lines also stand, as neighbours, at a smaller (key, position). Its lines go; but
     the first occurrence of two lines that occur again stays whole, so whatever goes is still there to
-    read. Rows keep all other columns. Repeated rows (equal key and text) count once and are treated
+    read. Rows keep all other columns, but for ``n_lines`` and ``n_removed``, which give way to these. Repeated rows (equal key and text) count once and are treated
     alike. NULL texts stay NULL with 0 lines; a text that goes entirely becomes empty; rows with a NULL
     key keep their text but count as no occurrence. Digests are shuffled for the count, and one more shuffle
     brings the lists of removed lines to their texts. Both joins are asked to shuffle, so the plan is
@@ -134,17 +134,19 @@ def remove_repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "
     )
     lists = runs.filter(F.col("_words") >= least_words).groupBy("k", "th").agg(F.flatten(F.collect_list("_at")).alias("_at"))
     lists = cut_lineage(lists.select("k", "th", F.array_sort(F.array_distinct("_at")).alias("_gone")).filter(F.size("_gone") > 0))
-    rows = docs.withColumn("_k", F.col(key)).withColumn("_th", F.xxhash64(F.col(text))).join(
+    # a document's columns travel as one, so that no name of theirs meets a working column
+    rows = docs.select(F.struct("*").alias("_doc"), F.col(key).alias("_k"), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_th")).join(
         lists.select(F.col("k").alias("_k"), F.col("th").alias("_th"), "_gone").hint("merge"), ["_k", "_th"], "left"
     )
     # the stretches between removed lines, so the work grows with the lines of a text and not with their square
-    cut = rows.withColumn("_l", F.when(F.col("_gone").isNotNull(), F.split(text, "\n")))
+    cut = rows.withColumn("_l", F.when(F.col("_gone").isNotNull(), F.split("_text", "\n")))
     cut = cut.withColumn("_edge", F.concat(F.array(F.lit(-1)), "_gone", F.array(F.size("_l"))))
     stretch = lambda e, j: F.slice("_l", e + 2, F.get("_edge", j + 1) - e - 1)
     cut = cut.withColumn("_kept", F.flatten(F.transform(F.slice("_edge", F.lit(1), F.size("_edge") - 1), stretch)))
-    cut = cut.withColumn("_clean", F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n")))
-    count = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"))) + 1
+    cut = cut.withColumn("_clean", F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join("_kept", "\n")))
+    count = F.length("_text") - F.length(F.replace(F.col("_text"), F.lit("\n"))) + 1
     cut = cut.withColumn("n_lines", F.coalesce(count, F.lit(0)).cast("bigint"))
     cut = cut.withColumn("n_removed", F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("bigint"))
-    fields = [F.col("_clean").alias(c) if c == text else F.col(c) for c in docs.columns]
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    fields = [F.col("_clean").alias(c) if c == text else F.col("_doc").getField(c).alias(c) for c in own]
     return cut.select(*fields, "n_lines", "n_removed")
