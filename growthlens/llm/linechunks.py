@@ -135,7 +135,8 @@ def remove_repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "
     lists = runs.filter(F.col("_words") >= least_words).groupBy("k", "th").agg(F.flatten(F.collect_list("_at")).alias("_at"))
     lists = cut_lineage(lists.select("k", "th", F.array_sort(F.array_distinct("_at")).alias("_gone")).filter(F.size("_gone") > 0))
     # a document's columns travel as one, so that no name of theirs meets a working column
-    rows = docs.select(F.struct("*").alias("_doc"), F.col(key).alias("_k"), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_th")).join(
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
+    rows = docs.select(others.alias("_doc"), F.col(key).alias("_k"), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_th")).join(
         lists.select(F.col("k").alias("_k"), F.col("th").alias("_th"), "_gone").hint("merge"), ["_k", "_th"], "left"
     )
     # the stretches between removed lines, so the work grows with the lines of a text and not with their square
