@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .base import REGISTRY
 
 AREAS = (
-    "site", "audit", "changes", "search", "answers", "web", "ads", "content", "leads", "ops", "copy", "reports", "streams", "sitemaps",
+    "site", "audit", "changes", "search", "answers", "web", "ads", "content", "leads", "ops", "copy", "reports", "streams", "sitemaps", "records",
 )
 
 

@@ -148,8 +148,8 @@ def share_of_voice(t):
 
 @query(
     "call_plan",
-    """SELECT prompt_id, prompt_pos, kind, run, engine_no, engine FROM (SELECT prompt_id, prompt_pos, kind, unnest([1,2,3]) AS run FROM v_prompts),
-       (SELECT unnest([0,1,2]) AS engine_no, unnest(['engine0','engine1','engine2']) AS engine) ORDER BY prompt_pos, run, engine_no LIMIT 1000""",
+    """SELECT *, call_no <= 1000 AS in_budget FROM (SELECT prompt_id, prompt_pos, kind, run, engine_no, engine, row_number() OVER (ORDER BY prompt_pos, prompt_id, run, engine_no) AS call_no
+       FROM (SELECT prompt_id, prompt_pos, kind, unnest([1,2,3]) AS run FROM v_prompts), (SELECT unnest([0,1,2]) AS engine_no, unnest(['engine0','engine1','engine2']) AS engine))""",
     ("v_prompts",),
 )
 def call_plan(t):
@@ -158,7 +158,7 @@ def call_plan(t):
 
 @query(
     "ai_delta",
-    f"""{BASE}, p AS (SELECT engine, {RATES} FROM s WHERE run < 4 GROUP BY engine), c AS (SELECT engine, {RATES} FROM s WHERE run >= 2 GROUP BY engine)
+    f"""{BASE}, p AS (SELECT engine, {RATES} FROM s WHERE run < 3 GROUP BY engine), c AS (SELECT engine, {RATES} FROM s WHERE run >= 3 GROUP BY engine)
         SELECT c.engine, c.mention_rate, c.citation_rate, c.mention_rate - p.mention_rate AS mention_delta, c.citation_rate - p.citation_rate AS citation_delta
         FROM c LEFT JOIN p USING (engine)""",
     V,
@@ -166,5 +166,5 @@ def call_plan(t):
 def ai_delta(t):
     a = _analyzed(t)
     return answers.ai_delta(
-        answers.engine_summary(a.filter("run < 4")), answers.engine_summary(a.filter("run >= 2"))
+        answers.engine_summary(a.filter("run < 3")), answers.engine_summary(a.filter("run >= 3"))
     )

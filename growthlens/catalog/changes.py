@@ -95,7 +95,7 @@ def search_delta(t):
 @query(
     "headline",
     f"""{AN_BASE}, {KEYED[5:]}, {CHANGES[len(KEYED) + 2:]}, {MONTHS},
-        ep AS (SELECT engine, {RATES} FROM s WHERE run < 4 GROUP BY engine), ec AS (SELECT engine, {RATES} FROM s WHERE run >= 2 GROUP BY engine),
+        ep AS (SELECT engine, {RATES} FROM s WHERE run < 3 GROUP BY engine), ec AS (SELECT engine, {RATES} FROM s WHERE run >= 3 GROUP BY engine),
         b AS (SELECT 1000 + n_new_high AS w, 0 AS seq, n_new_high || ' new high-severity issues.' AS line FROM ch WHERE n_new_high > 0
           UNION ALL SELECT 500 + n_new + n_resolved, 1, n_new || ' new issues, ' || n_resolved || ' resolved.' FROM ch
           UNION ALL SELECT 200, 2, 'No new high-severity issues.' FROM ch WHERE n_new_high = 0
@@ -113,8 +113,8 @@ def headline(t):
     prev, curr = _months(t)
     j = changes.search_delta(prev, curr).withColumn("prev", F.col("value") - F.col("delta"))
     a = answers.analyze(answers.attach_urls(t.v_answers, t.v_answer_urls), BRAND, RIVALS, DOMAINS)
-    before = answers.engine_summary(a.filter("run < 4")).select("engine", F.col("mention_rate").alias("prev_mention_rate"))
-    now = answers.engine_summary(a.filter("run >= 2")).select("engine", "mention_rate")
+    before = answers.engine_summary(a.filter("run < 3")).select("engine", F.col("mention_rate").alias("prev_mention_rate"))
+    now = answers.engine_summary(a.filter("run >= 3")).select("engine", "mention_rate")
     ai = now.join(before, "engine").withColumn("site", site)
     return changes.headline(changes.issue_changes(t.v_issues_prev, t.v_issues_curr), None, j, ai)
 

@@ -1,5 +1,7 @@
 """Copy quality queries."""
 
+from pyspark.sql import functions as F
+
 from ..functions import fixed
 from ..operators import copyq
 from .base import half_even, query
@@ -143,3 +145,22 @@ def anonymised(t):
 )
 def unique_word_share(t):
     return copyq.unique_word_share(t.documents.withColumnRenamed("source", "template"), "doc_id")
+
+
+QUOTED = r"""[“"]([^“”"]+)[”"]"""
+
+
+def _plain(text: str) -> str:
+    return f"""' ' || array_to_string(regexp_extract_all(lower(regexp_replace({text}, '[“”"‘’'']', '', 'g')), '[\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]+'), ' ') || ' '"""
+
+
+@query(
+    "untraced_quotes",
+    f"""WITH q AS (SELECT doc_id, source_id, regexp_extract_all(text, '{QUOTED}', 1) AS qs FROM v_quoting),
+        u AS (SELECT doc_id, source_id, unnest(qs) AS quote, CAST(generate_subscripts(qs, 1) - 1 AS INTEGER) AS quote_no FROM q),
+        n AS (SELECT u.*, {_plain('quote')} AS plain, {_plain('d.text')} AS said FROM u JOIN documents d ON d.doc_id = u.source_id)
+        SELECT doc_id, source_id, quote_no, quote FROM n WHERE trim(plain) <> '' AND NOT contains(said, plain)""",
+    ("v_quoting",),
+)
+def untraced_quotes(t):
+    return copyq.quote_traceability(t.v_quoting, t.documents.select(F.col("doc_id").alias("source_id"), "text"))

@@ -49,13 +49,14 @@ def note_validation(t):
 
 @query(
     "backfill_gap",
-    """SELECT CAST(year(date_published) AS INTEGER) AS year, count(*) AS items FROM v_content WHERE platform='Instagram'
-       AND date_published > (SELECT max(date_published) FROM v_content WHERE platform='X' AND year(date_published) < 1997) GROUP BY 1""",
+    """SELECT c.theme_topic, c.format, CAST(year(date_published) AS INTEGER) AS year, count(*) AS items FROM v_content c
+       LEFT JOIN (SELECT theme_topic, format, max(date_published) AS last FROM v_content WHERE platform='X' GROUP BY 1,2) x ON x.theme_topic = c.theme_topic AND x.format = c.format
+       WHERE platform='Instagram' AND (last IS NULL OR date_published > last) GROUP BY 1,2,3""",
     C,
 )
 def backfill_gap(t):
     c = t.v_content.withColumn("posted", F.col("date_published"))
-    return ops.backfill_gap(c.filter("platform = 'Instagram'"), c.filter("platform = 'X' AND year(posted) < 1997"))
+    return ops.backfill_gap(c.filter("platform = 'Instagram'"), c.filter("platform = 'X'"), ("theme_topic", "format"))
 
 
 EXCLUDE = r"""WITH f AS (SELECT trim(caption) AS cap, arg_min(content_id, (date_published, content_no)) AS first, count(*) AS n FROM v_content WHERE trim(coalesce(caption,'')) <> '' GROUP BY 1 HAVING count(*) > 1),
@@ -90,23 +91,22 @@ def backfill_schedule(t):
 
 @query(
     "backfill_verify",
-    """SELECT CASE WHEN b.content_id IS NULL THEN 'missing' WHEN a.content_id IS NULL THEN 'unexpected' ELSE 'matched' END AS state, count(*) AS n
-       FROM (SELECT content_id FROM v_content WHERE status <> 'concept') a FULL OUTER JOIN (SELECT content_id FROM v_content WHERE hour_published > 0) b ON a.content_id = b.content_id GROUP BY 1""",
+    f"""{EXCLUDE} SELECT CASE WHEN b.content_id IS NULL THEN 'missing' WHEN k.content_id IS NULL THEN 'unexpected' ELSE 'matched' END AS state, count(*) AS n
+       FROM (SELECT content_id FROM a WHERE action = 'keep') k FULL OUTER JOIN (SELECT content_id FROM v_content WHERE status IN ('scheduled', 'published')) b ON k.content_id = b.content_id GROUP BY 1""",
     C,
 )
 def backfill_verify(t):
-    c = t.v_content
-    return ops.backfill_verify(c.filter("status <> 'concept'"), c.filter("hour_published > 0"))
+    return ops.backfill_verify(_excluded(t).filter("action = 'keep'"), t.v_content.filter("status IN ('scheduled', 'published')"))
 
 
 @query(
     "cadence_gaps",
-    """SELECT platform, CAST(d AS DATE) AS day FROM (SELECT platform, unnest(generate_series(min(date_published), max(date_published), INTERVAL 1 DAY)) AS d FROM v_content WHERE theme_topic='1-URGENT' GROUP BY 1) s
-       WHERE NOT EXISTS (SELECT 1 FROM v_content c WHERE c.platform = s.platform AND c.date_published = s.d AND c.theme_topic='1-URGENT')""",
+    """SELECT platform, theme_topic, CAST(d AS DATE) AS day FROM (SELECT platform, theme_topic, unnest(generate_series(min(date_published), max(date_published), INTERVAL 1 DAY)) AS d FROM v_content GROUP BY 1,2) s
+       WHERE NOT EXISTS (SELECT 1 FROM v_content c WHERE c.platform = s.platform AND c.date_published = s.d AND c.theme_topic = s.theme_topic)""",
     C,
 )
 def cadence_gaps(t):
-    return ops.cadence_gaps(t.v_content.filter("theme_topic = '1-URGENT'"))
+    return ops.cadence_gaps(t.v_content, ("platform", "theme_topic"))
 
 
 @query(

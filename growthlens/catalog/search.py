@@ -206,7 +206,7 @@ def pattern_demand(t):
 
 @query(
     "capped_rows",
-    """SELECT * FROM v_search QUALIFY row_number() OVER (PARTITION BY country ORDER BY clicks DESC, impressions DESC, query, page, device, date, position) <= 100""",
+    """SELECT *, (row_number() OVER (PARTITION BY country ORDER BY clicks DESC, impressions DESC, query, page, device, date, position) - 1) // 100 + 1 AS window_no FROM v_search""",
     S,
 )
 def capped_rows(t):

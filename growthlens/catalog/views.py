@@ -150,6 +150,19 @@ SELECT l_orderkey AS deal_id, CAST(l_shipdate AS DATE) AS changed_on, (l_linenum
     "v_ideas": """
 SELECT p_partkey AS idea_id, CAST(p_size%10+1 AS INT) AS impact, CAST(p_partkey%10+1 AS INT) AS fit, CAST((p_partkey*7)%10+1 AS INT) AS search_potential,
   CAST((p_size*3)%10+1 AS INT) AS resources, p_brand AS theme FROM part""",
+    "v_records": """
+SELECT o_orderkey AS record_id, concat('directory',o_orderkey%5) AS directory,
+  CASE WHEN o_orderkey%7<>0 THEN concat(CASE WHEN o_orderkey%2=0 THEN 'Studio ' ELSE 'STUDIO-' END,CAST(floor(o_custkey/4) AS BIGINT),CASE WHEN o_orderkey%3=0 THEN '.' ELSE '' END) END AS name,
+  CASE WHEN o_orderkey%5<>0 THEN concat(CASE WHEN o_orderkey%2=0 THEN '+1 (555) ' ELSE '555-' END,1000000+CAST(floor(o_custkey/6) AS BIGINT)) END AS phone,
+  concat(o_custkey%50,' Main Street') AS address, o_orderpriority AS category,
+  concat('https://directory',o_orderkey%5,'.example.com/',o_orderkey) AS url,
+  CASE WHEN o_orderkey%9=0 THEN concat('https://profiles.example.com/',CAST(floor(o_custkey/10) AS BIGINT),'/') END AS same_url
+FROM orders""",
+    "v_quoting": """
+SELECT d.doc_id, s.doc_id AS source_id, concat('They said ',chr(34),CASE d.doc_id%4 WHEN 0 THEN upper(regexp_extract(replace(s.text,chr(34),''),'[A-Za-z]+ [A-Za-z]+ [A-Za-z]+ [A-Za-z]+',0))
+    WHEN 1 THEN substr(replace(s.text,chr(34),''),CAST(d.doc_id%50+1 AS INT),60) WHEN 2 THEN regexp_extract(s.text,'[A-Za-z]+ [A-Za-z]+',0) ELSE 'we never said it' END,
+  chr(34),' and ',chr(34),substr(replace(d.text,chr(34),' '),1,30),chr(34),'.') AS text
+FROM documents d JOIN documents s ON s.doc_id=(d.doc_id*7+3)%(SELECT count(*) FROM documents)""",
     "v_copy": """
 SELECT doc_id, concat(
   CASE WHEN doc_id%6=0 THEN concat('---',chr(10),'title: robust delve',chr(10),'---',chr(10)) ELSE '' END,

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text, urls
 from ..functions.numbers import ratio
+from ..plans import ranges
 from ..plans.groups import unroll
 
 NEAR_CHARS = 300
@@ -223,17 +224,16 @@ def figures_to_check(figures: DataFrame) -> DataFrame:
 
 
 def call_plan(prompts: DataFrame, engines: list[str], runs: int, max_calls: int) -> DataFrame:
-    """Planned questions in the order prompt, run, engine, cut to the call budget.
+    """All planned questions, numbered in the order prompt, run, engine; ``in_budget`` marks those that the call budget pays for.
 
-    Only the prompts that fit the budget are kept before they are multiplied.
+    Prompts are numbered before they are multiplied, in ranges of the data.
     """
-    per_prompt = runs * len(engines)
-    needed = -(-max_calls // per_prompt)
-    first = prompts.orderBy("prompt_pos").limit(needed)
-    calls = first.select(
-        "prompt_id", "prompt_pos", "kind", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run")
-    ).select("*", F.posexplode(F.array(*[F.lit(e) for e in engines])).alias("engine_no", "engine"))
-    return calls.orderBy("prompt_pos", "run", "engine_no").limit(max_calls)
+    first = ranges.numbered(prompts.select("prompt_id", "prompt_pos", "kind"), [], ["prompt_pos", "prompt_id"], "__no")
+    calls = first.select("*", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run")).select(
+        "*", F.posexplode(F.array(*[F.lit(e) for e in engines])).alias("engine_no", "engine")
+    )
+    number = ((F.col("__no") - 1) * runs + F.col("run") - 1) * len(engines) + F.col("engine_no") + 1
+    return calls.withColumn("call_no", number.cast("bigint")).withColumn("in_budget", F.col("call_no") <= max_calls).drop("__no")
 
 
 def ai_delta(prev: DataFrame, curr: DataFrame) -> DataFrame:

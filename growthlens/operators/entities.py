@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixed, urls
-from ..plans.groups import listed, stitched_list
+from ..plans.components import components
+from ..plans.groups import listed, stitched_list, unroll
+from ..session import cut_lineage
 
 LISTED_IDS = 50
 
@@ -143,14 +145,59 @@ def lists_sitemap(robots: DataFrame) -> DataFrame:
     return robots.select("site", F.col("text").rlike(r"(?im)^\s*sitemap\s*:\s*[^\s#]").alias("lists_sitemap"))
 
 
+#: Facts of a public record that should agree in all directories.
+RECORD_FACTS = ("name", "phone", "address", "category")
+
+
+def plain_name(name) -> Column:
+    """A business name for comparison: lower case, letters and digits only; NULL when nothing is left."""
+    return F.nullif(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]+", ""), F.lit(""))
+
+
+def plain_phone(phone) -> Column:
+    """The last ten digits; NULL below seven, which name no line."""
+    digits = F.regexp_replace(phone, "[^0-9]", "")
+    return F.when(F.length(digits) >= 7, F.right(digits, F.lit(10)))
+
+
+def record_entities(records: DataFrame) -> DataFrame:
+    """``record_id, entity_id``: public records of one business, named by the smallest record id.
+
+    ``records``: record_id, directory, name, phone, address, category, url, same_as (array of urls). Two records
+    are of one business when they share a plain name, a phone, or a url that one is at or links to as sameAs, over any
+    number of steps. A shared key links its records to the smallest of them, so a key that a third of all records
+    share brings one edge a record. Records without any key are businesses of their own; NULL ids take no part.
+    """
+    rows = records.filter("record_id IS NOT NULL")
+    linked = F.transform(F.concat(F.array("url"), F.coalesce("same_as", F.array().cast("array<string>"))), urls.url_key)
+    keys = F.array_distinct(F.array_compact(F.concat(
+        F.array(F.concat(F.lit("n:"), plain_name(F.col("name"))), F.concat(F.lit("p:"), plain_phone(F.col("phone")))),
+        F.transform(F.filter(linked, lambda u: u.isNotNull() & (u != "")), lambda u: F.concat(F.lit("u:"), u)),
+    )))
+    held = cut_lineage(unroll(rows, ["record_id"], keys, "k"))
+    first = held.groupBy("k").agg(F.min("record_id").alias("b"))
+    roots = components(held.join(first, "k").select(F.col("record_id").alias("a"), "b"))
+    ids = rows.select("record_id").distinct().join(roots.withColumnRenamed("id", "record_id"), "record_id", "left")
+    return ids.select("record_id", F.coalesce("root", "record_id").alias("entity_id"))
+
+
 def entity_conflicts(records: DataFrame) -> DataFrame:
-    """Public records of a business: ``site, directory, name, address, category``."""
-    return records.groupBy("site").agg(
-        F.countDistinct("address").alias("addresses"),
-        F.countDistinct("category").alias("categories"),
-        F.countDistinct("name").alias("names"),
-        F.countDistinct("directory").alias("directories"),
-    )
+    """Businesses whose records disagree: ``entity_id, records, directories, names, phones, addresses, categories, conflicts``.
+
+    Records as in ``record_entities``. Names and phones are compared in their plain form, addresses and categories in lower
+    case without outer blanks; a missing fact is no conflict. ``conflicts`` lists the facts with more than one value.
+    """
+    plain = {"name": plain_name(F.col("name")), "phone": plain_phone(F.col("phone"))}
+    plain |= {c: F.nullif(F.lower(F.trim(F.col(c))), F.lit("")) for c in ("address", "category")}
+    facts = records.select("record_id", "directory", *[plain[c].alias(c) for c in RECORD_FACTS]).join(record_entities(records), "record_id")
+    # one row per value first, so a business with very many records is counted map side
+    values = F.array(F.struct(F.lit("record").alias("f"), F.col("record_id").cast("string").alias("v")),
+                     *[F.struct(F.lit(c).alias("f"), F.col(c).alias("v")) for c in ("directory", *RECORD_FACTS)])
+    each = facts.select("entity_id", F.inline(values)).filter("v IS NOT NULL").distinct()
+    names = {"record": "records", "directory": "directories", "name": "names", "phone": "phones", "address": "addresses", "category": "categories"}
+    per = each.groupBy("entity_id").agg(*[F.count_if(F.col("f") == c).alias(n) for c, n in names.items()])
+    conflicts = F.array_compact(F.array(*[F.when(F.col(names[c]) > 1, F.lit(c)) for c in RECORD_FACTS]))
+    return per.withColumn("conflicts", F.array_join(conflicts, ",")).filter("conflicts <> ''")
 
 
 def missing_same_as(profiles: DataFrame, same_as: DataFrame) -> DataFrame:

@@ -68,10 +68,15 @@ def note_validation(notes: DataFrame, required=fixed.NOTE_REQUIRED) -> DataFrame
     return unroll(notes, ["content_id"], F.filter(F.array(*checks), lambda x: x.isNotNull()), "violation")
 
 
-def backfill_gap(catalogue: DataFrame, target: DataFrame) -> DataFrame:
-    """Catalogue items newer than the target's last post, per year. Column ``posted`` is a date."""
-    last = target.agg(F.max("posted")).scalar()
-    return catalogue.filter(F.col("posted") > last).groupBy(F.year("posted").alias("year")).agg(F.count("*").alias("items"))
+def backfill_gap(catalogue: DataFrame, target: DataFrame, keys: list[str] | tuple = ()) -> DataFrame:
+    """Catalogue items newer than the target's last post, per ``keys`` and year. Column ``posted`` is a date.
+
+    What the target never posted about is a gap from the first item on.
+    """
+    last = target.groupBy(*keys).agg(F.max("posted").alias("__last"))
+    items = catalogue.join(last, list(keys), "left") if keys else catalogue.withColumn("__last", last.select("__last").scalar())
+    newer = items.filter("__last IS NULL OR posted > __last")
+    return newer.groupBy(*keys, F.year("posted").alias("year")).agg(F.count("*").alias("items"))
 
 
 # Caption patterns of the exclusion passes.
@@ -163,12 +168,12 @@ def backfill_verify(manifest: DataFrame, scheduled: DataFrame, key: str = "conte
     return j.groupBy(kind.alias("state")).agg(F.count("*").alias("n"))
 
 
-def cadence_gaps(posts: DataFrame) -> DataFrame:
-    """Days without a post per platform between its first and last post."""
-    days = posts.groupBy("platform", F.col("date_published").alias("day")).agg(F.count("*").alias("n"))
-    span = days.groupBy("platform").agg(F.min("day").alias("a"), F.max("day").alias("b"))
-    every = span.select("platform", F.explode(F.sequence("a", "b")).alias("day"))
-    return every.join(days, ["platform", "day"], "left_anti")
+def cadence_gaps(posts: DataFrame, keys: tuple[str, ...] = ("platform",)) -> DataFrame:
+    """Days without a post per ``keys`` between the first and last post of the same."""
+    days = posts.groupBy(*keys, F.col("date_published").alias("day")).agg(F.count("*").alias("n"))
+    span = days.groupBy(*keys).agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    every = span.select(*keys, F.explode(F.sequence("a", "b")).alias("day"))
+    return every.join(days, [*keys, "day"], "left_anti")
 
 
 def cadence(posts: DataFrame, planned_per_week: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text, urls
 from ..functions.numbers import ratio, weighted_position
-from ..plans.groups import first_n
+from ..plans.ranges import numbered
 
 WINDOW_DAYS, WINDOW_LAG = 28, 3
 ROW_CAP, INFO_CAP = 25_000, 20
@@ -267,8 +267,9 @@ def new_domains_by_month(ref_domains: DataFrame) -> DataFrame:
 
 
 def capped_rows(rows: DataFrame, keys: list[str], order: list, cap: int = ROW_CAP) -> DataFrame:
-    """The API row window: the first ``cap`` rows per property in a fixed order (a report limit)."""
-    return first_n(rows, keys, order, cap)
+    """All rows with ``window_no`` (from 1): the API row window of ``cap`` rows per property, in a fixed order, that holds them."""
+    found = numbered(rows, keys, order, "window_no")
+    return found.withColumn("window_no", F.expr(f"(window_no - 1) div {cap} + 1"))
 
 
 def info_sample(site: str, pages: DataFrame, cap: int = INFO_CAP) -> DataFrame:
