@@ -1,8 +1,8 @@
 """Line dedup: DataFrame functions only.
 
-``remove_repeated_passages`` slides over every two neighbouring lines, so a passage of two lines or
-more is found whole, whatever stands around it. Two pairs of lines are equal when the SHA-256 of
-their bytes is; the first occurrence stays, the others go.
+``remove_repeated_passages`` moves a rolling hash over the hashes of every two neighbouring lines, so a passage of two lines or
+more is found whole, whatever stands around it. Where a passage begins and ends hangs on its content alone: as far as the
+hashes agree with one earlier place. Passages are compared with that place byte by byte; the first occurrence stays, the others go.
 
 ``remove_repeated_chunks`` is the coarser form: a rolling hash over the hashes of neighbouring lines
 decides where a chunk of lines ends. Chunks of several lines that occur more than once anywhere are compared
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.groups import unroll_with_pos
+from ..plans.groups import unroll, unroll_with_pos
 from ..session import cut_lineage
 
 #: Lines under the rolling hash, its modulus (mean lines of a chunk), least lines and least words
@@ -94,46 +94,91 @@ def remove_repeated_chunks(
 
 
 def line_pairs(docs: DataFrame) -> DataFrame:
-    """``k, th, pos, d, w0, w1``: digest and words of lines ``pos`` and ``pos + 1`` (from 0) of every text."""
+    """``k, th, pos, d, w0, w1``: rolling hash and words of lines ``pos`` and ``pos + 1`` (from 0) of every text.
+
+    The rolling hash runs over the hashes of the lines: moving on by a line takes the next line's hash in and lets the oldest one go.
+    """
     lines = docs.withColumn("th", F.xxhash64("text")).withColumn("_l", F.split("text", "\n"))
-    lines = lines.withColumn("_w", F.transform("_l", lambda x: F.regexp_count(x, F.lit(r"\S+"))))
+    each = lambda x: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(r"\S+")).alias("w"))
+    lines = lines.withColumn("_h", F.transform("_l", each))
     pair = lambda x, i: F.struct(
-        F.unhex(F.sha2(F.concat_ws("\n", x, F.get("_l", i + 1)), 256)).alias("d"), F.get("_w", i).alias("w0"), F.get("_w", i + 1).alias("w1")
+        F.xxhash64(x["h"], F.get("_h", i + 1)["h"]).alias("d"), x["w"].alias("w0"), F.get("_h", i + 1)["w"].alias("w1")
     )
-    items = F.transform(F.slice("_l", F.lit(1), F.size("_l") - 1), pair)
+    items = F.transform(F.slice("_h", F.lit(1), F.size("_h") - 1), pair)
     return unroll_with_pos(lines.filter("text IS NOT NULL"), ["k", "th"], items, "pos", "p").select("k", "th", "pos", "p.*")
 
 
-def remove_repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with ``text`` freed of repeated passages, plus ``n_lines``, ``n_removed`` (lines).
+def repeated_runs(pairs: DataFrame) -> DataFrame:
+    """Candidates: runs of lines of which every two neighbours stand, in the same order, at one and the same earlier place.
 
-    Texts are cut at ``\\n``. A passage is a run of two lines or more, ``least_words`` words in all, of which
-    every two neighbouring lines also stand, as neighbours, at a smaller (key, position). Its lines go; but
-    the first occurrence of two lines that occur again stays whole, so whatever goes is still there to
-    read. Rows keep all other columns, but for ``n_lines`` and ``n_removed``, which give way to these. Repeated rows (equal key and text) count once and are treated
-    alike. NULL texts stay NULL with 0 lines; a text that goes entirely becomes empty; rows with a NULL
-    key keep their text but count as no occurrence. Digests are shuffled for the count, and one more shuffle
-    brings the lists of removed lines to their texts. Both joins are asked to shuffle, so the plan is
-    one and the same at every size.
+    ``k, th, _a`` (first line), ``n`` (lines after it), ``_at`` (lines that may go), ``_words`` and ``_lines`` (what the run
+    has for itself), ``k0, th0, p``: the earlier place. A run ends where the next two lines have their first occurrence
+    elsewhere. Runs do not overlap: the line on which two meet belongs to the first of them. Lines of the first occurrence of
+    two lines that occur again are never among ``_at``.
     """
-    pairs = line_pairs(docs.select(F.col(key).alias("k"), F.col(text).alias("text")).filter("k IS NOT NULL"))
     place = F.struct("k", "th", "pos")
-    # places per pair, counted with map-side combination
+    # places per hash, counted with map-side combination
     seen = pairs.select("d", place.alias("p")).groupBy("d").agg(F.min("p").alias("p0"), F.max("p").alias("p1"))
     twice = cut_lineage(seen.filter("p0 <> p1").select("d", "p0"))
-    again = pairs.join(twice.hint("merge"), "d").select("k", "th", "pos", "w0", "w1", (place == F.col("p0")).alias("first")).distinct()
+    again = pairs.join(twice.hint("merge"), "d").select("k", "th", "pos", "w0", "w1", "p0", (place == F.col("p0")).alias("first")).distinct()
     # all that follows works within one text
     own = Window.partitionBy("k", "th").orderBy("pos")
     near = lambda f, off: F.coalesce((f("pos").over(own) == F.col("pos") + off) & f("first").over(own), F.lit(False))
     again = again.withColumn("_stays0", near(F.lag, -1)).withColumn("_stays1", near(F.lead, 1)).filter("NOT first")
-    again = again.withColumn("_run", F.col("pos") - F.row_number().over(own))
+    again = again.withColumn("_from", F.struct("p0.k", "p0.th", (F.col("p0.pos") - F.col("pos")).alias("off")))
+    meets = F.coalesce(F.lag("pos").over(own) == F.col("pos") - 1, F.lit(False))
+    goes_on = meets & F.coalesce(F.lag("_from").over(own) == F.col("_from"), F.lit(False))
+    again = again.withColumn("_meets", meets).withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(own))
     none = F.array().cast("array<int>")
-    at = F.concat(F.when(F.col("_stays0"), none).otherwise(F.array("pos")), F.when(F.col("_stays1"), none).otherwise(F.array(F.col("pos") + 1)))
+    given = F.col("_stays0") | (F.col("_meets") & (F.col("_new") == 1))
+    at = F.concat(F.when(given, none).otherwise(F.array("pos")), F.when(F.col("_stays1"), none).otherwise(F.array(F.col("pos") + 1)))
+    head = F.struct("_meets", "w0", "p0")
     runs = again.withColumn("_at", at).groupBy("k", "th", "_run").agg(
-        (F.sum("w0") + F.max_by("w1", "pos")).alias("_words"), F.flatten(F.collect_list("_at")).alias("_at")
-    )
-    lists = runs.filter(F.col("_words") >= least_words).groupBy("k", "th").agg(F.flatten(F.collect_list("_at")).alias("_at"))
-    lists = cut_lineage(lists.select("k", "th", F.array_sort(F.array_distinct("_at")).alias("_gone")).filter(F.size("_gone") > 0))
+        F.min("pos").alias("_a"), F.count("*").cast("int").alias("n"), F.min_by(head, "pos").alias("_head"),
+        (F.sum("w0") + F.max_by("w1", "pos")).alias("_all"), F.flatten(F.collect_list("_at")).alias("_at"),
+    )
+    met = F.col("_head._meets")
+    return runs.select(
+        "k", "th", "_a", "n", F.array_distinct("_at").alias("_at"),
+        (F.col("_all") - F.when(met, F.col("_head.w0")).otherwise(0)).alias("_words"), (F.col("n") + 1 - met.cast("int")).alias("_lines"),
+        F.col("_head.p0.k").alias("k0"), F.col("_head.p0.th").alias("th0"), F.col("_head.p0.pos").alias("p"),
+    )
+
+
+def equal_bytes(runs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The ``runs`` whose lines are, byte by byte, those of their earlier place. ``texts``: k, text.
+
+    Runs with one earlier place and length are one group, and that place is in it too; a group with one text only is equal.
+    A group with several, which is a collision of hashes, stays as it is. Equal texts meet in the map task already.
+    """
+    group = ["k0", "th0", "p", "n"]
+    asked = runs.select("k", "th", F.struct(F.col("_a").alias("a"), *group).alias("g"))
+    there = runs.select(*group).distinct().select(F.col("k0").alias("k"), F.col("th0").alias("th"), F.struct(F.col("p").alias("a"), *group).alias("g"))
+    # the runs of one text, and the places in it that others refer to
+    asked = cut_lineage(asked.unionByName(there).distinct().groupBy("k", "th").agg(F.collect_list("g").alias("_g")))
+    rows = texts.withColumn("th", F.xxhash64("text")).join(asked.hint("merge"), ["k", "th"])
+    each = unroll(rows.select(F.split("text", "\n").alias("_l"), "_g"), ["_l"], F.col("_g"), "g")
+    parts = each.select("g.*", F.array_join(F.slice("_l", F.col("g.a") + 1, F.col("g.n") + 1), "\n").alias("c"))
+    equal = parts.select(*group, "c").distinct().groupBy(*group).agg(F.count("*").alias("texts")).filter("texts = 1")
+    return runs.join(equal.hint("merge"), group, "left_semi")
+
+
+def remove_repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """``docs`` with ``text`` freed of repeated passages, plus ``n_lines``, ``n_removed`` (lines).
+
+    Texts are cut at ``\\n``. A passage is a run of two lines or more, ``least_words`` words in all, that stands as a whole at one
+    smaller (key, position): rolling hashes of neighbouring lines find it (``repeated_runs``), its bytes are compared
+    with those of that place (``equal_bytes``). Its lines go; but the first occurrence of two lines that occur again stays
+    whole, so whatever goes is still there to read. Rows keep all other columns, but for ``n_lines`` and ``n_removed``, which give
+    way to these. Repeated rows (equal key and text) count once and are treated alike. NULL texts stay NULL with 0 lines; a
+    text that goes entirely becomes empty; rows with a NULL key keep their text but count as no occurrence. Hashes are shuffled for
+    the count, texts once for the comparison and once for the lists of removed lines. The joins are asked to shuffle, so the
+    plan is one and the same at every size.
+    """
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).filter("k IS NOT NULL")
+    runs = cut_lineage(repeated_runs(line_pairs(texts)).filter((F.col("_words") >= least_words) & (F.col("_lines") >= 2) & (F.size("_at") > 0)))
+    lists = equal_bytes(runs, texts).groupBy("k", "th").agg(F.flatten(F.collect_list("_at")).alias("_at"))
+    lists = cut_lineage(lists.select("k", "th", F.array_sort(F.array_distinct("_at")).alias("_gone")))
     # a document's columns travel as one, so that no name of theirs meets a working column
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
     rows = docs.select(others.alias("_doc"), F.col(key).alias("_k"), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_th")).join(
