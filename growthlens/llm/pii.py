@@ -1,10 +1,10 @@
 """Personal data: spans by pattern, and terms that give a protected value away.
 
-Emails, addresses, cards and phones are found by pattern. Then the corpus decides which terms of the
-texts with such a value disclose it: with pointwise mutual information PMI(t; e) between term and
-value over whole texts and the value's own information IC(e) = log(N / rows of e), a term whose PMI
-reaches ``SHARE`` of IC(e) tells nearly as much as the value itself, so it is generalised like the
-value wherever it stands.
+Emails, addresses, cards and phones are found by pattern. Then the corpus decides which terms disclose whom a value belongs to.
+What is protected is the value's general form: the mail domain, the address block, the card's issuer, the phone's area. With
+the form's information IC(e) = -log2(rows of e / N) and pointwise mutual information PMI(t; e) between term and form over whole texts,
+IC(e) - PMI(t; e) = -log2(rows with both / rows of t) is what the term leaves untold. A term that leaves at most ``LEFT`` bits, with
+``DOUBT`` standard errors of doubt, tells nearly as much as the value itself and is generalised like it wherever it stands.
 """
 
 from __future__ import annotations
@@ -24,9 +24,9 @@ from .common import ship_by_value
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone")
-#: Least number of different texts that hold both value and term, share of the value's information
-#: from which a term is disclosing.
-LEAST_TEXTS, SHARE = 3, 0.9
+#: Bits of a protected form's information that a disclosing term may leave untold, and standard errors by which its rate must
+#: lie above that bound. A term of a single row, which leads to one text only, just meets the bound.
+LEFT, DOUBT = 1.0, 1.0
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -105,45 +105,61 @@ def terms_of(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str
             yield term, x, x + len(word)
 
 
-def term_set(text: str, spans: list[tuple[int, int, int]]) -> set[int]:
-    """Hashes of the text's terms."""
-    if spans:
-        return {hash64(t.encode()) for t in {t for t, _, _ in terms_of(text, spans)}}
+def general(kind: int, value: str) -> str:
+    """What a value is one of: mail domain, address block of the first two parts, first six card digits, phone number without its last six digits."""
+    if kind == 0:
+        return value.rpartition("@")[2].lower()
+    if kind == 1:
+        return ".".join(str(int(p)) for p in value.split(".")[:2])
+    digits = "".join(_DIGITS.findall(value))
+    return digits[:6] if kind == 2 else digits[:-6]
+
+
+def term_set(text: str) -> set[int]:
+    """Hashes of the terms of a text without spans."""
     return {hash64(t.encode()) for t in {w.strip(_AROUND_WORDS).lower() for w in set(_WORD.findall(text))} if len(t) >= 3}
 
 
-_FOUND = ("row_id bigint, text_hash bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, "
-          "base string, held array<bigint>, terms array<bigint>, term bigint, df bigint")
-_HASHES = pa.list_(pa.int64())
-_SCHEMA = pa.schema([("row_id", pa.int64()), ("text_hash", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()),
-                     ("base", pa.string()), ("held", _HASHES), ("terms", _HASHES), ("term", pa.int64()), ("df", pa.int64())])
+_COUNTED = [("row_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("base", pa.string()),
+            ("held", pa.list_(pa.int64())), ("t", pa.list_(pa.int64())), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())),
+            ("term", pa.int64()), ("df", pa.int64())]
+_FOUND = ("row_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base string, "
+          "held array<bigint>, t array<bigint>, a array<int>, b array<int>, term bigint, df bigint")
 #: Distinct terms that a task counts before it hands them over.
 FLUSH = 400_000
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of every text, values and terms of a text with values; besides, in how many rows each term stands."""
+    """Spans of every text ``row_id, text, doc_id``; forms and places of the terms of a text with values; besides, in how many rows each term stands."""
     counts: Counter = Counter()
+    schema = None
 
     def handed_over() -> pa.RecordBatch:
-        cols = [pa.nulls(len(counts), f.type) for f in list(_SCHEMA)[:-2]]
-        out = pa.RecordBatch.from_arrays([*cols, pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], schema=_SCHEMA)
+        cols = [pa.nulls(len(counts), f.type) for f in schema]
+        cols[-3:-1] = [pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())]
         counts.clear()
-        return out
+        return pa.RecordBatch.from_arrays(cols, schema=schema)
 
     for batch in batches:
+        schema = pa.schema([*_COUNTED, ("doc_id", batch.schema.field(2).type)])
         rows = []
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
             t = t.as_py() or ""
             spans = base_spans(t)
             named = listed(spans)
-            terms = term_set(t, spans)
-            held = [*{hash64(f"{KINDS[k]}:{t[a:b].lower()}".encode()) for a, k, b in spans}]
+            held, places = None, (None, None, None)
+            if spans:
+                held = [*{hash64(f"{KINDS[k]}:{general(k, t[a:b])}".encode()) for a, k, b in spans}]
+                known: dict[str, int] = {}
+                found = [(known.get(w) or known.setdefault(w, hash64(w.encode())), a, b) for w, a, b in terms_of(t, spans)]
+                places = tuple(map(list, zip(*found))) if found else ([], [], [])
+                counts.update(set(places[0]))
+            else:
+                counts.update(term_set(t))
             per = Counter(k for _, k, _ in spans)
-            rows.append((i, hash64(t.encode()), *[per[k] for k in range(4)], hashlib.sha256(named.encode()).hexdigest(), named, held or None, [*terms] if held else None, None, None))
-            counts.update(terms)
+            rows.append((i, *[per[k] for k in range(4)], hashlib.sha256(named.encode()).hexdigest(), named, held, *places, None, None))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
+            yield pa.RecordBatch.from_arrays([*[pa.array(x, f[1]) for x, f in zip(zip(*rows), _COUNTED)], batch.column(2)], schema=schema)
         if len(counts) > FLUSH:
             yield handed_over()
     if counts:
@@ -151,22 +167,19 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``e, t, co, texts`` of different texts ``n, es, terms``: rows and texts that hold both, summed up in the task."""
-    both: dict[tuple[int, int], list[int]] = {}
+    """``e, t, co`` of rows ``held, t``: rows that hold both, summed up in the task."""
+    both: Counter = Counter()
 
     def handed_over() -> pa.RecordBatch:
-        cols = [*zip(*both), *zip(*both.values())]
+        cols = [*zip(*both), list(both.values())]
         both.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["e", "t", "co", "texts"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["e", "t", "co"])
 
     for batch in batches:
-        for n, es, terms in zip(*(batch.column(i) for i in range(3))):
-            n, terms = n.as_py(), terms.as_py()
+        for es, terms in zip(batch.column(0), batch.column(1)):
+            terms = set(terms.as_py())
             for e in es.as_py():
-                for t in terms:
-                    c = both.setdefault((e, t), [0, 0])
-                    c[0] += n
-                    c[1] += 1
+                both.update((e, t) for t in terms)
                 if len(both) > FLUSH:
                     yield handed_over()
     if both:
@@ -178,20 +191,22 @@ MAP_BITS = 1 << 23
 
 
 def _marks(bits: bytes):
-    """Where the terms stand whose bit is set: ``row_id, t, a, b``."""
+    """Where the terms stand whose bit is set, in texts without base spans: ``row_id, t, a, b``."""
+
+    def asked(word: str) -> bool:
+        term = word.strip(_AROUND_WORDS).lower()
+        at = hash64(term.encode()) % MAP_BITS
+        return len(term) >= 3 and bool(bits[at >> 3] >> (at & 7) & 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, known = [], {}
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 t = t.as_py() or ""
-                for term, a, b in terms_of(t, base_spans(t)):
-                    h = known.get(term)
-                    if h is None:
-                        h = known[term] = hash64(term.encode())
-                    at = h % MAP_BITS
-                    if bits[at >> 3] >> (at & 7) & 1:
-                        rows.append((i, h, a, b))
+                words = set(_WORD.findall(t))
+                known.update((w, asked(w)) for w in words if w not in known)
+                if any(map(known.__getitem__, words)) and not base_spans(t):
+                    rows += [(i, hash64(term.encode()), a, b) for term, a, b in terms_of(t, []) if asked(term)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["row_id", "t", "a", "b"])
 
@@ -225,35 +240,34 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     ``spans`` lists ``kind:start:end`` (code points, end exclusive), base kinds and disclosing ``term``s:
     every word of every text that is one, except within a base span. NULL texts count as empty: no
-    spans. NULL keys and repeated rows are kept as they are. A value seen in fewer than ``LEAST_TEXTS``
-    different texts discloses through no term, however often its text is copied. Counts are exact and
-    cover all rows; texts themselves are never shuffled.
+    spans. NULL keys and repeated rows are kept as they are. Counts are of rows, exact, and cover all of them, so copies of a
+    text count as often as they stand there. Texts themselves are never shuffled. The terms of rows with a value are found with the value
+    and looked up by term; the texts without one are read once more, for those terms alone that also stand outside.
     """
     src = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     rows = src.select(F.xxhash64("doc_id", "text").alias("row_id"), "text", "doc_id")
-    found = cut_lineage(rows.select("row_id", "text").mapInArrow(_find, _FOUND))
-    made = found.filter("row_id IS NOT NULL").drop("term", "df")
-    total = made.count()
-    # every different text once, with its number of rows
-    texts = cut_lineage(made.filter("held IS NOT NULL").groupBy("text_hash").agg(F.count("*").alias("n"), F.first("held").alias("held"), F.first("terms").alias("terms")))
-    held = texts.select("text_hash", "n", F.explode("held").alias("e"))
-    values = held.groupBy("e").agg(F.count("*").alias("texts"), F.sum("n").alias("de"))
-    values = cut_lineage(values.filter(f"texts >= {LEAST_TEXTS}").select("e", "de"))
-    often = held.join(values, "e", "left_semi").groupBy("text_hash").agg(F.collect_list("e").alias("es"))
-    both = texts.join(often, "text_hash").select("n", "es", "terms").mapInArrow(_together, "e bigint, t bigint, co bigint, texts bigint")
-    pairs = both.groupBy("e", "t").agg(F.sum("co").alias("co"), F.sum("texts").alias("texts"))
-    pairs = cut_lineage(pairs.filter(f"texts >= {LEAST_TEXTS}").select("e", "t", "co"))
-    terms = found.filter("term IS NOT NULL").select(F.col("term").alias("t"), "df").join(pairs.select("t").distinct(), "t", "left_semi")
-    terms = terms.groupBy("t").agg(F.sum("df").alias("dt"))
-    told = pairs.join(values, "e").join(terms, "t")
-    pmi = F.log(F.col("co") * F.lit(float(max(total, 1))) / (F.col("de") * F.col("dt")))
-    told = cut_lineage(told.filter(pmi >= SHARE * F.log(F.lit(float(max(total, 1))) / F.col("de"))).select("t").distinct())
-    marks = rows.select("row_id", "text").mapInArrow(_marks(_bit_map(told)), "row_id bigint, t bigint, a int, b int")
-    extra = marks.join(told, "t").groupBy("row_id").agg(F.collect_set(F.struct("a", "b")).alias("extra"))
-    ids = rows.select("row_id", "doc_id").groupBy("row_id").agg(F.min("doc_id").alias("doc_id"))
-    out = made.drop("held", "terms", "text_hash").join(extra, "row_id", "left").join(ids, "row_id")
-    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
     kind = dict(src.dtypes)["doc_id"]
+    found = cut_lineage(rows.mapInArrow(_find, f"{_FOUND}, doc_id {kind}"))
+    made = found.filter("row_id IS NOT NULL")
+    holding = made.filter("held IS NOT NULL")
+    pairs = holding.select("held", "t").mapInArrow(_together, "e bigint, t bigint, co bigint")
+    # the form that a term tells most of
+    best = cut_lineage(pairs.groupBy("e", "t").agg(F.sum("co").alias("co")).groupBy("t").agg(F.max("co").alias("co")))
+    rows_of = found.filter("term IS NOT NULL").select(F.col("term").alias("t"), "df").join(best.select("t"), "t", "left_semi")
+    rows_of = rows_of.groupBy("t").agg(F.sum("df").alias("dt"))
+    least = 2.0**-LEFT
+    rate = F.col("co").cast("double") / F.col("dt")
+    sure = (rate - least) * (rate - least) * F.col("dt") >= DOUBT * DOUBT * least * (1 - least)
+    told = cut_lineage(best.join(rows_of, "t").filter((rate >= least) & sure).select("t", (F.col("dt") > F.col("co")).alias("outside")))
+    within = holding.select("row_id", F.explode(F.arrays_zip("t", "a", "b")).alias("x")).select("row_id", "x.*")
+    bits = _bit_map(told.filter("outside").select("t"))
+    marks = within.join(told, "t", "left_semi").select("row_id", "a", "b")
+    if any(bits):
+        without = rows.select("row_id", "text").mapInArrow(_marks(bits), "row_id bigint, t bigint, a int, b int")
+        marks = marks.unionByName(without.join(told.filter("outside"), "t", "left_semi").select("row_id", "a", "b"))
+    extra = marks.groupBy("row_id").agg(F.collect_set(F.struct("a", "b")).alias("extra"))
+    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
+    out = made.select("row_id", *names, "base").join(extra, "row_id", "left")
     ddl = f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
     return out.select(*names, "base", "extra").mapInArrow(_joined, ddl).withColumnRenamed("doc_id", key)
 

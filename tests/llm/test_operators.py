@@ -188,7 +188,7 @@ def test_line_chunks_equal_brute_force(spark, docs):
 
 
 def passages_by_brute_force(rows):
-    """Texts without repeated passages: every two neighbouring lines are looked up in all texts."""
+    """Texts without repeated passages: every two neighbouring lines are looked up in all texts, and runs follow one earlier place."""
     places, gone, stays = defaultdict(list), defaultdict(set), defaultdict(set)
     texts = {(k, t): t.split("\n") for k, t in rows if k is not None and t is not None}
     for (k, t), lines in texts.items():
@@ -196,18 +196,43 @@ def passages_by_brute_force(rows):
             places[lines[p], lines[p + 1]].append((k, p, t))
     firsts = {pair: min(at) for pair, at in places.items() if len(at) > 1}
     for (k, t), lines in texts.items():
-        first = [firsts.get((lines[p], lines[p + 1])) for p in range(len(lines) - 1)]
-        again = [f is not None and f != (k, p, t) for p, f in enumerate(first)]
-        for p, f in enumerate(first):
+        runs, last = [], None
+        for p in range(len(lines) - 1):
+            f = firsts.get((lines[p], lines[p + 1]))
             if f == (k, p, t):
                 stays[k, t] |= {p, p + 1}
-        for run in re.finditer("x+", "".join(".x"[a] for a in again)):
-            span = range(run.start(), run.end() + 1)
-            if sum(len(lines[p].split()) for p in span) >= 5:
-                gone[k, t] |= {*span}
+            now = None if f is None or f == (k, p, t) else (f[0], f[2], f[1] - p)
+            if now and now == last:
+                runs[-1].append(p + 1)
+            elif now:
+                # the line on which two runs meet belongs to the first
+                runs.append([p + 1] if last else [p, p + 1])
+            last = now
+        for run in runs:
+            if len(run) > 1 and sum(len(lines[p].split()) for p in run) >= 5:
+                gone[k, t] |= {*run}
     return [(k, t if (k, t) not in texts else "\n".join(x for p, x in enumerate(texts[k, t]) if p not in gone[k, t] - stays[k, t])) for k, t in rows]
 
 
+def test_passages_stand_at_one_earlier_place(docs):
+    a, b, c, x, y = (f"line {n} of five words" for n in "abcxy")
+    rows = [(1, f"{a}\n{b}\n{x}"), (2, f"{y}\n{b}\n{c}"), (3, f"{a}\n{b}\n{c}"), (4, f"{x}\n{y}\n{a}\n{b}\n{c}")]
+    out = {r.doc_id: r.text for r in linechunks.remove_repeated_passages(docs(rows)).collect()}
+    # no text holds a, b, c before 3: what two of them leave is no passage any more
+    assert out == {1: rows[0][1], 2: rows[1][1], 3: c, 4: f"{x}\n{y}\n{c}"}
+
+
+def test_runs_with_other_bytes_stay(docs):
+    rows = [(1, "p q r s\nt u v w"), (2, "p q r s\nt u v w"), (3, "other words of\nthis text here")]
+    d = docs(rows).select(F.col("doc_id").alias("k"), "text")
+    runs = linechunks.repeated_runs(linechunks.line_pairs(d))
+    assert [(r.k, r._a, r.n, r.k0, r.p) for r in linechunks.equal_bytes(runs, d).collect()] == [(2, 0, 1, 1, 0)]
+    # as if the hashes of the third text were those of the first
+    th = {r.k: r.th for r in d.select("k", F.xxhash64("text").alias("th")).collect()}
+    feigned = runs.withColumn("k", F.lit(3).cast("bigint")).withColumn("th", F.lit(th[3]))
+    assert linechunks.equal_bytes(feigned, d).count() == 0
+
+
 def test_planted_passages_go_whole(docs):
     rng = np.random.default_rng(11)
     unlike = lambda n: [f"u{rng.integers(1 << 60)} {prose(6, rng)}" for _ in range(n)]
@@ -314,20 +339,43 @@ def test_disclosing_terms(docs):
     assert pii.find_personal_data(docs([])).count() == 0
 
 
+def disclosed_by_brute_force(rows):
+    """Terms whose pointwise mutual information with a general form leaves at most a bit of it, by one standard error."""
+    words = lambda t: {w for w, _, _ in pii.terms_of(t or "", pii.base_spans(t or ""))}
+    forms = lambda t: {(k, pii.general(k, (t or "")[a:b])) for a, k, b in pii.base_spans(t or "")}
+    texts = [(words(t), forms(t)) for _, t in rows]
+    n, of_t, of_e = len(texts), Counter(w for ws, _ in texts for w in ws), Counter(e for _, es in texts for e in es)
+    both, told = Counter((w, e) for ws, es in texts for w in ws for e in es), set()
+    for (w, e), co in both.items():
+        pmi, ic = math.log2(co * n / (of_t[w] * of_e[e])), math.log2(n / of_e[e])
+        if ic - pmi <= 1 and (2 * co - of_t[w]) ** 2 >= of_t[w]:
+            told.add(w)
+    return told
+
+
+def test_general_forms():
+    values = ["x@Mail.Example.com", "010.2.3.4", "4111 1111-1111 1111", "+1 (555) 010-9999"]
+    assert [pii.general(k, v) for k, v in enumerate(values)] == ["mail.example.com", "10.2", "411111", "15550"]
+
+
 def test_disclosing_terms_go_wherever_they_stand(docs):
     rng = np.random.default_rng(21)
     far = lambda: prose(40, rng)
-    rows = [(i, f"Zorglub, {far()} boss@corp.example.com {far()} (zorglub) {far()} zorglub") for i in range(30)]
+    rows = [(i, f"Zorglub, {far()} boss{i}@corp.example.com {far()} (zorglub) {far()} zorglub") for i in range(30)]
     rows += [(100 + i, f"{far()} today ZORGLUB\tsays {far()}") for i in range(2)] + [(200 + i, f"{far()} today says {far()}") for i in range(200)]
-    rows += [(500, "rare@x.example.org quux one"), (501, "rare@x.example.org quux two"), (502, "rare@x.example.org quux one")]
-    rows += [(510 + i, f"seen@x.example.org xyzzy {i * 1001}") for i in range(3)]
-    for r in pii.find_personal_data(docs(rows)).collect():
-        text = dict(rows)[r.doc_id]
-        spans = [(int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s) if k == "term"]
-        assert [s for s in spans if text[s[0] : s[1]].lower() == "zorglub"] == [m.span() for m in re.finditer("(?i)zorglub", text)]
-        # three different texts are enough, two are not
-        assert ("xyzzy" in {text[a:b] for a, b in spans}) == (510 <= r.doc_id) and "quux" not in {text[a:b] for a, b in spans}
-        assert "today" not in {text[a:b] for a, b in spans}
+    rows += [(500, "rare@x.example.org quux one"), (501, "rare@x.example.org quux two"), (502, "quux three"), (503, "quux four")]
+    rows += [(510, f"alone@z.example.org xyzzy {far()}"), (511, f"+1 (555) 010-9999 and 10.2.3.4 {far()} plugh"), (512, f"10.2.7.7 plugh {far()}")]
+    rows += [(520, rows[3][1])] * 3 + [(521, None), (522, ""), (None, "none@q.example.org nokey"), (None, "ny")]
+    told = disclosed_by_brute_force(rows)
+    assert {"zorglub", "xyzzy", "plugh", "nokey"} <= told and not {"quux", "today", "says"} & told
+    got, by = pii.find_personal_data(docs(rows)).collect(), dict(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id is not None:
+            text = by[r.doc_id] or ""
+            spans = [(int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s) if k == "term"]
+            assert spans == sorted((a, b) for w, a, b in pii.terms_of(text, pii.base_spans(text)) if w in told)
+    assert sum("term:" in r.spans for r in got if r.doc_id in (100, 101)) == 2
 
 
 # ------------------------------------------------------------------ 8 mixing
