@@ -149,7 +149,8 @@ def equal_bytes(runs: DataFrame, texts: DataFrame) -> DataFrame:
     """The ``runs`` whose lines are, byte by byte, those of their earlier place. ``texts``: k, text.
 
     Runs with one earlier place and length are one group, and that place is in it too; a group with one text only is equal.
-    A group with several, which is a collision of hashes, stays as it is. Equal texts meet in the map task already.
+    A group with several, which is a collision of hashes, stays as it is. Equal texts meet in the map task already, and the runs
+    are not dealt out by their earlier place, of which a third of all runs may have the same.
     """
     group = ["k0", "th0", "p", "n"]
     asked = runs.select("k", "th", F.struct(F.col("_a").alias("a"), *group).alias("g"))
@@ -159,8 +160,8 @@ def equal_bytes(runs: DataFrame, texts: DataFrame) -> DataFrame:
     rows = texts.withColumn("th", F.xxhash64("text")).join(asked.hint("merge"), ["k", "th"])
     each = unroll(rows.select(F.split("text", "\n").alias("_l"), "_g"), ["_l"], F.col("_g"), "g")
     parts = each.select("g.*", F.array_join(F.slice("_l", F.col("g.a") + 1, F.col("g.n") + 1), "\n").alias("c"))
-    equal = parts.select(*group, "c").distinct().groupBy(*group).agg(F.count("*").alias("texts")).filter("texts = 1")
-    return runs.join(equal.hint("merge"), group, "left_semi")
+    odd = cut_lineage(parts.select(*group, "c").distinct().groupBy(*group).agg(F.count("*").alias("texts")).filter("texts > 1").select(*group))
+    return runs.join(odd, group, "left_anti")
 
 
 def remove_repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
@@ -172,8 +173,8 @@ def remove_repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "
     whole, so whatever goes is still there to read. Rows keep all other columns, but for ``n_lines`` and ``n_removed``, which give
     way to these. Repeated rows (equal key and text) count once and are treated alike. NULL texts stay NULL with 0 lines; a
     text that goes entirely becomes empty; rows with a NULL key keep their text but count as no occurrence. Hashes are shuffled for
-    the count, texts once for the comparison and once for the lists of removed lines. The joins are asked to shuffle, so the
-    plan is one and the same at every size.
+    the count, texts once for the comparison and once for the lists of removed lines. The joins with
+    texts are asked to shuffle, so the plan is one and the same at every size.
     """
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).filter("k IS NOT NULL")
     runs = cut_lineage(repeated_runs(line_pairs(texts)).filter((F.col("_words") >= least_words) & (F.col("_lines") >= 2) & (F.size("_at") > 0)))
