@@ -43,24 +43,22 @@ def group_of(word: bytes) -> int:
     return FREQUENT + 1 + xxhash.xxh32_intdigest(word[-3:]) % GROUPS
 
 
-class Classes:
-    """Maps words to classes and remembers them, up to a number of words."""
+class Classes(dict):
+    """Classes of words: the frequent ones', and by groups those of all others, remembered up to a number."""
 
     def __init__(self, frequent: list[bytes]):
-        self.known = {w: i for i, w in enumerate(frequent)}
-        self.fixed = len(self.known)
+        super().__init__((w, i) for i, w in enumerate(frequent))
+        self.frequent = frequent
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+            self.update((w, i) for i, w in enumerate(self.frequent))
+        c = self[word] = group_of(word)
+        return c
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > 500_000:
-            self.known = known = dict(list(known.items())[: self.fixed])
-        out = []
-        for w in words:
-            c = known.get(w)
-            if c is None:
-                c = known[w] = group_of(w)
-            out.append(c)
-        return np.array([*out, _END], np.int32)
+        return np.array([*map(self.__getitem__, words), _END], np.int32)
 
 
 def contexts(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,44 +220,71 @@ def _averaged(made: DataFrame) -> np.ndarray | None:
     return out
 
 
+class Known(dict):
+    """Numbers of the words whose counts all tasks hold; other words are numbered as they come.
+
+    ``cls`` and ``lift`` have a row per number: the class and, for a known word, log10(c + 1).
+    """
+
+    def __init__(self, frequent: list[bytes], counts: dict[bytes, int]):
+        super().__init__((w, i) for i, w in enumerate(counts))
+        self.fixed = len(counts)
+        own = {w: i for i, w in enumerate(frequent)}
+        self.cls = [own[w] if w in own else group_of(w) for w in counts]
+        self.lift = np.log10(np.array(list(counts.values()), np.float64) + 1)
+        self.others: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        i = self[word] = len(self)
+        self.others.append(word)
+        self.cls.append(group_of(word))
+        return i
+
+    def forget(self) -> None:
+        """Drops the words that came; to be called between batches."""
+        for w in self.others:
+            del self[w]
+        self.others.clear()
+        del self.cls[self.fixed :]
+
+
 def _scored(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, known, total, distinct, ends, mass, size, prior, values, normal = sent.value
-        model, classes = Model(prior, values), Classes(frequent)
+        frequent, counts, total, distinct, ends, mass, size, prior, values, normal = sent.value
+        model, known = Model(prior, values), Known(frequent, counts)
         inside = np.log10(mass + size + 1)
-        bottom = math.log10(total + distinct + 1)
+        inside[: _END + 1] = 0
+        bottom, end_lift = math.log10(total + distinct + 1), math.log10(ends + 1)
         for batch in batches:
-            ids, n_tokens, base, score, known_n, words, times, owner = [], [], [], [], [], [], [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                w = words_of(t.as_py())
-                y = classes.of(w)
+            ids = batch.column(0).to_numpy()
+            texts = [np.fromiter(map(known.__getitem__, w), np.int64, len(w)) for t in batch.column(1) for w in [words_of(t.as_py())]]
+            cls = np.array(known.cls, np.int32)
+            n_tokens, base, score, known_n, words, times, owner = [], [], [], [], [], [], []
+            for i, at in zip(ids, texts):
+                y = np.append(cls[at], np.int32(_END))
                 w1, w2 = contexts(y)
-                s = float(model.log_probs(w1, w2, y, normal).sum()) / math.log(10)
-                s -= float(inside[y[y > _END]].sum())
-                per, b, k = Counter(w), math.log10(ends + 1), int(ends > 0)
-                for word, n in per.items():
-                    c = known.get(word)
-                    if c is None:  # looked up in the whole table of counts
-                        owner.append(i)
-                        words.append(word)
-                        times.append(n)
-                    else:
-                        lift = n * math.log10(c + 1)
-                        b += lift
-                        k += n
-                        s += lift if word not in classes.known or classes.known[word] > _END else 0.0
-                ids.append(i)
+                s = float(model.log_probs(w1, w2, y, normal).sum()) / math.log(10) - float(inside[y].sum())
+                here = at[at < known.fixed]
+                lift = known.lift[here]
+                s += float(lift[cls[here] > _END].sum())
+                if len(here) < len(at):  # looked up in the whole table of counts
+                    other, n = np.unique(at[at >= known.fixed], return_counts=True)
+                    owner.append(np.full(len(other), i))
+                    words.append(other - known.fixed)
+                    times.append(n)
                 n_tokens.append(len(y))
-                base.append(b - len(y) * bottom)
+                base.append(float(lift.sum()) + end_lift - len(y) * bottom)
                 score.append(s)
-                known_n.append(k)
-            n, m = len(ids), len(owner)
+                known_n.append(len(here) + (ends > 0))
+            n, m = len(ids), sum(map(len, owner))
+            word = pa.array(known.others, pa.binary()).take(pa.array(np.concatenate(words))) if m else pa.array([], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids + owner, pa.int64()), pa.array(n_tokens + [None] * m, pa.int64()), pa.array(known_n + [None] * m, pa.int64()),
+                [pa.array(np.concatenate([ids, *owner]), pa.int64()), pa.array(n_tokens + [None] * m, pa.int64()), pa.array(known_n + [None] * m, pa.int64()),
                  pa.array(base + [None] * m, pa.float64()), pa.array(score + [None] * m, pa.float64()),
-                 pa.array([None] * n + words, pa.binary()), pa.array([None] * n + times, pa.int64())],
+                 pa.concat_arrays([pa.nulls(n, pa.binary()), word]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(np.concatenate([np.empty(0, np.int64), *times]), pa.int64())])],
                 ["row_id", "n_tokens", "n_known", "base", "score", "word", "times"],
             )
+            known.forget()
 
     return run
 
@@ -282,9 +307,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     small = spark.sparkContext.broadcast((stats.frequent, stats.log_prior))
     # the first fit reads rows up to a number of tokens in one task; every task then goes on from there
     ddl = "tokens bigint, v array<double>"
-    # (its rows are drawn by hash, so only hashes are sorted)
-    drawn = train.select(F.xxhash64("text").alias("h")).orderBy("h").limit(FIRST // 500).agg(F.max("h")).first()[0]
-    some = train.filter(F.xxhash64("text") <= F.lit(drawn)).repartition(1)
+    # (its texts are drawn by hash, each once, so only hashes are sorted)
+    hashed = train.withColumn("h", F.xxhash64("text"))
+    drawn = hashed.select("h").distinct().orderBy("h").limit(FIRST // 500).agg(F.max("h")).first()[0]
+    some = hashed.filter(F.col("h") <= F.lit(drawn)).dropDuplicates(["h"]).repartition(1).sortWithinPartitions("h").select("text")
     first = _averaged(some.mapInArrow(_trained(small, None, FIRST), ddl))
     values = _averaged(train.mapInArrow(_trained(small, first, None), ddl))
     model = Model(stats.log_prior, values)
