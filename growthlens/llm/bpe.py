@@ -14,9 +14,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections import ChainMap, OrderedDict
+from collections import OrderedDict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +31,9 @@ WINDOW, LEAST, MEAN = 16, 512, 1024
 #: Characters of cached chunks per Python worker (ids take about as many bytes).
 CACHE_CHARS = 24_000_000
 
-#: Encoded words per Python worker.
-CACHE_WORDS = 250_000
+#: Encoded pieces between safe places (words, mostly) per Python worker.
+CACHE_WORDS = 500_000
 
-#: Where a space is no safe place: after another space character.
-_SPACES = re.compile(r"\s ")
 #: A place that no token crosses: before a space or line break that follows a non-space.
 _SAFE = re.compile(r"(?<=\S)(?=[ \n])")
 
@@ -67,27 +64,26 @@ class ChunkEncoder:
         tokenizer.no_truncation()
         tokenizer.no_padding()
         self.tokenizer = tokenizer
-        self.kept: OrderedDict[bytes, tuple[int, np.ndarray, int]] = OrderedDict()
-        self.words: dict[str, list[int]] = {}
-        self.chars = self.encoded = self.reused = 0
+        self.kept: OrderedDict[bytes, tuple[int, bytes, int]] = OrderedDict()
+        self.words: dict[str, bytes] = {}
+        self.chars = self.piece_chars = self.encoded = self.reused = 0
 
-    def _ids(self, text: str) -> np.ndarray:
-        """Ids of a text that starts and ends at safe places, from those of its words with a space before."""
+    def _ids(self, text: str) -> bytes:
+        """Ids, four bytes each, of a text that starts and ends at safe places: those of its pieces between safe places."""
         if not text:
-            return np.empty(0, np.int32)
-        head, *words = [text] if _SPACES.search(text) else text.split(" ")
-        known = self.words
-        if fresh := [w for w in dict.fromkeys(words) if w not in known]:
-            made = self.tokenizer.encode_batch_fast([" " + w for w in fresh], add_special_tokens=False)
-            made = zip(fresh, [x.ids for x in made])
-            if len(known) < CACHE_WORDS:
-                known.update(made)
-            else:  # words that come early are the frequent ones; others are encoded each time
-                known = ChainMap(dict(made), known)
-        first = self.tokenizer.encode(head, add_special_tokens=False).ids if head else []
-        return np.array([*first, *chain.from_iterable(map(known.__getitem__, words))], np.int32)
-
-    def _core(self, chunk: str) -> tuple[int, np.ndarray, int] | None:
+            return b""
+        pieces, known = _SAFE.split(text), self.words
+        if fresh := [p for p in dict.fromkeys(pieces) if p not in known]:
+            self.piece_chars += sum(map(len, fresh))
+            if len(known) + len(fresh) > CACHE_WORDS or self.piece_chars > CACHE_CHARS:  # start over; the frequent pieces are soon back
+                known.clear()
+                fresh = list(dict.fromkeys(pieces))
+                self.piece_chars = sum(map(len, fresh))
+            made = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
+            known.update(zip(fresh, [np.array(x.ids, np.int32).tobytes() for x in made]))
+        return b"".join(map(known.__getitem__, pieces))
+
+    def _core(self, chunk: str) -> tuple[int, bytes, int] | None:
         """First and last safe place of a chunk and the ids between them; None with under two places."""
         name = xxhash.xxh3_128_digest(chunk.encode("utf-8", "surrogatepass"))
         if (known := self.kept.get(name)) is not None:
@@ -118,7 +114,7 @@ class ChunkEncoder:
         out, open_, start = [], 0, 0  # everything before ``open_`` is encoded
         ends = chunk_ends(text)
         if len(ends) == 1:
-            return self._ids(text)
+            return np.frombuffer(self._ids(text), np.int32)
         for end in ends:
             core = self._core(text[start:end])
             if core:
@@ -127,7 +123,7 @@ class ChunkEncoder:
                 open_ = start + last
             start = end
         out.append(self._ids(text[open_:]))
-        return np.concatenate(out)
+        return np.frombuffer(b"".join(out), np.int32)
 
 
 def byte_pieces(tokenizer: Tokenizer) -> list[bytes]:
@@ -167,8 +163,8 @@ def _rows(path: str, with_ids: bool):
             for x in batch.column(batch.num_columns - 1):
                 ids = encoder.encode(x.as_py() or "").tolist()
                 counts.append(len(ids))
-                id_sums.append(hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest())
-                text_sums.append(hashlib.sha256(b"".join([pieces[i] for i in ids]).decode("utf-8", "replace").encode()).hexdigest())
+                id_sums.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
+                text_sums.append(hashlib.sha256(b"".join(map(pieces.__getitem__, ids)).decode("utf-8", "replace").encode()).hexdigest())
                 if with_ids:
                     lists.append(ids)
             made = [pa.array(counts, pa.int64()), pa.array(id_sums, pa.string()), pa.array(text_sums, pa.string())]

@@ -491,3 +491,16 @@ def test_nearest_equals_brute_force(spark):
     assert hit >= 0.9 * total and [i for i, _ in got[0]] == [300, 301, 302, 303, 304]
     assert ann.nearest(df.limit(0)).count() == 0
     assert ann.nearest(df.filter("vec_id IN (50, 51)")).collect()[0].vec_id == 51
+
+
+def test_pieces_of_odd_spaces_and_a_full_cache(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, plain = bpe.ChunkEncoder(Tokenizer.from_file(path)), Tokenizer.from_file(path)
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 5)
+    texts = ["", " ", " \n", "\n\nx", "  lead", "a \n b\n\nc  d \n", "a\tb c d\n", "w \x1c z\x85 \nq", "x" * 5000 + " y", "one two three four five six seven " * 200]
+    for t in texts * 2:
+        assert encoder.encode(t).tolist() == plain.encode(t, add_special_tokens=False).ids
+    assert len(encoder.words) <= 16
