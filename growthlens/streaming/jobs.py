@@ -6,11 +6,14 @@ by watermarks, and results go to file sinks or ``foreachBatch`` merges that can
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.query import StreamingQuery
@@ -98,44 +101,69 @@ def enrich(log: DataFrame, site_config: DataFrame, on: str = "site") -> DataFram
 ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
+#: Rows of a user that wait in one entry of its state.
+CHUNK = 10_000
+
+
 class FunnelSteps(StatefulProcessor):
-    """How far each user is: rows wait under the millisecond of their event time until the watermark has passed it.
+    """How far each user is: rows wait until the watermark has passed them, and then move the user on in the order of event time.
 
-    A timer per millisecond takes its rows out again, in the order of event time whatever the order of arrival, and
-    moves the user on. What is kept of a user is the last step with its time, and one entry per waiting millisecond.
+    What is kept of a user is the last step with its time and the waiting rows, packed into one entry per micro-batch (or
+    ``CHUNK`` rows), with one timer under the first of them. So the calls to the state store grow with users and
+    micro-batches, not with rows.
     """
 
-    def __init__(self, steps: list[str]):
-        self.steps = {s: sum(1 << i for i, x in enumerate(steps) if x == s) for s in steps}
+    def __init__(self, n_steps: int):
+        self.n_steps = n_steps
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.reached = handle.getValueState("reached", "steps_done int, last_us bigint")
-        self.waiting = handle.getMapState("waiting", "ms bigint", "rows string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            batch = batch[batch["event_type"] != END_TYPE]
-            marks = pd.DataFrame({"us": batch["us"], "mark": batch["event_type"].map(self.steps)})
-            for ms, part in marks.groupby(batch["us"] // 1000):
-                told = [f"{us}:{mark}" for us, mark in set(zip(part["us"].tolist(), part["mark"].tolist()))]
-                before = self.waiting.getValue((int(ms),))
-                if before is None:
-                    self.handle.registerTimer(int(ms) + 1)
-                self.waiting.updateValue((int(ms),), (" ".join(told + ([before[0]] if before else [])),))
+        self.reached = handle.getValueState("reached", "steps_done int, last_us bigint, due bigint")
+        self.waiting = handle.getListState("waiting", "us binary, marks binary")
+
+    def _state(self) -> tuple:
+        return tuple(self.reached.get() or (0, -(1 << 62), None))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        first, told = None, ((r.us, r.mark) for r in rows if r.mark and r.us is not None)
+        while chunk := list(islice(told, CHUNK)):
+            us, marks = np.array(sorted({*chunk}), np.int64).T
+            self.waiting.appendValue((us.tobytes(), marks.tobytes()))
+            first = int(us[0]) if first is None else min(first, int(us[0]))
+        if first is not None:
+            done, last, due = self._state()
+            if due is None or first // 1000 + 1 < due:
+                if due is not None:
+                    self.handle.deleteTimer(due)
+                self._wait(done, last, first)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ms = (expiredTimerInfo.getExpiryTimeInMs() - 1,)
-        done, last = self.reached.get() if self.reached.exists() else (0, -(1 << 62))
-        before = done
-        for us, mark in sorted(tuple(map(int, x.split(":"))) for x in self.waiting.getValue(ms)[0].split()):
-            if us > last and mark >> done & 1:
-                done, last = done + 1, us
-        self.waiting.removeKey(ms)
-        if done > before:
-            self.reached.update((done, last))
-            yield pd.DataFrame({"user_id": [key[0]], "steps_done": [done], "last_us": [last]})
+    def _wait(self, done: int, last: int, first: int) -> None:
+        self.handle.registerTimer(first // 1000 + 1)
+        self.reached.update((done, last, first // 1000 + 1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        done, last, _ = self._state()
+        us, marks = (np.concatenate([np.frombuffer(x, np.int64) for x in column]) for column in zip(*self.waiting.get()))
+        order = np.argsort(us, kind="stable")
+        us, marks = us[order], marks[order]
+        # no row of an earlier millisecond than the watermark's can still come
+        past, at, got = int(np.searchsorted(us, timerValues.getCurrentWatermarkInMs() * 1000)), 0, {}
+        while done < self.n_steps:
+            at = max(at, int(np.searchsorted(us, last, "right")))
+            hits = np.flatnonzero(marks[at:past] >> done & 1)
+            if not len(hits):
+                break
+            done, last = done + 1, int(us[at + hits[0]])
+            got[last // 1000] = (done, last)
+        if past < len(us):
+            self.waiting.put([(us[past:].tobytes(), marks[past:].tobytes())])
+            self._wait(done, last, int(us[past]))
+        else:
+            self.waiting.clear()
+            self.reached.update((done, last, None))
+        for d, t in got.values():
+            yield Row(user_id=key[0], steps_done=d, last_us=t)
 
 
 def funnel_state(events: DataFrame, steps: list[str], late: str = "10 minutes") -> DataFrame:
@@ -143,11 +171,13 @@ def funnel_state(events: DataFrame, steps: list[str], late: str = "10 minutes")
 
     Equal to the batch funnel once the watermark has passed; runs with the settings ``ROCKS`` only.
     """
+    bits = {s: sum(1 << i for i, x in enumerate(steps) if x == s) for s in steps}
+    mark = F.coalesce(*[F.when(F.col("event_type") == s, F.lit(b)) for s, b in bits.items()], F.lit(0)).cast("bigint")
     timed = events.withWatermark("ts", late).withColumn("us", F.unix_micros("ts")).filter(F.col("event_type").isin(*steps, END_TYPE))
     return (
-        timed.select("user_id", "event_type", "us", "ts")
+        timed.select("user_id", mark.alias("mark"), "us", "ts")
         .groupBy("user_id")
-        .transformWithStateInPandas(FunnelSteps([*steps]), "user_id bigint, steps_done int, last_us bigint", "append", "eventTime")
+        .transformWithState(FunnelSteps(len(steps)), "user_id bigint, steps_done int, last_us bigint", "append", "eventTime")
     )
 
 
@@ -216,3 +246,7 @@ def late_rows(query: StreamingQuery) -> int:
     return sum(
         int(op.numRowsDroppedByWatermark) for p in query.recentProgress for op in p.stateOperators
     )
+
+
+# the state processor goes to the executors by value, so they need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

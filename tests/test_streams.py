@@ -1,5 +1,7 @@
 import json
+from types import SimpleNamespace
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from growthlens.operators import answers
@@ -33,6 +35,48 @@ def test_repeated_steps_of_a_funnel(spark, tmp_path):
     assert out.agg(F.max("steps_done")).first()[0] == 3
 
 
+class CountedState:
+    """Stands for the state store of one user and counts the calls to it."""
+
+    def __init__(self):
+        self.calls, self.value, self.entries, self.timers = 0, None, [], set()
+
+    def getValueState(self, *_):
+        return SimpleNamespace(get=lambda: self.did(self.value), update=lambda v: self.did(setattr(self, "value", v)))
+
+    def getListState(self, *_):
+        put = lambda v: self.did(setattr(self, "entries", [*v]))
+        return SimpleNamespace(get=lambda: iter(self.did([*self.entries])), appendValue=lambda v: self.did(self.entries.append(v)), put=put, clear=lambda: put([]))
+
+    def registerTimer(self, ms):
+        self.did(self.timers.add(ms))
+
+    def deleteTimer(self, ms):
+        self.did(self.timers.remove(ms))
+
+    def did(self, result):
+        self.calls += 1
+        return result
+
+
+def test_funnel_state_is_called_per_batch_and_not_per_row():
+    state, steps = CountedState(), jobs.FunnelSteps(3)
+    steps.init(state)
+    rows = [(i * 1000 + 7, 1 << (i // 5000)) for i in range(15000)]
+    for part in (rows[9000:], rows[:9000]):  # the later ones arrive first
+        assert not [*steps.handleInputRows((1,), iter([Row(us=us, mark=m) for us, m in [*part, (5, 0)]]), None)]
+    assert state.timers == {1} and state.calls < 12
+
+    def expire(watermark):
+        due = min(state.timers)
+        out = [(r.steps_done, r.last_us) for r in steps.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark), None)]
+        state.timers.discard(due)
+        return out
+
+    assert expire(6000) == [(1, 7), (2, 5000007)] and state.timers == {6001}
+    assert expire(10**9) == [(3, 10000007)] and not state.timers and not state.entries and state.calls < 24
+
+
 def test_late_rows_are_counted(spark, tmp_path):
     base = str(tmp_path / "e")
     stream = lambda: jobs.daily_counts(jobs.read_events(spark, base, "*.parquet"))
