@@ -153,8 +153,8 @@ def parallelism_count(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(key, n.alias("n"), (n <= 1).alias("ok"))
 
 
-#: Words of the shingles under which quotes are looked up.
-QUOTE_SHINGLE = 3
+#: Quotes of one source that meet a transcript under one key; the quotes of a source that has more are dealt out.
+QUOTE_GROUP = 1000
 
 
 def _plain_words(text) -> Column:
@@ -162,11 +162,9 @@ def _plain_words(text) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(bare), F.lit(r"(?U)\w+"), F.lit(0)), F.array().cast("array<string>"))
 
 
-def _word_runs(words: str, size) -> Column:
-    """The runs of ``size`` words of an array, each as one string, in their order."""
-    run = lambda i: F.array_join(F.slice(words, i + 1, size), " ")
-    none = F.array().cast("array<string>")
-    return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(0))), run)).otherwise(none)
+def _in_a_row(words) -> Column:
+    """The words as one string with a blank before and after each."""
+    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
 
 
 def quote_traceability(copies: DataFrame, transcripts: DataFrame) -> DataFrame:
@@ -175,26 +173,21 @@ def quote_traceability(copies: DataFrame, transcripts: DataFrame) -> DataFrame:
     ``copies``: doc_id, source_id, text; ``transcripts``: source_id, text (any number of texts of one source). Case,
     punctuation and quote marks do not count. A quote of any length is traced, but for one without words.
 
-    Transcripts are indexed by source and shingle, as far as a quote asks for it. A quote is tried where the shingle of it that is
-    rarest in its source stands, and every shingle of it must stand at its place from there on; so neither a transcript nor a
-    long quote is ever moved as a whole. Shingles are compared as text. NULL sources have no transcript.
+    A transcript is moved once, as one row, to the quotes of its source, and once more for every further ``QUOTE_GROUP`` of
+    them, so neither words nor quotes multiply in the shuffle and a source that everybody quotes is many tasks.
+    NULL sources have no transcript.
     """
     found = unroll_with_pos(copies, ["doc_id", "source_id"], F.regexp_extract_all("text", F.lit('[“"]([^“”"]+)[”"]'), F.lit(1)), "quote_no", "quote")
-    quotes = cut_lineage(found.withColumn("w", _plain_words(F.col("quote"))).filter("size(w) > 0").withColumn("q", F.monotonically_increasing_id()))
-    size = F.least(F.size("w"), F.lit(QUOTE_SHINGLE))
-    parts = cut_lineage(unroll_with_pos(quotes.filter("source_id IS NOT NULL"), ["q", "source_id"], _word_runs("w", size), "off", "g"))
-    asked = parts.select("source_id", "g").distinct()
-    words = transcripts.filter("source_id IS NOT NULL").select("source_id", F.xxhash64("text").alias("t"), _plain_words(F.col("text")).alias("w"))
-    every = words.select("source_id", "t", F.explode(F.array(*[_word_runs("w", F.lit(n)) for n in range(1, QUOTE_SHINGLE + 1)])).alias("gs"))
-    index = cut_lineage(unroll_with_pos(every, ["source_id", "t"], F.col("gs"), "pos", "g").join(asked, ["source_id", "g"], "left_semi"))
-    often = index.groupBy("source_id", "g").agg(F.count("*").alias("n"))
-    rarity = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "g")
-    rarest = parts.join(often, ["source_id", "g"], "left").groupBy("q", "source_id").agg(F.min(rarity).alias("r"), F.count("*").alias("parts"))
-    tried = rarest.filter("r.n > 0").select("q", "source_id", F.col("r.off").alias("o"), F.col("r.g").alias("g"), "parts").join(index, ["source_id", "g"])
-    tried = tried.select("q", "source_id", "t", (F.col("pos") - F.col("o")).alias("start"), "parts").distinct()
-    wanted = tried.join(parts.select("q", "off", "g"), "q").withColumn("pos", F.col("start") + F.col("off"))
-    there = wanted.join(index.distinct(), ["source_id", "t", "pos", "g"], "left_semi").groupBy("q", "t", "start", "parts").agg(F.count("*").alias("n"))
-    traced = there.filter("n = parts").select("q").distinct()
+    worded = found.withColumn("w", _plain_words(F.col("quote"))).filter("size(w) > 0").withColumn("plain", _in_a_row("w")).drop("w")
+    quotes = cut_lineage(worded.withColumn("q", F.monotonically_increasing_id()))
+    asked = quotes.filter("source_id IS NOT NULL").select("q", "source_id", "plain")
+    groups = F.ceil(F.count("*") / QUOTE_GROUP).cast("int").alias("groups")
+    often = cut_lineage(asked.groupBy("source_id").agg(groups).filter("groups > 1"))
+    dealt = asked.join(often, "source_id", "left").withColumn("part", F.pmod(F.xxhash64("q"), F.coalesce("groups", F.lit(1))).cast("int"))
+    said = transcripts.filter("source_id IS NOT NULL").select("source_id", _in_a_row(_plain_words(F.col("text"))).alias("said"))
+    parts = F.sequence(F.lit(0), F.coalesce("groups", F.lit(1)) - 1)
+    said = said.join(often, "source_id", "left").select("source_id", "said", F.explode(parts).alias("part"))
+    traced = dealt.join(said, ["source_id", "part"]).filter(F.contains("said", F.col("plain"))).select("q").distinct()
     return quotes.join(traced, "q", "left_anti").select("doc_id", "source_id", "quote_no", "quote")
 
 

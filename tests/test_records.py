@@ -72,3 +72,16 @@ def test_quotes_equal_brute_force(spark):
         spark.createDataFrame(copies, "doc_id int, source_id int, text string"), spark.createDataFrame(sources, "source_id int, text string")
     )
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and 20 < len(want) < 220
+
+
+def test_quotes_are_not_taken_apart(spark, monkeypatch):
+    """A long quote and a source that everybody quotes: what is written and moved has one row per quote."""
+    said = " ".join(f"w{i}" for i in range(900))
+    copies = [(1, 1, f'"{said[5:2000]}"'), (2, 1, f'"{said[4:2000]}"')] + [(10 + i, 2, f'"w{i} w{i + 1 + i % 2}"') for i in range(12)]
+    written = []
+    monkeypatch.setattr(copyq, "QUOTE_GROUP", 3, raising=False)
+    monkeypatch.setattr(copyq, "cut_lineage", lambda df, cut=copyq.cut_lineage: (df := cut(df), written.append(df.count()))[0])
+    got = copyq.quote_traceability(
+        spark.createDataFrame(copies, "doc_id int, source_id int, text string"), spark.createDataFrame([(1, said), (2, said)], "source_id int, text string")
+    )
+    assert sorted(r.doc_id for r in got.collect()) == [2, 11, 13, 15, 17, 19, 21] and sum(written) <= len(copies) + 1
