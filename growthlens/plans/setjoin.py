@@ -1,6 +1,6 @@
 """Exact set-similarity joins by Jaccard without lists of all pairs.
 
-Elements are ordered from rare to frequent; two sets as similar as asked share an element among the first ``n - ceil(t n) + 1`` of
+Elements are ordered from rare to frequent, by the counts of hash groups; two sets as similar as asked share an element among the first ``n - ceil(t n) + 1`` of
 both, so only those are posted. Sets under one element are numbered by id, in ranges of the data, and met in rounds: in round
 r every set that is still open meets the sets numbered 2^r to 2^(r+1) - 1. A set that has found its partner meets nobody who could not
 be a better one, so n copies of one text cost n comparisons. Sizes and positions bound the overlap before sets are moved.
@@ -8,33 +8,96 @@ be a better one, so n copies of one text cost n comparisons. Sizes and positions
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import ranges
-from .groups import unroll
+
+#: Hash groups of the frequency table: one byte each, so what is broadcast has a fixed size.
+HEAT_BITS = 22
+#: Elements ordered at once.
+AT_ONCE = 1 << 20
+
+
+def _groups(values: np.ndarray) -> np.ndarray:
+    return values & ((1 << HEAT_BITS) - 1)
 
 
-def _least(n: Column, percent: int) -> Column:
-    """Smallest whole number that is at least ``percent`` of ``n``."""
-    return F.call_function("div", n * percent + 99, F.lit(100)).cast("int")
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches in slices of about ``AT_ONCE`` elements, with the sizes of their sets and the elements one after the other."""
+    for batch in batches:
+        ends = np.cumsum(pc.list_value_length(batch.column("s")).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(ends):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + AT_ONCE, "right")))
+            part = batch.slice(start, stop - start)
+            yield part, np.diff(ends[start:stop], prepend=before), part.column("s").flatten().to_numpy()
+            start = stop
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The groups that stand out in a task, with their elements; all groups while most are empty."""
+    seen = np.zeros(1 << HEAT_BITS, np.int32)
+    for _, _, values in _elements(batches):
+        seen += np.bincount(_groups(values), minlength=len(seen)).astype(np.int32)
+    usual = np.median(seen)
+    told = np.flatnonzero(seen > (usual + 4 * np.sqrt(usual) + 3 if usual else 0))
+    for at in range(0, len(told), 100_000):
+        g = told[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(seen[g].astype(np.int64))], ["g", "c"])
+
+
+def _heat(sets: DataFrame) -> bytes:
+    """One byte per group: the binary logarithm of its count, as far as tasks have told it.
+
+    At most 2**HEAT_BITS rows of two numbers come to the driver, whatever the input. The table only sets the order.
+    """
+    told = sets.select("s").mapInArrow(_count, "g int, c bigint").groupBy("g").agg(F.sum("c").alias("c")).filter("c > 1")
+    logs = told.select("g", F.floor(F.log2(F.col("c"))).cast("int").alias("h")).toArrow()
+    heat = np.zeros(1 << HEAT_BITS, np.uint8)
+    heat[logs.column(0).to_numpy()] = logs.column(1).to_numpy()
+    return heat.tobytes()
+
+
+def _poster(heat, percent: int):
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(heat.value, np.uint8)
+        for batch, n, values in _elements(batches):
+            of = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((values, table[_groups(values)], of))
+            pos = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            kept = pos < (n + 1 - -(-n * percent // 100))[of]
+            of, pos = of[kept], pos[kept].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(values[order][kept]), batch.column("id").take(pa.array(of)), pa.array(n[of].astype(np.int32)), pa.array(pos)], ["x", "id", "n", "pos"])
+
+    return post
 
 
 def postings(sets: DataFrame, percent: int) -> DataFrame:
-    """``x, id, n, pos``: the rare elements of each set by which similar sets must meet; elements of one set are left out."""
-    tokens = unroll(sets.withColumn("n", F.size("s")), ["id", "n"], F.col("s"), "x")
-    counts = tokens.groupBy("x").agg(F.count("*").alias("f"))
-    ordered = tokens.join(counts, "x").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("o"))
-    first = F.slice("o", 1, F.col("n") - _least(F.col("n"), percent) + 1)
-    posted = ordered.select("id", "n", F.posexplode(first).alias("pos", "e"))
-    return posted.filter("e.f > 1").select("e.x", "id", "n", "pos")
+    """``x, id, n, pos``: the rare elements of each set by which similar sets must meet; elements of one posting are left out."""
+    heat = sets.sparkSession.sparkContext.broadcast(_heat(sets))
+    posted = sets.select("id", "s").mapInArrow(_poster(heat, percent), f"x bigint, id {sets.schema['id'].dataType.simpleString()}, n int, pos int")
+    posted = cut_lineage(posted)
+    several = posted.groupBy("x").agg(F.count("*").alias("f")).filter("f > 1").select("x")
+    return posted.join(several, "x", "left_semi")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``id, other, both, either`` of the pairs that are as similar as asked."""
-    a = sets.select("id", F.col("s").alias("s1"))
-    b = sets.select(F.col("id").alias("other"), F.col("s").alias("s2"))
+    """``id, other, both, either`` of the pairs that are as similar as asked. Only sets of a pair are moved to it."""
+    pairs = cut_lineage(pairs)
+    ids = pairs.select(F.explode(F.array("id", "other")).alias("id")).distinct()
+    few = cut_lineage(sets.join(ids, "id", "left_semi").select("id", "s"))
+    a = few.select("id", F.col("s").alias("s1"))
+    b = few.select(F.col("id").alias("other"), F.col("s").alias("s2"))
     both = F.size(F.array_intersect("s1", "s2")).cast("bigint").alias("both")
     met = pairs.join(a, "id").join(b, "other").select("id", "other", both, (F.size("s1") + F.size("s2")).alias("sizes"))
     met = met.select("id", "other", "both", (F.col("sizes") - F.col("both")).alias("either"))
@@ -67,7 +130,7 @@ def first_similar(sets: DataFrame, percent: int = 80) -> DataFrame:
         state = posts.join(best.select("id", F.col("other").alias("has")), "id", "left").join(ahead, "x")
         state = state.withColumn("open", F.coalesce(F.col("ahead") < F.col("has"), F.lit(True)) & (F.col("no") > low))
         pairs = _candidates(state, low, 2 * low, percent).filter("has IS NULL OR other < has").select("id", "other").distinct()
-        found = best.unionByName(_verified(cut_lineage(pairs), sets, percent))
+        found = best.unionByName(_verified(pairs, sets, percent))
         best = cut_lineage(found.groupBy("id").agg(F.min(F.struct("other", "both", "either")).alias("b")).select("id", "b.*"))
         low *= 2
     return best
@@ -91,7 +154,7 @@ def best_similar(sets: DataFrame, percent: int = 80) -> DataFrame:
         pairs = pairs.join(mine, "id", "left").join(mine.toDF("other", "b2", "e2"), "other", "left")
         union = F.col("n") + F.col("m") - F.col("bound")
         better = [F.coalesce(F.col("bound") * F.col(e) >= F.col(b) * union, F.lit(True)) for b, e in (("b1", "e1"), ("b2", "e2"))]
-        found = _verified(cut_lineage(pairs.filter(better[0] | better[1]).select("id", "other")), sets, percent)
+        found = _verified(pairs.filter(better[0] | better[1]).select("id", "other"), sets, percent)
         found = cut_lineage(found)
         every = best.unionByName(found).unionByName(found.select(F.col("other").alias("id"), F.col("id").alias("other"), "both", "either"))
         # exact order of fractions: whole part of a large multiple would round, so compare as decimals of ample scale
@@ -101,3 +164,7 @@ def best_similar(sets: DataFrame, percent: int = 80) -> DataFrame:
         best = cut_lineage(tied.groupBy("id").agg(F.min(F.struct("other", "both", "either")).alias("b")).select("id", "b.*"))
         low *= 2
     return best
+
+
+# the functions go to the executors by value, so they need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -50,6 +50,17 @@ def test_best_similar_is_exact(spark):
     assert run(spark, setjoin.best_similar, [], 60) == {} == run(spark, setjoin.first_similar, [set()], 80)
 
 
+def test_only_rare_elements_and_sets_of_pairs_are_moved(spark, monkeypatch):
+    sets = [{*range(1000 * i, 1000 * i + 100)} for i in range(30)]
+    sets.append({*range(3000, 3095)})
+    cut, seen = setjoin.cut_lineage, []
+    monkeypatch.setattr(setjoin, "cut_lineage", lambda df: (df := cut(df), seen.append((df.columns, df.count())))[0])
+    assert run(spark, setjoin.first_similar, sets, 80) == {30: (3, 95, 100)}
+    posted = [n for columns, n in seen if columns == ["x", "id", "n", "pos"]]
+    moved = [n for columns, n in seen if columns == ["id", "s"]][1:]  # the first is the table of all sets
+    assert posted == [30 * 21 + 20] and moved and max(moved) == 2
+
+
 def test_shared_words_stay_within_a_template(spark):
     rows = [(1, "a", "One two THREE four five"), (2, "b", "one two three four five"), (3, "a", "one, two; three four Five!"), (4, "a", None), (5, None, "one two"),
             (6, None, "two one one"), (None, "a", "one two three four five"), (7, "a", "one two three four"), (7, "a", "zzz")]
