@@ -257,9 +257,10 @@ def shared_words(pages: DataFrame, percent: int = 80, key: str = "page_id", grou
     one = pages.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(F.col(group).alias("g"), F.col("text").alias("t"))).alias("p")).select(key, "p.g", "p.t")
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("t")), F.lit(r"(?U)\w+"), F.lit(0)))
     named = F.transform(F.coalesce(words, F.array().cast("array<string>")), lambda w: F.xxhash64(F.col("g"), w))
-    found = setjoin.best_similar(one.select(F.col(key).alias("id"), F.array_distinct(named).alias("s")), percent)
+    sets = cut_lineage(one.select(F.col(key).alias("id"), "g", F.array_distinct(named).alias("s")))
+    found = setjoin.best_similar(sets.select("id", "s"), percent)
     found = found.select(F.col("id").alias(key), F.col("other").alias("partner_id"), F.col("both").alias("shared_words"), ratio("both", "either", 4).alias("shared_share"))
-    return one.select(F.col("g").alias(group), key).join(found, key).select(group, key, "partner_id", "shared_words", "shared_share")
+    return sets.select(F.col("g").alias(group), F.col("id").alias(key)).join(found, key).select(group, key, "partner_id", "shared_words", "shared_share")
 
 
 def unique_word_share(pages: DataFrame, key: str = "page_id", group: str = "template") -> DataFrame:

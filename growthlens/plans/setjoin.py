@@ -140,9 +140,9 @@ def best_similar(sets: DataFrame, percent: int = 80) -> DataFrame:
     """``id, other, both, either``: of each set the most similar other one, if as similar as asked; ties to the smaller id.
 
     As in ``first_similar``, but either end of a pair may be the better partner of the other. A pair is verified when its
-    bound on the similarity is above, or equal to, what one of its ends has.
+    bound on the similarity is above, or equal to, what one of its ends has. ``sets`` is read in every round, so it should be a table.
     """
-    sets = cut_lineage(sets).filter(F.size("s") > 0)  # a filter on computed arrays would be pushed down and compute them anew per element
+    sets = sets.filter(F.size("s") > 0)
     posts = cut_lineage(ranges.numbered(postings(sets, percent), ["x"], ["id"], "no"))
     most = posts.agg(F.max("no")).first()[0] or 0
     best = sets.sparkSession.createDataFrame([], sets.select("id").schema.add("other", sets.schema["id"].dataType).add("both", "long").add("either", "long"))

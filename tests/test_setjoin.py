@@ -67,3 +67,11 @@ def test_shared_words_stay_within_a_template(spark):
     got = copyq.shared_words(spark.createDataFrame(rows, "page_id bigint, template string, text string")).collect()
     assert sorted((r.page_id, r.partner_id, r.shared_words, r.shared_share) for r in got) == [
         (1, 3, 5, 1.0), (3, 1, 5, 1.0), (5, 6, 2, 1.0), (6, 5, 2, 1.0), (7, 1, 4, 0.8)]
+
+
+def test_best_similar_moves_the_sets_of_pairs_only(spark, monkeypatch):
+    sets = [{*range(1000 * i, 1000 * i + 100)} for i in range(30)] + [{*range(3000, 3095)}]
+    cut, seen = setjoin.cut_lineage, []
+    monkeypatch.setattr(setjoin, "cut_lineage", lambda df: (df := cut(df), seen.append((df.columns, df.count())))[0])
+    assert run(spark, setjoin.best_similar, sets, 80) == {3: (30, 95, 100), 30: (3, 95, 100)}
+    assert [n for columns, n in seen if columns == ["id", "s"]] == [2]
