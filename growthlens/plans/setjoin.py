@@ -23,6 +23,8 @@ from . import ranges
 
 #: Hash groups of the frequency table: one byte each, so what is broadcast has a fixed size.
 HEAT_BITS = 22
+#: Hash groups whose parities are kept of a set.
+PARITIES = 1024
 #: Elements ordered at once.
 AT_ONCE = 1 << 20
 
@@ -91,9 +93,35 @@ def postings(sets: DataFrame, percent: int) -> DataFrame:
     return posted.join(several, "x", "left_semi")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``id, other, both, either`` of the pairs that are as similar as asked. Only sets of a pair are moved to it."""
-    pairs = cut_lineage(pairs)
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every set the parities of the counts of its hash groups, 64 to a number."""
+    for batch, n, values in _elements(batches):
+        odd = np.zeros((len(n), PARITIES), np.uint8)
+        spread = (values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % PARITIES
+        np.bitwise_xor.at(odd, (np.repeat(np.arange(len(n)), n), spread), 1)
+        words = np.packbits(odd, axis=1).view(np.int64)
+        marks = pa.ListArray.from_arrays(pa.array(np.arange(0, words.size + 1, PARITIES // 64, dtype=np.int32)), pa.array(words.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n.astype(np.int32)), marks], ["id", "n", "mark"])
+
+
+def marks(sets: DataFrame) -> DataFrame:
+    """``id, n, mark`` as a table: two sets differ in at least as many elements as their marks in bits."""
+    made = sets.select("id", "s").mapInArrow(_mark, f"id {sets.schema['id'].dataType.simpleString()}, n int, mark array<bigint>")
+    return cut_lineage(made)
+
+
+def _likely(pairs: DataFrame, marked: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose marks allow that they are as similar as asked."""
+    a = marked.select("id", F.col("n").alias("n1"), F.col("mark").alias("m1"))
+    b = marked.select(F.col("id").alias("other"), F.col("n").alias("n2"), F.col("mark").alias("m2"))
+    bits = F.aggregate(F.zip_with("m1", "m2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    met = pairs.join(a, "id").join(b, "other")
+    return met.filter(bits * (100 + percent) <= (F.col("n1") + F.col("n2")).cast("bigint") * (100 - percent)).select("id", "other")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, marked: DataFrame, percent: int) -> DataFrame:
+    """``id, other, both, either`` of the pairs that are as similar as asked. Only sets of a likely pair are moved to it."""
+    pairs = cut_lineage(_likely(cut_lineage(pairs), marked, percent))
     ids = pairs.select(F.explode(F.array("id", "other")).alias("id")).distinct()
     few = cut_lineage(sets.join(ids, "id", "left_semi").select("id", "s"))
     a = few.select("id", F.col("s").alias("s1"))
@@ -120,6 +148,7 @@ def first_similar(sets: DataFrame, percent: int = 80) -> DataFrame:
     match nothing; ids are not NULL and occur once.
     """
     sets = cut_lineage(sets).filter(F.size("s") > 0)  # a filter on computed arrays would be pushed down and compute them anew per element
+    marked = marks(sets)
     posts = cut_lineage(ranges.numbered(postings(sets, percent), ["x"], ["id"], "no"))
     most = posts.agg(F.max("no")).first()[0] or 0
     best = sets.sparkSession.createDataFrame([], sets.select("id").schema.add("other", sets.schema["id"].dataType).add("both", "long").add("either", "long"))
@@ -130,7 +159,7 @@ def first_similar(sets: DataFrame, percent: int = 80) -> DataFrame:
         state = posts.join(best.select("id", F.col("other").alias("has")), "id", "left").join(ahead, "x")
         state = state.withColumn("open", F.coalesce(F.col("ahead") < F.col("has"), F.lit(True)) & (F.col("no") > low))
         pairs = _candidates(state, low, 2 * low, percent).filter("has IS NULL OR other < has").select("id", "other").distinct()
-        found = best.unionByName(_verified(pairs, sets, percent))
+        found = best.unionByName(_verified(pairs, sets, marked, percent))
         best = cut_lineage(found.groupBy("id").agg(F.min(F.struct("other", "both", "either")).alias("b")).select("id", "b.*"))
         low *= 2
     return best
@@ -143,6 +172,7 @@ def best_similar(sets: DataFrame, percent: int = 80) -> DataFrame:
     bound on the similarity is above, or equal to, what one of its ends has. ``sets`` is read in every round, so it should be a table.
     """
     sets = sets.filter(F.size("s") > 0)
+    marked = marks(sets)
     posts = cut_lineage(ranges.numbered(postings(sets, percent), ["x"], ["id"], "no"))
     most = posts.agg(F.max("no")).first()[0] or 0
     best = sets.sparkSession.createDataFrame([], sets.select("id").schema.add("other", sets.schema["id"].dataType).add("both", "long").add("either", "long"))
@@ -154,7 +184,7 @@ def best_similar(sets: DataFrame, percent: int = 80) -> DataFrame:
         pairs = pairs.join(mine, "id", "left").join(mine.toDF("other", "b2", "e2"), "other", "left")
         union = F.col("n") + F.col("m") - F.col("bound")
         better = [F.coalesce(F.col("bound") * F.col(e) >= F.col(b) * union, F.lit(True)) for b, e in (("b1", "e1"), ("b2", "e2"))]
-        found = _verified(pairs.filter(better[0] | better[1]).select("id", "other"), sets, percent)
+        found = _verified(pairs.filter(better[0] | better[1]).select("id", "other"), sets, marked, percent)
         found = cut_lineage(found)
         every = best.unionByName(found).unionByName(found.select(F.col("other").alias("id"), F.col("id").alias("other"), "both", "either"))
         # exact order of fractions: whole part of a large multiple would round, so compare as decimals of ample scale
