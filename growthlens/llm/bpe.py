@@ -7,11 +7,17 @@ its place only near its ends: the pre-tokeniser never lets a token run from a no
 space. So a chunk's ids are kept from its first such place to its last, and a join of chunks is
 repaired by re-encoding what lies between the safe places around it: there both sides agree with
 the encoding of the whole text.
+
+New words of a batch of texts are merged together, one merge of every word at a time, in arrays (``Merges``).
+Words that this does not cover (other scripts, special tokens, odd spaces, very long ones) and vocabularies
+of another make go through the library.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import json
 import os
 import re
 from collections import OrderedDict
@@ -35,7 +41,12 @@ CACHE_CHARS = 24_000_000
 CACHE_WORDS = 500_000
 
 #: A place that no token crosses: before a space or line break that follows a non-space.
-_SAFE = re.compile(r"(?<=\S)(?=[ \n])")
+_SAFE = re.compile(r"(?=[ \n])(?<=\S)")
+
+#: Characters of texts whose new words are encoded together.
+TOGETHER = 4_000_000
+#: Code points that ``Merges`` covers (Latin, Greek, Cyrillic), bytes of its longest word, rows of one array.
+SCRIPTS, LONGEST, ROWS = 0x530, 48, 1 << 16
 
 
 def chunk_ends(text: str) -> list[int]:
@@ -43,10 +54,11 @@ def chunk_ends(text: str) -> list[int]:
     n = len(text)
     if n <= LEAST:
         return [n]
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    rolled = np.zeros(n - WINDOW + 1, np.uint64)
-    for i in range(WINDOW):
-        rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + c[i : n - WINDOW + 1 + i]
+    rolled = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    width, factor = 1, 0x9E3779B97F4A7C15
+    while width < WINDOW:  # a window of twice the width is two windows side by side
+        rolled = rolled[:-width] * np.uint64(factor) + rolled[width:]
+        width, factor = 2 * width, factor * factor % 2**64
     rolled ^= rolled >> np.uint64(31)
     marks = np.flatnonzero((rolled * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) % np.uint64(MEAN) == 0) + WINDOW
     ends, last = [], 0
@@ -57,39 +69,168 @@ def chunk_ends(text: str) -> list[int]:
     return [*ends, n]
 
 
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}
+
+
+class Merges:
+    """Byte-pair merges of many words at once: of every word the best pair, the leftmost of equal ones, until none is left.
+
+    Words are the matches of the pre-tokeniser's pattern over the scripts below ``SCRIPTS``; which
+    characters are letters, numbers or spaces there is asked of the pre-tokeniser itself.
+    """
+
+    NONE = np.int64(1) << 40
+
+    def __init__(self, tokenizer: Tokenizer, made: dict):
+        vocab, letters = made["model"]["vocab"], byte_letters()
+        self.first = np.zeros(256, np.int64)
+        for letter, b in letters.items():
+            self.first[b] = vocab[letter]
+        pairs = {}
+        for rank, pair in enumerate(made["model"]["merges"]):
+            x, y = pair.split(" ") if isinstance(pair, str) else pair
+            pairs[vocab[x] << 32 | vocab[y]] = rank, vocab[x + y]
+        keys = sorted(pairs)
+        self.keys = np.array([*keys, 2**62])
+        self.rank = np.array([*(pairs[k][0] for k in keys), 0])
+        self.merged = np.zeros(max(len(made["model"]["merges"]), 1), np.int64)
+        for rank, new in pairs.values():
+            self.merged[rank] = new
+        self.start = self._ranks(np.repeat(self.first, 256), np.tile(self.first, 256))  # by two bytes
+
+        def joins(c: str, after: str) -> bool:
+            return len(tokenizer.pre_tokenizer.pre_tokenize_str(after + c)) == 1
+
+        kinds = {"L": "", "N": "", "O": "", "S": ""}
+        for c in map(chr, range(SCRIPTS)):
+            kinds["L" if joins(c, "a") else "N" if joins(c, "1") else "O" if joins(c, "!") else "S"] += re.escape(c)
+        letter, number, space = kinds["L"], kinds["N"], kinds["S"]
+        self.words = re.compile(
+            f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
+        )
+        special = "|".join(re.escape(t["content"]) for t in made["added_tokens"])
+        #: a piece from one safe place to the next, of these scripts and without special tokens
+        self.covered = re.compile(f"{f'(?!.*(?:{special}))' if special else ''}[ \\n][\\0-{chr(SCRIPTS - 1)}]*(?<=\\S)", re.DOTALL)
+
+    @classmethod
+    def of(cls, tokenizer: Tokenizer) -> Merges | None:
+        """None for a vocabulary that is not plain byte-level BPE with the pattern above."""
+        made = json.loads(tokenizer.to_str())
+        model, pre = made["model"], made["pre_tokenizer"] or {}
+        plain = model["type"] == "BPE" and not any(
+            model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")
+        )
+        plain &= pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+        plain = plain and not made["normalizer"] and not made["post_processor"] and all(c in model["vocab"] for c in byte_letters())
+        # an added token that takes the spaces around it, stands alone only or is normalised reaches beyond its own piece
+        own = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"])) for t in made["added_tokens"])
+        return cls(tokenizer, made) if plain and own else None
+
+    def _ranks(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        key = x << 32 | y
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.rank[at], self.NONE)
+
+    def _merge(self, words: list[bytes], width: int) -> list[bytes]:
+        """Ids, four bytes each, of words of at most ``width`` bytes."""
+        n, cols = len(words), np.arange(len(words))
+        size = np.fromiter(map(len, words), np.int64, n)
+        place = np.arange(width)[:, None]
+        live = place < size
+        raw = np.zeros((n, width), np.uint8)
+        raw[live.T] = np.frombuffer(b"".join(words), np.uint8)
+        raw = np.ascontiguousarray(raw.T)
+        sym = self.first[raw]
+        # the best pair is the least of rank and place
+        best = np.full((width, n), self.NONE << 8)
+        pair = self.start[raw[:-1].astype(np.int64) << 8 | raw[1:]]
+        best[:-1] = np.where(place[1:] < size, pair << 8 | place[:-1], self.NONE << 8)
+        after, before = np.repeat(place + 1, n, axis=1), np.repeat(place - 1, n, axis=1)
+        while True:
+            least = best[:, cols].min(axis=0) if len(cols) < n else best.min(axis=0)
+            some = least < self.NONE
+            if not some.any():
+                break
+            cols, least = cols[some], least[some]
+            p = least & 255
+            gone = after[p, cols]
+            sym[p, cols] = self.merged[least >> 8]
+            live[gone, cols] = False
+            best[gone, cols] = self.NONE << 8
+            q = after[gone, cols]
+            after[p, cols] = q
+            has = q < size[cols]
+            best[p, cols] = self.NONE << 8
+            a, b, c = p[has], q[has], cols[has]
+            before[b, c] = a
+            best[a, c] = self._ranks(sym[a, c], sym[b, c]) << 8 | a
+            left = before[p, cols]
+            has = left >= 0
+            a, b, c = left[has], p[has], cols[has]
+            best[a, c] = self._ranks(sym[a, c], sym[b, c]) << 8 | a
+        ids = sym.T[live.T].astype(np.int32).tobytes()
+        ends = np.cumsum(live.sum(axis=0) * 4).tolist()
+        return [ids[i:j] for i, j in zip([0, *ends], ends)]
+
+    def encode(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of those pieces that are covered here; their words are those of all pieces in a row, as no word crosses a safe place."""
+        own = list(filter(self.covered.fullmatch, pieces))
+        found = self.words.findall("".join(own))
+        new = list(map(str.encode, dict.fromkeys(found)))
+        new.sort(key=len)
+        ids: dict[str, bytes] = {}
+        at, short = 0, bisect.bisect_right(new, LONGEST, key=len)
+        while at < short:  # words of about one length in an array
+            width = min(LONGEST, len(new[at]) + 3)
+            stop = min(at + ROWS, bisect.bisect_right(new, width, at, short, key=len))
+            ids.update(zip(map(bytes.decode, new[at:stop]), self._merge(new[at:stop], width)))
+            at = stop
+        each = list(map(ids.get, found))
+        ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
+        last = np.searchsorted(np.cumsum(np.fromiter(map(len, found), np.int64, len(found))), ends)
+        longer = [k for k, x in enumerate(each) if x is None] if short < len(new) else []
+        for k in longer:
+            each[k] = b""
+        ends = np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))[last].tolist()
+        whole = b"".join(each)
+        out = {p: whole[i:j] for p, i, j in zip(own, [0, *ends], ends)}
+        for k in np.searchsorted(last, longer).tolist():  # a piece with a longer word is left to the library
+            out.pop(own[k], None)
+        return out
+
+
 class ChunkEncoder:
     """Encodes texts as ``tokenizer.encode(text, add_special_tokens=False)`` does, chunk by chunk."""
 
     def __init__(self, tokenizer: Tokenizer):
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.merges = tokenizer, Merges.of(tokenizer)
         self.kept: OrderedDict[bytes, tuple[int, bytes, int]] = OrderedDict()
         self.words: dict[str, bytes] = {}
         self.chars = self.piece_chars = self.encoded = self.reused = 0
 
-    def _ids(self, text: str) -> bytes:
-        """Ids, four bytes each, of a text that starts and ends at safe places: those of its pieces between safe places."""
-        if not text:
-            return b""
-        pieces, known = _SAFE.split(text), self.words
-        if fresh := [p for p in dict.fromkeys(pieces) if p not in known]:
+    def _learn(self, pieces: set[str]) -> None:
+        """Ids, four bytes each, of pieces between safe places."""
+        known = self.words
+        if fresh := pieces.difference(known):
             self.piece_chars += sum(map(len, fresh))
             if len(known) + len(fresh) > CACHE_WORDS or self.piece_chars > CACHE_CHARS:  # start over; the frequent pieces are soon back
                 known.clear()
-                fresh = list(dict.fromkeys(pieces))
+                fresh = pieces
                 self.piece_chars = sum(map(len, fresh))
-            made = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-            known.update(zip(fresh, [np.array(x.ids, np.int32).tobytes() for x in made]))
-        return b"".join(map(known.__getitem__, pieces))
-
-    def _core(self, chunk: str) -> tuple[int, bytes, int] | None:
-        """First and last safe place of a chunk and the ids between them; None with under two places."""
-        name = xxhash.xxh3_128_digest(chunk.encode("utf-8", "surrogatepass"))
-        if (known := self.kept.get(name)) is not None:
-            self.kept.move_to_end(name)
-            self.reused += 1
-            return known
+            if self.merges:
+                known.update(self.merges.encode(list(fresh)))
+            if rest := [p for p in fresh if p not in known]:
+                made = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+                known.update(zip(rest, [np.array(x.ids, np.int32).tobytes() for x in made]))
+
+    @staticmethod
+    def _core(chunk: str) -> tuple[int, int] | None:
+        """First and last safe place of a chunk; None with under two places."""
         first = _SAFE.search(chunk)
         last = len(chunk)
         if first is None:
@@ -99,37 +240,77 @@ class ChunkEncoder:
             last = max(chunk.rfind(" ", 0, last), chunk.rfind("\n", 0, last))
             if last <= 0 or not chunk[last - 1].isspace():
                 break
-        if last <= first.start():
-            return None
-        self.encoded += 1
-        core = (first.start(), self._ids(chunk[first.start() : last]), last)
-        self.kept[name] = core
-        self.chars += len(chunk)
+        return None if last <= first.start() else (first.start(), last)
+
+    def _keep(self, name: bytes, first: int, ids: bytes, last: int, chars: int) -> None:
+        self.kept[name] = first, ids, last
+        self.chars += chars
         while self.chars > CACHE_CHARS:
-            _, (_, ids, end) = self.kept.popitem(last=False)
+            _, (_, _, end) = self.kept.popitem(last=False)
             self.chars -= max(end, LEAST)
-        return core
+
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of every text, in order; the new words of about ``TOGETHER`` characters are encoded at once."""
+        part, chars = [], 0
+        for t in texts:
+            part.append(t)
+            chars += len(t)
+            if chars >= TOGETHER:
+                yield from self._encode(part)
+                part, chars = [], 0
+        yield from self._encode(part)
+
+    def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        wanted: set[str] = set()
+        new: dict[bytes, tuple[int, list[str], int, int]] = {}  # chunks met here first: place, pieces, place, characters
+        held: dict[bytes, tuple[int, bytes, int]] = {}  # those met again, which the cache may drop before their turn
+
+        def split(text: str) -> list[str]:
+            pieces = _SAFE.split(text) if text else []
+            wanted.update(pieces)
+            return pieces
+
+        plans = []  # of each text: names of chunks and lists of pieces, as they follow each other
+        for text in texts:
+            plan, open_, start = [], 0, 0  # everything before ``open_`` is planned
+            ends = chunk_ends(text)
+            for end in ends if len(ends) > 1 else []:
+                chunk = text[start:end]
+                name = xxhash.xxh3_128_digest(chunk.encode("utf-8", "surrogatepass"))
+                if name in new or name in held or name in self.kept:
+                    self.reused += 1
+                    if name not in new:
+                        held[name] = self.kept.get(name) or held[name]
+                    first, _, last = (new.get(name) or held[name])[:3]
+                elif core := self._core(chunk):
+                    self.encoded += 1
+                    first, last = core
+                    new[name] = first, split(chunk[first:last]), last, len(chunk)
+                else:
+                    start = end
+                    continue
+                plan += [split(text[open_ : start + first]), name]
+                open_, start = start + last, end
+            plans.append([*plan, split(text[open_:])])
+        self._learn(wanted)
+        ids_of = self.words.__getitem__
+        for name, known in held.items():
+            if name in self.kept:
+                self.kept.move_to_end(name)
+        made = {name: known[1] for name, known in held.items()}
+        for name, (first, pieces, last, chars) in new.items():
+            made[name] = b"".join(map(ids_of, pieces))
+            self._keep(name, first, made[name], last, chars)
+        for plan in plans:
+            yield np.frombuffer(b"".join([made[x] if isinstance(x, bytes) else b"".join(map(ids_of, x)) for x in plan]), np.int32)
 
     def encode(self, text: str) -> np.ndarray:
-        out, open_, start = [], 0, 0  # everything before ``open_`` is encoded
-        ends = chunk_ends(text)
-        if len(ends) == 1:
-            return np.frombuffer(self._ids(text), np.int32)
-        for end in ends:
-            core = self._core(text[start:end])
-            if core:
-                first, ids, last = core
-                out += [self._ids(text[open_ : start + first]), ids]
-                open_ = start + last
-            start = end
-        out.append(self._ids(text[open_:]))
-        return np.frombuffer(b"".join(out), np.int32)
+        return next(self._encode([text]))
 
 
 def byte_pieces(tokenizer: Tokenizer) -> list[bytes]:
     """Bytes of every id of a byte-level vocabulary; special tokens are their own text."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}
+    letters = byte_letters()
     vocab = tokenizer.get_vocab(with_added_tokens=True)
     special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
     pieces = [b""] * (max(vocab.values()) + 1)
@@ -138,20 +319,35 @@ def byte_pieces(tokenizer: Tokenizer) -> list[bytes]:
     return pieces
 
 
-def decode(ids, pieces: list[bytes]) -> str:
-    return b"".join([pieces[i] for i in ids]).decode("utf-8", "replace")
+class Strings:
+    """Byte strings that are joined by their numbers."""
+
+    def __init__(self, items: list[bytes]):
+        self.bytes = np.frombuffer(b"".join(items), np.uint8)
+        self.size = np.fromiter(map(len, items), np.int64, len(items))
+        self.start = np.cumsum(self.size) - self.size
+
+    def join(self, ids: np.ndarray) -> bytes:
+        size = self.size[ids]
+        at = np.repeat(self.start[ids] - np.cumsum(size) + size, size)
+        at += np.arange(len(at))
+        return self.bytes[at].tobytes()
+
+
+def decode(ids, pieces: Strings) -> str:
+    return pieces.join(np.asarray(ids, np.int64)).decode("utf-8", "replace")
 
 
 _STATE: dict = {}
 
 
-def _encoder(path: str) -> tuple[ChunkEncoder, list[bytes], list[str]]:
+def _encoder(path: str) -> tuple[ChunkEncoder, Strings, Strings]:
     """One encoder and its chunks per Python worker, which Spark uses for many tasks."""
     if path not in _STATE:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = Tokenizer.from_file(path)
         pieces = byte_pieces(tokenizer)
-        _STATE[path] = ChunkEncoder(tokenizer), pieces, [str(i) for i in range(len(pieces))]
+        _STATE[path] = ChunkEncoder(tokenizer), Strings(pieces), Strings([b"%d," % i for i in range(len(pieces))])
     return _STATE[path]
 
 
@@ -160,11 +356,10 @@ def _rows(path: str, with_ids: bool):
         encoder, pieces, names = _encoder(path)
         for batch in batches:
             counts, id_sums, text_sums, lists = [], [], [], []
-            for x in batch.column(batch.num_columns - 1):
-                ids = encoder.encode(x.as_py() or "").tolist()
+            for ids in encoder.encode_all([x or "" for x in batch.column(batch.num_columns - 1).to_pylist()]):
                 counts.append(len(ids))
-                id_sums.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
-                text_sums.append(hashlib.sha256(b"".join(map(pieces.__getitem__, ids)).decode("utf-8", "replace").encode()).hexdigest())
+                id_sums.append(hashlib.sha256(names.join(ids)[:-1]).hexdigest())
+                text_sums.append(hashlib.sha256(decode(ids, pieces).encode()).hexdigest())
                 if with_ids:
                     lists.append(ids)
             made = [pa.array(counts, pa.int64()), pa.array(id_sums, pa.string()), pa.array(text_sums, pa.string())]

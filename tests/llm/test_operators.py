@@ -504,3 +504,18 @@ def test_pieces_of_odd_spaces_and_a_full_cache(monkeypatch):
     for t in texts * 2:
         assert encoder.encode(t).tolist() == plain.encode(t, add_special_tokens=False).ids
     assert len(encoder.words) <= 16
+
+
+def test_merges_of_many_words_equal_the_library():
+    """New words of a batch are merged together in arrays; the rest goes through the library."""
+    rng = np.random.default_rng(12)
+    parts = [*"aabcde\u00e9 \u0416\u0436\u03a9  \n\n\t'1\u00b2\u0663_-.,!\u4e2d\u0085\x1c\u0301\u0378\0^]-\\[", "'s", "'ll", "<|endoftext|>", " the", "ing", "<|"]
+    texts = ["".join(rng.choice(parts, int(rng.integers(0, n)))) for n in [4, 40, 4000] * 60] + ["a%sb 1%s2 !%s? 's%s x" % ((chr(c),) * 4) for c in range(0x560)]
+    texts += ["z" * 400 + " " + "ab" * 40 + " q", " " + "x" * 47 + " " + "y" * 48, "one two"]
+    encoder, plain = bpe.ChunkEncoder(Tokenizer.from_file(VOCABULARY)), Tokenizer.from_file(VOCABULARY)
+    for t, ids in zip(texts, encoder.encode_all(texts), strict=True):
+        assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids
+    words = [" " + "".join(rng.choice([*"etaoinshr"], int(rng.integers(1, 30)))) for _ in range(3000)]
+    got = encoder.merges.encode([*words, "\u4e2d", " <|endoftext|>", " a "])
+    assert set(got) == set(words)
+    assert all(np.frombuffer(got[w], np.int32).tolist() == plain.encode(w, add_special_tokens=False).ids for w in words)
