@@ -236,9 +236,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         made.filter("id IS NOT NULL").groupBy("id", "n").agg(F.min("doc_id").alias("doc_id"), F.min("point").alias("point"))
     )
     postings = src.select("text").mapInArrow(posting_maker(heat), "key bigint, id bigint, n int, rest int")
-    w = Window.partitionBy("key")
-    cells = postings.select("key", "id", "n", "rest", F.min(F.struct("id", "n", "rest")).over(w).alias("lead"), F.max("id").over(w).alias("top"))
-    cells = cells.filter("lead.id <> top").drop("top")
+    cells = _with_partners(postings)
     cells = cut_lineage(cells)
     first = _verified(_bounded(_with_lead(cells.filter("id <> lead.id")), reps), src, reps)
     links = cut_lineage(first)
@@ -260,6 +258,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _with_partners(postings: DataFrame) -> DataFrame:
+    """One row per root and text, with the ``lead`` of the root, where another text of the root may be alike enough.
+
+    In order of size the next larger text asks least of a rest, and the next smaller one is the
+    nearest in size: where neither fits, no text of the root does. All steps take one shuffle.
+    """
+    w = Window.partitionBy("key")
+    by = w.orderBy("n", "id")
+    lead = F.min(F.struct("id", "n", "rest")).over(w).alias("lead"), F.max("id").over(w).alias("top")
+    several = postings.select("key", "id", "n", "rest", *lead).filter("lead.id <> top").drop("lead", "top")
+    once = several.select("key", "id", "n", "rest", F.lag("id").over(by).alias("last")).filter("last IS NULL OR last <> id")
+    near = once.select("key", "id", "n", "rest", F.lag("n").over(by).alias("below"), F.lead("n").over(by).alias("above"), F.first("n").over(by).alias("least"))
+    fits = f"""below * {DEN}L >= n * {NUM}L AND rest * {NUM + DEN}L >= (CAST(n AS BIGINT) + least) * {NUM}L
+               OR n * {DEN}L >= above * {NUM}L AND rest * {NUM + DEN}L >= (CAST(n AS BIGINT) + above) * {NUM}L"""
+    return near.filter(fits).select("key", "id", "n", "rest", *lead).filter("lead.id <> top").drop("top")
+
+
 def _heat(made: DataFrame) -> bytes:
     """One byte per group: 0, or the binary logarithm of its count where that stands out.
 

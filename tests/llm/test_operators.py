@@ -137,6 +137,18 @@ def test_jaccard_join(docs):
     assert jaccard.near_duplicates(docs([])).count() == 0
 
 
+def test_roots_keep_only_texts_with_a_possible_partner(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(rng.integers(0, 60)), i, n, n - int(rng.integers(0, n // 5 + 1))) for i in range(400) for n in [int(rng.integers(10, 400))]]
+    rows += rows[:50] + [(1000, 1000 + i, 40 * 2**i, 40 * 2**i) for i in range(5)]
+
+    def alike(x, y):
+        return x[0] == y[0] and x[1] != y[1] and 100 * min(x[2], y[2]) >= 80 * max(x[2], y[2]) and 180 * min(x[3], y[3]) >= 80 * (x[2] + y[2])
+
+    got = [tuple(r)[:4] for r in jaccard._with_partners(spark.createDataFrame(rows, "key long, id long, n int, rest int")).collect()]
+    assert len(got) == len(set(got)) and {x for x in rows if any(alike(x, y) for y in rows)} <= set(got) < {x for x in rows if x[0] < 1000}
+
+
 def test_bound_loses_no_pair():
     rng = np.random.default_rng(3)
     base = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
