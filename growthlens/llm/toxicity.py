@@ -41,10 +41,21 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.nda
     """Sorted coordinates with a weight, the weights, and the bias."""
     if not rows:
         return np.empty(0, np.int32), np.empty(0), -20.0
-    names, counts = np.unique(np.concatenate(rows), return_counts=True)
-    names = names[counts >= max(2, LEAST_SHARE * len(rows))]
-    at = [np.minimum(np.searchsorted(names, r), max(0, len(names) - 1)) for r in rows]
-    local = [i[names[i] == r] if len(names) else i[:0] for i, r in zip(at, rows)]
+    # tables over all coordinates and one array for all rows: small arrays by the thousand would leave the worker swollen
+    at = np.zeros(2 << BITS, np.int32)
+    for r in rows:
+        at[r] += 1  # a row has a coordinate once
+    names = np.flatnonzero(at >= max(2, LEAST_SHARE * len(rows))).astype(np.int32)
+    kept, end, local = np.empty(int(at[names].sum()), np.int32), 0, []
+    at.fill(-1)
+    at[names] = np.arange(len(names), dtype=np.int32)
+    for r in rows:
+        i = at[r]
+        i = i[i >= 0]
+        kept[end : end + len(i)] = i
+        local.append(kept[end : end + len(i)])
+        end += len(i)
+    del at
     z, n = np.zeros(len(names)), np.zeros(len(names))
     bias_z = bias_n = 0.0
 
@@ -78,8 +89,10 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows, labels = [], []
     for batch in batches:
-        rows += [np.frombuffer(x, np.int32) for x in batch.column("x").to_pylist()]
-        labels += batch.column("toxic").to_pylist()
+        made = [np.frombuffer(x, np.int32) for x in batch.column("x").to_pylist()]
+        if made:  # the rows of a batch are parts of one array
+            rows += np.split(np.concatenate(made), np.cumsum([len(x) for x in made])[:-1])
+            labels += batch.column("toxic").to_pylist()
     names, weights, bias = ftrl(rows, np.array(labels, float))
     yield pa.RecordBatch.from_arrays([pa.array([-1, *names.tolist()], pa.int32()), pa.array([bias, *weights.tolist()], pa.float64())], ["i", "w"])
 
