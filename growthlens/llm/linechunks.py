@@ -145,6 +145,21 @@ def repeated_runs(pairs: DataFrame) -> DataFrame:
     )
 
 
+def whole_copies(texts: DataFrame) -> DataFrame:
+    """Candidates as of ``repeated_runs``: texts of two lines or more that stand as a whole under a smaller key. ``texts``: k, text."""
+    n = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n")))
+    each = texts.filter("text IS NOT NULL").select(
+        "k", F.xxhash64("text").alias("th"), n.alias("n"), F.regexp_count("text", F.lit(r"\S+")).alias("_words")
+    ).filter("n > 0")
+    # the smallest key of each text, with map-side combination
+    first = each.groupBy("th").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).filter("k0 <> k1").select("th", "k0")
+    copies = each.join(cut_lineage(first).hint("merge"), "th").filter("k <> k0").distinct()
+    return copies.select(
+        "k", "th", F.lit(0).alias("_a"), "n", F.sequence(F.lit(0), F.col("n")).alias("_at"), "_words", (F.col("n") + 1).alias("_lines"),
+        "k0", F.col("th").alias("th0"), F.lit(0).alias("p"),
+    )
+
+
 def equal_bytes(runs: DataFrame, texts: DataFrame) -> DataFrame:
     """The ``runs`` whose lines are, byte by byte, those of their earlier place. ``texts``: k, text.
 
@@ -164,20 +179,25 @@ def equal_bytes(runs: DataFrame, texts: DataFrame) -> DataFrame:
     return runs.join(odd, group, "left_anti")
 
 
-def remove_repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+def remove_repeated_passages(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, whole: bool = False
+) -> DataFrame:
     """``docs`` with ``text`` freed of repeated passages, plus ``n_lines``, ``n_removed`` (lines).
 
     Texts are cut at ``\\n``. A passage is a run of two lines or more, ``least_words`` words in all, that stands as a whole at one
     smaller (key, position): rolling hashes of neighbouring lines find it (``repeated_runs``), its bytes are compared
     with those of that place (``equal_bytes``). Its lines go; but the first occurrence of two lines that occur again stays
-    whole, so whatever goes is still there to read. Rows keep all other columns, but for ``n_lines`` and ``n_removed``, which give
+    whole, so whatever goes is still there to read. With ``whole``, a text that stands as a whole under a smaller key is one passage too,
+    wherever its pairs of lines stand first. Rows keep all other columns, but for ``n_lines`` and ``n_removed``, which give
     way to these. Repeated rows (equal key and text) count once and are treated alike. NULL texts stay NULL with 0 lines; a
     text that goes entirely becomes empty; rows with a NULL key keep their text but count as no occurrence. Hashes are shuffled for
     the count, texts once for the comparison and once for the lists of removed lines. The joins with
     texts are asked to shuffle, so the plan is one and the same at every size.
     """
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).filter("k IS NOT NULL")
-    runs = cut_lineage(repeated_runs(line_pairs(texts)).filter((F.col("_words") >= least_words) & (F.col("_lines") >= 2) & (F.size("_at") > 0)))
+    found = repeated_runs(line_pairs(texts))
+    found = found.unionByName(whole_copies(texts)) if whole else found
+    runs = cut_lineage(found.filter((F.col("_words") >= least_words) & (F.col("_lines") >= 2) & (F.size("_at") > 0)))
     lists = equal_bytes(runs, texts).groupBy("k", "th").agg(F.flatten(F.collect_list("_at")).alias("_at"))
     lists = cut_lineage(lists.select("k", "th", F.array_sort(F.array_distinct("_at")).alias("_gone")))
     # a document's columns travel as one, so that no name of theirs meets a working column
