@@ -145,18 +145,21 @@ def repeated_runs(pairs: DataFrame) -> DataFrame:
     )
 
 
-def whole_copies(texts: DataFrame) -> DataFrame:
-    """Candidates as of ``repeated_runs``: texts of two lines or more that stand as a whole under a smaller key. ``texts``: k, text."""
+def whole_copies(texts: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """Candidates as of ``repeated_runs``: texts of two lines or more that stand as a whole under a smaller key. ``texts``: k, text.
+
+    Texts of fewer than ``least_words`` words are left out; of the others ``_words`` tells no more than that they have as many.
+    """
+    # possessive, so a text is read once, and no further than to the last word asked for
+    enough = F.col("text").rlike(rf"^\s*+(?:\S++\s++){{{least_words - 1}}}\S") if least_words > 0 else F.lit(True)
     n = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n")))
-    each = texts.filter("text IS NOT NULL").select(
-        "k", F.xxhash64("text").alias("th"), n.alias("n"), F.regexp_count("text", F.lit(r"\S+")).alias("_words")
-    ).filter("n > 0")
+    each = cut_lineage(texts.filter(F.contains("text", F.lit("\n")) & enough).select("k", F.xxhash64("text").alias("th"), n.alias("n")))
     # the smallest key of each text, with map-side combination
     first = each.groupBy("th").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).filter("k0 <> k1").select("th", "k0")
     copies = each.join(cut_lineage(first).hint("merge"), "th").filter("k <> k0").distinct()
     return copies.select(
-        "k", "th", F.lit(0).alias("_a"), "n", F.sequence(F.lit(0), F.col("n")).alias("_at"), "_words", (F.col("n") + 1).alias("_lines"),
-        "k0", F.col("th").alias("th0"), F.lit(0).alias("p"),
+        "k", "th", F.lit(0).alias("_a"), "n", F.sequence(F.lit(0), F.col("n")).alias("_at"), F.lit(least_words).alias("_words"),
+        (F.col("n") + 1).alias("_lines"), "k0", F.col("th").alias("th0"), F.lit(0).alias("p"),
     )
 
 
@@ -196,7 +199,7 @@ def remove_repeated_passages(
     """
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).filter("k IS NOT NULL")
     found = repeated_runs(line_pairs(texts))
-    found = found.unionByName(whole_copies(texts)) if whole else found
+    found = found.unionByName(whole_copies(texts, least_words)) if whole else found
     runs = cut_lineage(found.filter((F.col("_words") >= least_words) & (F.col("_lines") >= 2) & (F.size("_at") > 0)))
     lists = equal_bytes(runs, texts).groupBy("k", "th").agg(F.flatten(F.collect_list("_at")).alias("_at"))
     lists = cut_lineage(lists.select("k", "th", F.array_sort(F.array_distinct("_at")).alias("_gone")))
