@@ -153,10 +153,12 @@ def whole_copies(texts: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     # possessive, so a text is read once, and no further than to the last word asked for
     enough = F.col("text").rlike(rf"^\s*+(?:\S++\s++){{{least_words - 1}}}\S") if least_words > 0 else F.lit(True)
     n = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n")))
-    each = cut_lineage(texts.filter(F.contains("text", F.lit("\n")) & enough).select("k", F.xxhash64("text").alias("th"), n.alias("n")))
+    each = texts.filter(F.contains("text", F.lit("\n")) & enough).select("k", F.xxhash64("text").alias("th"), n.alias("n"))
+    each = cut_lineage(each.distinct())
     # the smallest key of each text, with map-side combination
     first = each.groupBy("th").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).filter("k0 <> k1").select("th", "k0")
-    copies = each.join(cut_lineage(first).hint("merge"), "th").filter("k <> k0").distinct()
+    # nothing above the join asks for the copies of one text together, so a large group of them can be split
+    copies = cut_lineage(each.join(cut_lineage(first).hint("merge"), "th").filter("k <> k0"))
     return copies.select(
         "k", "th", F.lit(0).alias("_a"), "n", F.sequence(F.lit(0), F.col("n")).alias("_at"), F.lit(least_words).alias("_words"),
         (F.col("n") + 1).alias("_lines"), "k0", F.col("th").alias("th0"), F.lit(0).alias("p"),
